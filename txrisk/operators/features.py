@@ -157,11 +157,20 @@ def sender_windows(
     )
 
 
-def _framed_windows(df: DataFrame, cols: Columns) -> DataFrame:
-    # Rows without a sender would form one hot group; each gets a group of its own
-    # (sender group NULL, its id as second key) and is zeroed by the caller.
+def by_sender(df: DataFrame, cols: Columns) -> DataFrame:
+    """Cluster rows by sender once; F2 and F4 windows then need no exchange of their own.
+
+    Rows without a sender would form one hot group; each gets a group of its own
+    (its id hash as second key) and their features are zeroed later.
+    """
+    if "_lone" in df.columns:
+        return df
     lone = F.when(F.col(cols.sender).isNull(), F.xxhash64(cols.id))
-    base = df.withColumns({"_us": micros(cols.time), "_lone": lone})
+    return df.withColumns({"_us": micros(cols.time), "_lone": lone}).repartition(cols.sender, "_lone")
+
+
+def _framed_windows(df: DataFrame, cols: Columns) -> DataFrame:
+    base = by_sender(df, cols)
     group = [cols.sender, "_lone"]
     peers = Window.partitionBy(*group, "_us").orderBy(cols.id).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -328,21 +337,27 @@ def receiver_risk(
     spread: Traffic | None = None,
     mode: str = "batch",
     stats: DataFrame | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """receiver totals, label rate and risk score on every row.
 
     ``mode="batch"`` counts the row's own label, ``"point_in_time"`` only rows before it
     in (time, id) order. ``stats`` scores with a stored dimension instead of the batch's own.
+    ``source`` is the same table before other features were added: the statistics then
+    scan only their few columns.
     """
+    source = df if source is None else source
     if mode == "point_in_time":
         return _receiver_point_in_time(df, cols, spread)
     labelled = cols.label in df.columns
     rate = (
-        df.agg(F.avg(F.col(cols.label).cast("double"))).scalar() if labelled else F.lit(DEFAULT_LABEL_RATE)
+        source.agg(F.avg(F.col(cols.label).cast("double"))).scalar()
+        if labelled
+        else F.lit(DEFAULT_LABEL_RATE)
     )
     joined = attach(
         df,
-        stats if stats is not None else receiver_stats(df, cols),
+        stats if stats is not None else receiver_stats(source, cols),
         [cols.receiver],
         spread.hot_receivers if spread else None,
         spread.hot_rows if spread else HOT_ROWS,
@@ -398,18 +413,18 @@ def novelty(df: DataFrame, cols: Columns = COLUMNS, spread: Traffic | None = Non
     windows that share one exchange on the sender.
     """
     named = df.withColumns({"_loc": normalised(cols.location), "_dev": normalised(cols.device)})
-    known = named.filter(F.col(cols.sender).isNotNull())
-    unknown = named.filter(F.col(cols.sender).isNull())
     hot = spread.hot_senders if spread else {}
     if hot:
-        is_hot = key_code([cols.sender]).isin(list(hot))
-        done = _novelty_windows(known.filter(~is_hot), cols).unionByName(
-            _novelty_scans(known.filter(is_hot), cols)
+        is_hot = F.coalesce(key_code([cols.sender]).isin(list(hot)), F.lit(False)) & F.col(cols.sender).isNotNull()
+        done = _novelty_windows(named.filter(~is_hot), cols).unionByName(
+            _novelty_scans(named.filter(is_hot), cols), allowMissingColumns=True
         )
     else:
-        done = _novelty_windows(known, cols)
-    zeros = unknown.withColumns({c: F.lit(0).cast("long") for c in NOVELTY_FEATURES})
-    return done.unionByName(zeros).select(*df.columns, *NOVELTY_FEATURES)
+        done = _novelty_windows(named, cols)
+    known = F.col(cols.sender).isNotNull()
+    return done.select(
+        *df.columns, *[F.when(known, F.col(c)).otherwise(F.lit(0)).alias(c) for c in NOVELTY_FEATURES]
+    )
 
 
 def _novelty_order(cols: Columns) -> list[Column]:
@@ -420,15 +435,14 @@ def _first(name: str) -> Column:
     return (F.col(name) == 1).cast("long")
 
 
-def _novelty_windows(known: DataFrame, cols: Columns) -> DataFrame:
-    order = _novelty_order(cols)
-    per_sender = Window.partitionBy(cols.sender).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def _novelty_windows(named: DataFrame, cols: Columns) -> DataFrame:
+    order, group = _novelty_order(cols), [cols.sender, "_lone"]
+    per_sender = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
     def nth(kind: str) -> Column:
-        return F.row_number().over(Window.partitionBy(cols.sender, kind).orderBy(*order)).cast("long")
+        return F.row_number().over(Window.partitionBy(*group, kind).orderBy(*order)).cast("long")
 
-    # repartition by sender: the three windows below all cluster within it
-    seen = known.repartition(cols.sender).withColumns(
+    seen = by_sender(named, cols).withColumns(
         {"location_frequency": nth("_loc"), "device_frequency": nth("_dev")}
     )
     return seen.withColumns(
@@ -477,7 +491,12 @@ def pair_stats(df: DataFrame, cols: Columns = COLUMNS) -> DataFrame:
     )
 
 
-def pair_features(df: DataFrame, cols: Columns = COLUMNS, spread: Traffic | None = None) -> DataFrame:
+def pair_features(
+    df: DataFrame,
+    cols: Columns = COLUMNS,
+    spread: Traffic | None = None,
+    source: DataFrame | None = None,
+) -> DataFrame:
     """how often and how much this sender paid this receiver.
 
     A pair may be hot, so the totals are pre-aggregated and joined back salted,
@@ -485,7 +504,7 @@ def pair_features(df: DataFrame, cols: Columns = COLUMNS, spread: Traffic | None
     """
     joined = attach(
         df,
-        pair_stats(df, cols),
+        pair_stats(df if source is None else source, cols),
         [cols.sender, cols.receiver],
         spread.hot_pairs if spread else None,
         spread.hot_rows if spread else HOT_ROWS,
@@ -518,10 +537,13 @@ def engineer(
             history.withColumn("_new", F.lit(False)), allowMissingColumns=True
         )
     spread = spread or traffic(rows, cols)
-    out = novelty(rows, cols, spread)
-    out = sender_windows(out, cols, spread)
-    out = receiver_risk(out, cols, spread, receiver_mode, stats)
-    out = pair_features(out, cols, spread)
+    plain = spread.busiest_day <= DENSE_DAY and not spread.hot_senders
+    out = by_sender(rows, cols) if plain else rows
+    out = sender_windows(novelty(out, cols, spread), cols, spread)
+    out = receiver_risk(out, cols, spread, receiver_mode, stats, source=rows)
+    out = pair_features(out, cols, spread, source=rows).select(
+        *rows.columns, *SENDER_FEATURES, *RECEIVER_FEATURES, *NOVELTY_FEATURES, *PAIR_FEATURES
+    )
     if history is not None:
         out = out.filter("_new").drop("_new")
     return numeric_or_zero(time_features(out, cols), ENGINEERED)

@@ -406,14 +406,32 @@ def normalised(name: str) -> Column:
     return F.coalesce(F.lower(F.trim(F.col(name).cast("string"))), F.lit("nan"))
 
 
-def novelty(df: DataFrame, cols: Columns = COLUMNS, spread: Traffic | None = None) -> DataFrame:
+def seen_values(df: DataFrame, cols: Columns = COLUMNS) -> DataFrame:
+    """What each sender has used so far: (sender, kind, value, n). The state table of F4."""
+    kinds = F.array(
+        F.struct(F.lit("location").alias("kind"), normalised(cols.location).alias("value")),
+        F.struct(F.lit("device").alias("kind"), normalised(cols.device).alias("value")),
+    )
+    return (
+        df.filter(F.col(cols.sender).isNotNull())
+        .select(cols.sender, F.inline(kinds))
+        .groupBy(cols.sender, "kind", "value")
+        .agg(F.count("*").alias("n"))
+    )
+
+
+def novelty(
+    df: DataFrame, cols: Columns = COLUMNS, spread: Traffic | None = None, seen: DataFrame | None = None
+) -> DataFrame:
     """first-seen flags, running frequencies and running distinct counts per sender.
 
     The rows of hot senders go through range-partitioned scans, the rest through
-    windows that share one exchange on the sender.
+    windows that share one exchange on the sender. ``seen`` (:func:`seen_values` of all
+    earlier rows) continues the counts of a stream without its history.
     """
     named = df.withColumns({"_loc": normalised(cols.location), "_dev": normalised(cols.device)})
     hot = spread.hot_senders if spread else {}
+    named = _with_state(named, cols, seen, hot)
     if hot:
         is_hot = F.coalesce(key_code([cols.sender]).isin(list(hot)), F.lit(False)) & F.col(cols.sender).isNotNull()
         done = _novelty_windows(named.filter(~is_hot), cols).unionByName(
@@ -427,6 +445,23 @@ def novelty(df: DataFrame, cols: Columns = COLUMNS, spread: Traffic | None = Non
     )
 
 
+STATE = ["_loc0", "_dev0", "_locs0", "_devs0"]
+
+
+def _with_state(named: DataFrame, cols: Columns, seen: DataFrame | None, hot: dict[int, int]) -> DataFrame:
+    """Earlier counts of the row's location and device, and earlier distinct counts of its sender."""
+    if seen is None:
+        return named.withColumns({c: F.lit(0).cast("long") for c in STATE})
+    out = named
+    for kind, value, count, distinct in (("location", "_loc", "_loc0", "_locs0"), ("device", "_dev", "_dev0", "_devs0")):
+        part = seen.filter(F.col("kind") == kind)
+        per_value = part.groupBy(cols.sender, F.col("value").alias(value)).agg(F.sum("n").alias(count))
+        per_sender = per_value.groupBy(cols.sender).agg(F.count("*").alias(distinct))
+        out = attach(out, per_value, [cols.sender, value])
+        out = attach(out, per_sender, [cols.sender], hot)
+    return out.fillna(0, STATE)
+
+
 def _novelty_order(cols: Columns) -> list[Column]:
     return [F.col(cols.time).asc_nulls_last(), F.col(cols.id)]
 
@@ -442,15 +477,15 @@ def _novelty_windows(named: DataFrame, cols: Columns) -> DataFrame:
     def nth(kind: str) -> Column:
         return F.row_number().over(Window.partitionBy(*group, kind).orderBy(*order)).cast("long")
 
-    seen = by_sender(named, cols).withColumns(
-        {"location_frequency": nth("_loc"), "device_frequency": nth("_dev")}
+    counted = by_sender(named, cols).withColumns(
+        {"location_frequency": nth("_loc") + F.col("_loc0"), "device_frequency": nth("_dev") + F.col("_dev0")}
     )
-    return seen.withColumns(
+    return counted.withColumns(
         {
             "new_location_flag": _first("location_frequency"),
             "new_device_flag": _first("device_frequency"),
-            "sender_location_count": F.sum(_first("location_frequency")).over(per_sender),
-            "sender_device_count": F.sum(_first("device_frequency")).over(per_sender),
+            "sender_location_count": F.sum(_first("location_frequency")).over(per_sender) + F.col("_locs0"),
+            "sender_device_count": F.sum(_first("device_frequency")).over(per_sender) + F.col("_devs0"),
         }
     )
 
@@ -458,10 +493,12 @@ def _novelty_windows(named: DataFrame, cols: Columns) -> DataFrame:
 def _novelty_scans(known: DataFrame, cols: Columns) -> DataFrame:
     order = _novelty_order(cols)
     one = F.lit(1).cast("long")
-    seen = ordered_scan(known, [cols.sender, "_loc"], order, {"location_frequency": ("sum", one)})
-    seen = ordered_scan(seen, [cols.sender, "_dev"], order, {"device_frequency": ("sum", one)})
+    nth = ordered_scan(known, [cols.sender, "_loc"], order, {"location_frequency": ("sum", one)})
+    nth = nth.withColumn("location_frequency", F.col("location_frequency") + F.col("_loc0"))
+    nth = ordered_scan(nth, [cols.sender, "_dev"], order, {"device_frequency": ("sum", one)})
+    nth = nth.withColumn("device_frequency", F.col("device_frequency") + F.col("_dev0"))
     counted = ordered_scan(
-        seen,
+        nth,
         [cols.sender],
         order,
         {
@@ -473,6 +510,8 @@ def _novelty_scans(known: DataFrame, cols: Columns) -> DataFrame:
         {
             "new_location_flag": _first("location_frequency"),
             "new_device_flag": _first("device_frequency"),
+            "sender_location_count": F.col("sender_location_count") + F.col("_locs0"),
+            "sender_device_count": F.col("sender_device_count") + F.col("_devs0"),
         }
     )
 

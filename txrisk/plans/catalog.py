@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.functions.scalars import probability, safe_divide, safe_log
+from txrisk.ml import boosting, forest
+from txrisk.ml.model import RiskModel, integrate
 from txrisk.ml.scaling import class_weight, flag_anomalies, impute_clip, normalise_scores, score_stats, standardise
 from txrisk.operators import compare, decision, features, impact, metrics, preprocess, quality, registry, splits
+from txrisk.plans import evaluation
+from txrisk.session import new_path
 from txrisk.sources import tables as t
 from txrisk.sources.readers import normalise_requests, parse_requests
+from txrisk.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -586,6 +591,195 @@ def s7(spark, d):
     )
 
 
+# ------------------------------------------------------------ fitted models
+
+ROUNDS = 20
+_MODELS: dict[tuple[str, str], RiskModel] = {}
+
+
+def fitted(spark: SparkSession, d: str) -> RiskModel:
+    """One fitted model per session and folder, shared by the queries that only read it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MODELS:
+        _MODELS[key] = RiskModel.fit(t.transactions(spark, d), rounds=ROUNDS)
+    return _MODELS[key]
+
+
+def feature_table(spark, d):
+    return fitted(spark, d).features(t.transactions(spark, d))
+
+
+def m3(spark, d):
+    table = event_k(spark, d).select("transaction_id", "amount", F.col("k").cast("double").alias("k"))
+    scaled = standardise(table, ["amount", "k"])
+    return forest.deep_features(scaled, ["amount", "k"], "deep").select("transaction_id", "deep")
+
+
+def m4(spark, d):
+    table = event_k(spark, d).select("transaction_id", "amount", F.col("k").cast("double").alias("k"))
+    scaled = standardise(table, ["amount", "k"])
+    return forest.fit_trees(scaled, ["amount", "k"], "transaction_id", forest.ForestSettings())
+
+
+def m5(spark, d):
+    model = fitted(spark, d)
+    ready = model.forest.prepare(feature_table(spark, d))
+    return model.forest.raw_score(ready).select("transaction_id", "raw_score")
+
+
+def m9(spark, d):
+    return forest.permutation_importance(fitted(spark, d).forest, feature_table(spark, d))
+
+
+def with_score(spark, d):
+    model = fitted(spark, d)
+    return integrate(model.forest, feature_table(spark, d), model.feature_names)
+
+
+def m11(spark, d):
+    """A classifier on the engineered features alone: no anomaly score."""
+    model = fitted(spark, d)
+    table = splits.stratified_split(feature_table(spark, d), 0.2).withColumn("held", F.col("split") == "test")
+    booster = boosting.fit_boosting(table, model.feature_names, validation="held", rounds=ROUNDS)
+    return boosting.predict(booster, table.filter("held")).select("transaction_id", "fraud_probability")
+
+
+def m12(spark, d):
+    model = fitted(spark, d)
+    out = boosting.predict(model.classifier, with_score(spark, d), model.threshold)
+    return out.select("transaction_id", "fraud_probability", "fraud_prediction")
+
+
+def m13(spark, d):
+    return boosting.feature_importance(fitted(spark, d).classifier, t.transactions(spark, d))
+
+
+def m14(spark, d):
+    model = fitted(spark, d)
+    return boosting.evaluate(model.classifier, with_score(spark, d), model.threshold)
+
+
+def m15(spark, d):
+    table = event_k(spark, d).withColumns({"hour": F.hour("timestamp"), "weekday": F.weekday("timestamp")})
+    return boosting.cross_validate(table, ["amount", "k", "hour", "weekday"], folds=3, rounds=5)
+
+
+def m16(spark, d):
+    table = preprocess.one_hot(
+        event_k(spark, d), "transaction_type", ["click", "error", "purchase", "signup", "view"], drop_first=True
+    )
+    columns = ["amount", "k", *[c for c in table.columns if c.startswith("transaction_type_")]]
+    model = boosting.fit_random_forest(table, columns)
+    return boosting.predict(model, table).select("transaction_id", "fraud_probability", "fraud_prediction")
+
+
+def m17(spark, d):
+    """The fitted model's tuned thresholds."""
+    rows = sorted(fitted(spark, d).thresholds.items())
+    return spark.createDataFrame(rows, "strategy string, threshold double")
+
+
+PREDICTED = ["transaction_id", "fraud_probability", "anomaly_score", "risk_level", "fraud_prediction", "explanation"]
+
+
+def m18(spark, d):
+    return fitted(spark, d).transform(t.transactions(spark, d)).select(*PREDICTED)
+
+
+def m19(spark, d):
+    """The table's last transaction, alone, with the earlier ones as history."""
+    tx = t.transactions(spark, d)
+    last = tx.orderBy(F.col("timestamp").desc(), F.col("transaction_id").desc()).limit(1)
+    earlier = tx.join(last.select("transaction_id"), "transaction_id", "left_anti")
+    return fitted(spark, d).transform(last, history=earlier).select(*PREDICTED)
+
+
+def e9(spark, d):
+    model, scored = evaluation.time_split_evaluation(t.transactions(spark, d), rounds=ROUNDS)
+    return evaluation.evaluate(model, scored)
+
+
+def e28(spark, d):
+    return evaluation.dual_evaluation(t.transactions(spark, d), rounds=ROUNDS, minimum=1).comparison
+
+
+def e29(spark, d):
+    return evaluation.performance_report(t.scored(spark, d))
+
+
+# ----------------------------------------------------------------- streams
+
+def event_stream(spark, d):
+    """`events` read as a stream: the file source watches the folder for the table's file name."""
+    schema = t.table(spark, d, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    return t.as_transactions(source.parquet(d))
+
+
+def _folders(spark, name):
+    at = new_path(spark, name)
+    return f"{at}/state", f"{at}/out", f"{at}/checkpoint"
+
+
+def t1(spark, d):
+    _, out, checkpoint = _folders(spark, "t1")
+    jobs.score_stream(event_stream(spark, d), fitted(spark, d), out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).select(*PREDICTED)
+
+
+def t2(spark, d):
+    state, out, checkpoint = _folders(spark, "t2")
+    jobs.windows_with_history(event_stream(spark, d), state, out, checkpoint).awaitTermination()
+    done = spark.read.parquet(out).select("transaction_id", *features.SENDER_FEATURES, *features.NOVELTY_FEATURES)
+    return averaged(rounded(done, 4, SENDER_MONEY), SENDER_AVERAGES)
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def t3(spark, d):
+    _, out, checkpoint = _folders(spark, "t3")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    done = jobs.run_to_table(jobs.velocity_stream(event_stream(spark, d)), out, checkpoint)
+    return rounded(done.drop("sender_account"), 4, ["total_amount_last_24h", "velocity_1h"])
+
+
+def _counts(length, step=None):
+    def query(spark, d):
+        _, out, checkpoint = _folders(spark, "t4")
+        counts = jobs.flat_counts(jobs.windowed_counts(event_stream(spark, d), length, step))
+        done = jobs.run_to_table(counts, out, checkpoint)
+        return done.select(
+            "sender_account", F.unix_seconds("window_start").alias("window_start"), "tx_count",
+            F.round("total_amount", 4).alias("total_amount"),
+        )
+
+    return query
+
+
+def t5(spark, d):
+    """Every fiftieth row arrives twice."""
+    _, out, checkpoint = _folders(spark, "t5")
+    twice = F.when(F.col("transaction_id").cast("long") % 50 == 0, F.sequence(F.lit(0), F.lit(1)))
+    stream = event_stream(spark, d).withColumn("copy", F.explode(twice.otherwise(F.array(F.lit(0)))))
+    done = jobs.run_to_table(jobs.distinct_stream(stream), out, checkpoint)
+    return done.select("transaction_id", "sender_account", "amount")
+
+
+def t6(spark, d):
+    """Rows without a sender or an amount come out of the stream as error rows."""
+    _, out, checkpoint = _folders(spark, "t6")
+    n = F.col("transaction_id").cast("long")
+    stream = event_stream(spark, d).withColumns(
+        {
+            "sender_account": F.when(n % 101 != 0, F.col("sender_account")),
+            "amount": F.when(n % 13 != 0, F.col("amount")),
+        }
+    )
+    jobs.score_stream(stream, fitted(spark, d), out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).groupBy("has_error", "error_type").agg(F.count("*").alias("n_rows"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "flagship_risky_senders": flagship,
@@ -728,6 +922,29 @@ def queries() -> dict[str, Query]:
         "e24_compare_results": e24,
         "e25_trade_offs": e25,
         "e26_recommendations": e26,
+        "m3_deep_features": m3,
+        "m4_isolation_trees": m4,
+        "m5_isolation_scores": m5,
+        "m9_permutation_importance": m9,
+        "m11_boosted_probabilities": m11,
+        "m12_predictions": m12,
+        "m13_feature_importance": m13,
+        "m14_model_metrics": m14,
+        "m15_cross_validation": m15,
+        "m16_random_forest": m16,
+        "m17_tuned_model": m17,
+        "m18_risk_scores": m18,
+        "m19_single_with_history": m19,
+        "e9_time_split_evaluation": e9,
+        "e28_dual_evaluation": e28,
+        "e29_performance_report": e29,
+        "t1_stream_scores": t1,
+        "t2_stream_windows": t2,
+        "t3_stream_velocity": t3,
+        "t4_hourly_counts": _counts("1 hour"),
+        "t4_daily_sliding_counts": _counts("24 hours", "1 hour"),
+        "t5_stream_dedup": t5,
+        "t6_stream_errors": t6,
         "e27_metric_differences": lambda s, d: rounded(
             compare.metric_differences(compared(s, d)), 6, ["difference"]
         ),

@@ -531,6 +531,31 @@ def oracle_sql() -> dict[str, str]:
  round(r, 6) AS recall_change, (f < 0)::INTEGER AS lower_customer_friction, round(f, 6) AS fpr_change, (f1 > 0)::INTEGER AS f1_improvement,
  round(f1, 6) AS f1_change, round(red, 6) AS training_data_reduction FROM c""")
     o["e27_metric_differences"] = q(*swept([0.5, 0.6]), CURVE, COMPARE, "SELECT metric_name, round(difference, 6) AS difference FROM cmp")
+    # -------------------------------------------------------------- streams
+    o["t2_stream_windows"] = q(TX, f"b AS ({SENDER})", f"d AS ({NOVELTY})", "SELECT * FROM b JOIN d USING (transaction_id)")
+    o["t3_stream_velocity"] = q(TX, f"b AS ({SENDER})", """SELECT transaction_id, tx_count_last_1h, tx_count_last_24h,
+ total_amount_last_24h, velocity_1h FROM b""")
+    # A window is final once the watermark, one hour behind the last row, has passed its end.
+    o["t4_hourly_counts"] = q(TX, """SELECT sender_account, epoch(w)::BIGINT AS window_start, count(*) AS tx_count,
+ round(sum(amount), 4) AS total_amount FROM (SELECT *, date_trunc('hour', "timestamp") AS w FROM tx) x
+ WHERE w + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max("timestamp")) - INTERVAL 1 HOUR FROM tx) GROUP BY 1, 2""")
+    o["t4_daily_sliding_counts"] = q(TX, """SELECT sender_account, epoch(w)::BIGINT AS window_start, count(*) AS tx_count,
+ round(sum(amount), 4) AS total_amount
+ FROM (SELECT *, date_trunc('hour', "timestamp") - to_hours(h::INTEGER) AS w FROM tx, range(24) r(h)) x
+ WHERE w + INTERVAL 24 HOUR <= (SELECT date_trunc('milliseconds', max("timestamp")) - INTERVAL 1 HOUR FROM tx) GROUP BY 1, 2""")
+    o["t5_stream_dedup"] = q(TX, "SELECT transaction_id, sender_account, amount FROM tx")
+    o["t6_stream_errors"] = q(TX, """e AS (SELECT CASE WHEN n % 101 = 0 THEN 'MissingValueError' WHEN n % 13 = 0 THEN 'AmountError' END AS error_type FROM tx)""",
+    "SELECT error_type IS NOT NULL AS has_error, error_type, count(*) AS n_rows FROM e GROUP BY 1, 2")
+    o["e26_recommendations"] = q(*swept([0.5, 0.6]), CURVE, COMPARE, """c AS (SELECT """ + ", ".join(
+        f"max(CASE WHEN metric_name = '{m}' THEN difference END) AS {n}" for m, n in
+        (("precision", "p"), ("recall", "r"), ("false_positive_rate", "f"), ("f1_score", "f1"))) +
+        """, max(CASE WHEN metric_name = 'Train Samples' THEN 1 - balanced_value / imbalanced_value END) AS red FROM cmp),
+ l AS (SELECT 0 AS i, CASE WHEN f1 > 0 THEN 'prefer_balanced' ELSE 'prefer_imbalanced' END AS code FROM c
+  UNION ALL SELECT 1, CASE WHEN p > 0 AND r > 0 THEN 'precision_and_recall_gain' WHEN r > 0 THEN 'more_fraud_caught_more_alarms'
+   WHEN p > 0 THEN 'fewer_alarms_more_fraud_missed' END FROM c
+  UNION ALL SELECT 2, CASE WHEN f < 0 THEN 'friction_reduced' ELSE 'friction_not_reduced' END FROM c
+  UNION ALL SELECT 3, CASE WHEN red > 0.5 THEN 'training_cost_reduced' END FROM c)""",
+    "SELECT (row_number() OVER (ORDER BY i) - 1)::INTEGER AS position, code FROM l WHERE code IS NOT NULL")
     # -------------------------------------------------------------- sources
     o["s4_json_requests"] = q(TX, """SELECT transaction_id, sender_account, amount FROM tx""")
     o["s7_request_defaults"] = q(TX, """SELECT transaction_id, CASE WHEN n % 3 = 0 THEN 'sender_unknown' ELSE sender_account END AS sender_account,

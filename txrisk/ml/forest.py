@@ -21,6 +21,7 @@ from txrisk.ml.scaling import impute_clip, medians, moments, normalise_scores
 from txrisk.operators.ordered import hash_key, rank_boundaries
 from txrisk.operators.statistics import quantiles
 from txrisk.schema import COLUMNS, CONTAMINATION, SEED, component_seed
+from txrisk.session import materialise
 
 
 @dataclass(frozen=True)
@@ -245,7 +246,8 @@ def fit_forest(
     trees = pack_nodes(nodes.collect())  # trees × (2·sample - 1) rows at most
     rows = ready.limit(settings.sample).count()
     forest = DeepForest(columns, fills, scale, trees, min(settings.sample, rows), settings=settings)
-    scored = forest.raw_score(ready).select("raw_score")
+    # Scored once; range and offset read the written column, not the trees again.
+    scored = materialise(forest.raw_score(ready).select("raw_score"), "raw-scores")
     lo, hi = scored.agg(F.min("raw_score"), F.max("raw_score")).first()
     forest.offset = quantiles(scored, {"raw_score": [settings.contamination]})["raw_score"][0]
     forest.ends = (lo - forest.offset, hi - forest.offset)

@@ -204,26 +204,33 @@ def _blocked_windows(df: DataFrame, cols: Columns, spread: Traffic) -> DataFrame
     * full blocks b-n+1 .. b-1                         -> frame over block totals
     * far part: rows of block b-n at or after t - W    -> running total, descending,
       over copies of those rows moved n blocks forward.
-    Every row is sent to three blocks (itself, +1 h, +24 h) as a narrow record.
+    Every row is sent to three blocks (itself, +1 h, +24 h); the two copies are narrow records.
     """
     per_hour = max(1, min(64, 2 ** math.ceil(math.log2(max(1, spread.busiest_hour / 50_000)))))
     width = HOUR_US // per_hour
     crowded = spread.busiest_hour / per_hour > spread.hot_rows
-    narrow = df.filter(F.col(cols.sender).isNotNull() & F.col(cols.time).isNotNull()).select(
+    keyed = F.col(cols.sender).isNotNull() & F.col(cols.time).isNotNull()
+    # A row without sender or time is a block of its own.
+    blocked = df.select(
         F.col(cols.sender).alias("_s"),
-        micros(cols.time).alias("_us"),
+        F.when(keyed, micros(cols.time)).alias("_us"),
         F.col(cols.id).alias("_id"),
         F.col(cols.amount).alias("_a"),
-    )
-    blocked = narrow.withColumn("_b", F.expr(f"_us div {width}L"))
-    copies = F.expr("stack(3, 0, 0L, 1, 1L, 24, 24L) AS (_kind, _hours)")
-    moved = blocked.select("*", copies).select(
+        F.struct(*df.columns).alias("_row"),
+    ).withColumn("_b", F.when(F.col("_s").isNotNull() & F.col("_us").isNotNull(), F.expr(f"_us div {width}L"))
+                 .otherwise(F.xxhash64("_id")))
+    moves = F.when(
+        F.col("_s").isNotNull() & F.col("_us").isNotNull(), F.array(F.lit(0), F.lit(1), F.lit(24))
+    ).otherwise(F.array(F.lit(0)))
+    # The row itself travels with its own record only.
+    moved = blocked.select("*", F.explode(moves).alias("_kind")).select(
         "_s",
-        (F.col("_us") + F.col("_hours") * HOUR_US).alias("_us"),
+        (F.col("_us") + F.col("_kind").cast("long") * HOUR_US).alias("_us"),
         "_id",
         "_a",
-        (F.col("_b") + F.col("_hours") * per_hour).alias("_b"),
+        (F.col("_b") + F.col("_kind").cast("long") * per_hour).alias("_b"),
         "_kind",
+        F.when(F.col("_kind") == 0, F.col("_row")).alias("_row"),
     )
 
     def only(kind: int, value: Column) -> Column:
@@ -249,8 +256,8 @@ def _blocked_windows(df: DataFrame, cols: Columns, spread: Traffic) -> DataFrame
                 "near_sum": F.col("near_sum") - F.coalesce(a, F.lit(0.0)),
             }
         )
-        before = ordered_scan_previous_max(moved.filter("_kind = 0"), block, rising)
-        own = own.drop("near_max").join(before, ["_s", "_b", "_us", "_id"])
+        before = ordered_scan_previous_max(moved.filter("_kind = 0 AND _us IS NOT NULL"), block, rising)
+        own = own.drop("near_max").join(before, ["_s", "_b", "_us", "_id"], "left")
     else:
         up = Window.partitionBy(*block).orderBy(*rising).rowsBetween(Window.unboundedPreceding, -1)
         down = Window.partitionBy(*block).orderBy(*falling).rowsBetween(Window.unboundedPreceding, 0)
@@ -261,11 +268,9 @@ def _blocked_windows(df: DataFrame, cols: Columns, spread: Traffic) -> DataFrame
             *[fns[k](v).over(down).alias(n) for n, (k, v) in far.items()],
         ).filter("_kind = 0")
 
-    totals = blocked.groupBy(*block).agg(
+    totals = blocked.filter("_s IS NOT NULL AND _us IS NOT NULL").groupBy(*block).agg(
         F.count("*").alias("bn"), F.sum("_a").alias("bs"), F.max("_a").alias("bm")
     )
-    # Blocks that only look back on others have no total of their own, but a row's
-    # block always has one, so the join below is complete.
     def mid(hours: int):
         return Window.partitionBy("_s").orderBy("_b").rangeBetween(-(hours * per_hour - 1), -1)
 
@@ -284,17 +289,15 @@ def _blocked_windows(df: DataFrame, cols: Columns, spread: Traffic) -> DataFrame
     def zero(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0))
 
-    parts = own.join(middle, block).select(
-        F.col("_s").alias(cols.sender),
-        F.col("_id").alias(cols.id),
+    # Rows of one block join one row of totals; the block width bounds them.
+    return own.join(middle, block, "left").select(
+        "_row.*",
         (zero("near_n") + zero("mid1_n") + zero("far1_n")).alias("_n1"),
         (zero("near_n") + zero("mid24_n") + zero("far24_n")).alias("_n24"),
         (zero("near_sum") + zero("mid1_sum") + zero("far1_sum")).alias("_sum1"),
         (zero("near_sum") + zero("mid24_sum") + zero("far24_sum")).alias("_sum24"),
         F.greatest("near_max", "mid24_max", "far24_max").alias("_max24"),
     )
-    # (sender, id) is unique, so this join has no hot key; rows without sender keep NULLs.
-    return df.join(parts, [cols.id, cols.sender], "left")
 
 
 def ordered_scan_previous_max(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.functions.scalars import probability, safe_divide, safe_log
-from txrisk.ml import boosting, forest
+from txrisk.ml import boosting, forest, oversample
 from txrisk.ml.model import RiskModel, integrate
 from txrisk.ml.scaling import class_weight, flag_anomalies, impute_clip, normalise_scores, score_stats, standardise
 from txrisk.operators import compare, decision, features, impact, metrics, preprocess, quality, registry, splits
@@ -325,6 +325,16 @@ def d6(spark, d):
     return out.select("draw", "transaction_id", "is_fraud")
 
 
+def d7(spark, d):
+    """As many synthetic positives as bring the class level with the negatives."""
+    tx = event_k(spark, d).withColumn("hour", F.hour("timestamp"))
+    places = preprocess.categories(tx, "location")
+    code = F.array_position(F.array(*[F.lit(v) for v in places]), F.col("location")) - 1
+    coded = tx.select("transaction_id", "amount", "k", "hour", code.alias("location"), "is_fraud")
+    wanted = splits.label_counts(coded, "is_fraud").get(0, 0)
+    return oversample.decode(oversample.smote(coded, ["amount", "k", "hour", "location"], wanted), "location", places)
+
+
 def d8(spark, d):
     tx = t.transactions(spark, d)
     out = splits.assign_metadata(tx, [F.col("timestamp"), F.col("transaction_id")])
@@ -853,6 +863,7 @@ def queries() -> dict[str, Query]:
         "d4_drift_report": d4_drift,
         "d5_folds": d5,
         "d6_resample": d6,
+        "d7_smote": d7,
         "d8_assign_metadata": d8,
         "m1_impute_clip": m1,
         "m2_standardise": m2,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -25,6 +24,9 @@ def local_session(cores: str = "*", name: str = "txrisk", partitions: int = 8) -
     )
 
 
+_OWN: dict[str, str] = {}  # application id → folder, only where the session names none
+
+
 def work_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -34,15 +36,16 @@ def work_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    fallback = tempfile.mkdtemp(prefix="txrisk-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="txrisk-")
+    return _OWN[app]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(work_folder(spark), "txrisk", f"{label}-{uuid.uuid4().hex}")
+    return f"{work_folder(spark).rstrip('/')}/txrisk/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:

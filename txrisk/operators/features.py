@@ -114,7 +114,7 @@ def time_features(df: DataFrame, cols: Columns = COLUMNS) -> DataFrame:
 
 # ------------------------------------------------------ F2: sender windows
 
-DENSE_DAY = 4_096  # rows per sender and day above which a moving frame costs too much
+DENSE_DAY = 256  # rows per sender and day above which re-reading a moving frame costs more than a sort
 
 
 def sender_windows(
@@ -554,6 +554,20 @@ def pair_features(
     return joined.select(*df.columns, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in PAIR_FEATURES])
 
 
+def _pair_windows(df: DataFrame, cols: Columns) -> DataFrame:
+    """F5 within the sender's own partition, for tables without hot senders."""
+    pair = Window.partitionBy(cols.sender, "_lone", cols.receiver)
+    known = F.col(cols.sender).isNotNull() & F.col(cols.receiver).isNotNull()
+    values = {
+        "sender_receiver_frequency": F.count("*").over(pair),
+        "sender_receiver_total_amount": F.round(F.sum(cols.amount).over(pair), 6),
+        "sender_receiver_avg_amount": F.round(F.avg(cols.amount).over(pair), 6),
+    }
+    return by_sender(df, cols).withColumns(
+        {c: F.when(known, F.coalesce(v, F.lit(0))).otherwise(F.lit(0)) for c, v in values.items()}
+    )
+
+
 # ----------------------------------------------------- F6-F9: whole tables
 
 def numeric_or_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -582,10 +596,12 @@ def engineer(
     plain = spread.busiest_day <= DENSE_DAY and not spread.hot_senders
     out = by_sender(rows, cols) if plain else rows
     out = sender_windows(novelty(out, cols, spread), cols, spread)
+    if plain:  # no hot sender, hence no hot pair: F5 shares the exchange of F2 and F4
+        out = _pair_windows(out, cols)
     out = receiver_risk(out, cols, spread, receiver_mode, stats, source=rows)
-    out = pair_features(out, cols, spread, source=rows).select(
-        *rows.columns, *SENDER_FEATURES, *RECEIVER_FEATURES, *NOVELTY_FEATURES, *PAIR_FEATURES
-    )
+    if not plain:
+        out = pair_features(out, cols, spread, source=rows)
+    out = out.select(*rows.columns, *SENDER_FEATURES, *RECEIVER_FEATURES, *NOVELTY_FEATURES, *PAIR_FEATURES)
     if history is not None:
         out = out.filter("_new").drop("_new")
     return numeric_or_zero(time_features(out, cols), ENGINEERED)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 HOT_ROWS = 4_000_000  # rows of one key that a single task may hold
 TOP_KEYS = 1_000
 TRACKED = 10_000
+MERGERS = 256
 
 
 def key_code(keys: Sequence[str]) -> Column:
@@ -19,15 +20,21 @@ def key_code(keys: Sequence[str]) -> Column:
 def heavy_codes(df: DataFrame, keysets: dict[str, Sequence[str]], hot_rows: int = HOT_ROWS):
     """Hash codes of keys that hold more than ``hot_rows`` rows, per key set.
 
-    One aggregate with a frequent-items sketch: no shuffle of the keys, at most
-    ``TOP_KEYS`` items per key set reach the driver. The estimate only steers
-    salting and splitting, so a missed or extra key never changes a result.
+    A frequent-items sketch per task, merged in two steps (many tasks first, then one row), so no
+    keys are shuffled and no task merges more than a few hundred sketches. At most ``TOP_KEYS`` items
+    per key set reach the driver. The estimate only steers salting and splitting, so a
+    missed or extra key never changes a result.
     """
-    sketches = [
-        F.call_function("approx_top_k", key_code(keys), F.lit(TOP_KEYS), F.lit(TRACKED)).alias(name)
-        for name, keys in keysets.items()
-    ]
-    row = df.agg(*sketches).first()
+    def sketched(function: str, value: Column, name: str) -> Column:
+        return F.call_function(function, value, F.lit(TRACKED)).alias(name)
+
+    partly = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("_part")).agg(
+        *[sketched("approx_top_k_accumulate", key_code(keys), name) for name, keys in keysets.items()]
+    )
+    merged = partly.agg(*[sketched("approx_top_k_combine", F.col(name), name) for name in keysets])
+    row = merged.select(
+        *[F.call_function("approx_top_k_estimate", F.col(n), F.lit(TOP_KEYS)).alias(n) for n in keysets]
+    ).first()
     return {
         name: {item["item"]: item["count"] for item in (row[name] or []) if item["count"] > hot_rows}
         for name in keysets

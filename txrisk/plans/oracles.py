@@ -121,8 +121,8 @@ RECEIVER = """SELECT transaction_id, c::BIGINT AS receiver_tx_count, f::DOUBLE A
 
 NOVELTY = """SELECT transaction_id, (lf = 1)::BIGINT AS new_location_flag, (df = 1)::BIGINT AS new_device_flag,
  lf::BIGINT AS location_frequency, df::BIGINT AS device_frequency,
- sum((lf = 1)::INTEGER) OVER w AS sender_location_count,
- sum((df = 1)::INTEGER) OVER w AS sender_device_count
+ CAST(sum((lf = 1)::INTEGER) OVER w AS BIGINT) AS sender_location_count,
+ CAST(sum((df = 1)::INTEGER) OVER w AS BIGINT) AS sender_device_count
  FROM (SELECT *,
   row_number() OVER (PARTITION BY sender_account, lower(trim(location)) ORDER BY "timestamp", transaction_id) AS lf,
   row_number() OVER (PARTITION BY sender_account, lower(trim(device_used)) ORDER BY "timestamp", transaction_id) AS df

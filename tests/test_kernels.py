@@ -63,7 +63,7 @@ def windows(df, **settings):
 
 
 @pytest.mark.parametrize("plan", ["framed", "blocks", "narrow blocks", "crowded"])
-def test_sender_windows_equal_a_deque(tied, plan):
+def test_sender_windows_equal_a_deque(tied, many_slabs, plan):
     spread = features.traffic(tied)
     settings = {
         "framed": {"spread": spread, "dense_day": 10**9},
@@ -94,23 +94,37 @@ def expected_novelty(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_novelty_equals_counters(tied, hot):
+@pytest.fixture()
+def many_slabs(spark):
+    """Keeps range partitions apart, so that even a small group spans several slabs."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def with_hot_senders(tied):
     spread = features.traffic(tied)
-    if hot:
-        spread = dataclasses.replace(spread, hot_senders=heavy_codes(tied, {"s": ["sender_account"]}, 50)["s"])
-        assert spread.hot_senders
+    hot = heavy_codes(tied, {"s": ["sender_account"]}, 50)["s"]
+    assert hot
+    return dataclasses.replace(spread, hot_senders=hot)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_novelty_equals_counters(tied, many_slabs, hot):
+    spread = with_hot_senders(tied) if hot else features.traffic(tied)
     rows = features.novelty(tied, spread=spread).collect()
     got = {r["transaction_id"]: tuple(r[c] for c in features.NOVELTY_FEATURES) for r in rows}
     assert got == expected_novelty(tied_rows())
 
 
-def test_novelty_continues_from_state(spark, tied):
+@pytest.mark.parametrize("hot", [False, True])
+def test_novelty_continues_from_state(tied, many_slabs, hot):
+    spread = with_hot_senders(tied) if hot else None
     cut = BASE + timedelta(hours=30)
     timed = tied.filter("timestamp IS NOT NULL")
     early, late = timed.filter(F.col("timestamp") < cut), timed.filter(F.col("timestamp") >= cut)
     whole = {r["transaction_id"]: r for r in features.novelty(timed).collect()}
-    for r in features.novelty(late, seen=features.seen_values(early)).collect():
+    for r in features.novelty(late, spread=spread, seen=features.seen_values(early)).collect():
         for c in features.NOVELTY_FEATURES:
             assert r[c] == whole[r["transaction_id"]][c]
 
@@ -150,7 +164,7 @@ def test_point_in_time_receiver_risk_with_and_without_hot_receivers(tied):
 
 # ----------------------------------------------------------- ordered scans
 
-def test_ordered_scan_over_one_hot_group(spark):
+def test_ordered_scan_over_one_hot_group(spark, many_slabs):
     rng = np.random.default_rng(3)
     rows = [("hot" if rng.random() < 0.6 else f"g{rng.integers(5)}", int(i), float(rng.integers(100))) for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, i long, v double").repartition(5)
@@ -163,14 +177,10 @@ def test_ordered_scan_over_one_hot_group(spark):
     assert {r["i"]: (r["s"], r["m"], r["n"]) for r in out.collect()} == want
 
 
-def test_ordered_scan_uses_many_slabs(spark):
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        df = spark.range(5000).withColumn("g", F.lit("one"))
-        out = ordered_scan(df, ["g"], [F.col("id")], {"n": ("sum", F.lit(1))})
-        assert out.filter("n <> id + 1").count() == 0 and out.count() == 5000
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+def test_ordered_scan_of_one_group_is_a_rank(spark, many_slabs):
+    df = spark.range(5000).withColumn("g", F.lit("one"))
+    out = ordered_scan(df, ["g"], [F.col("id")], {"n": ("sum", F.lit(1))})
+    assert out.filter("n <> id + 1").count() == 0 and out.count() == 5000
 
 
 def test_ordered_scan_treats_null_as_a_group(spark):
@@ -229,3 +239,9 @@ def test_salted_attach_equals_a_plain_join(spark):
     plain = sorted(map(tuple, attach(facts, stats, ["k"]).collect()), key=str)
     salted = sorted(map(tuple, attach(facts, stats, ["k"], hot, 30).collect()), key=str)
     assert plain == salted and len(plain) == len(rows)
+
+
+def test_empty_tables_have_no_heavy_keys_and_no_features(spark, many_slabs):
+    empty = spark.createDataFrame([], TRANSACTION)
+    assert heavy_codes(empty, {"k": ["sender_account"]}) == {"k": {}}
+    assert features.engineer(empty).count() == 0

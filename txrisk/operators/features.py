@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from txrisk.operators.ordered import ordered_scan
 from txrisk.operators.skew import HOT_ROWS, attach, heavy_codes, key_code
 from txrisk.schema import COLUMNS, DEFAULT_LABEL_RATE, Columns
+from txrisk.session import materialise
 
 HOUR_US = 3_600_000_000
 
@@ -493,30 +494,47 @@ def _novelty_windows(named: DataFrame, cols: Columns) -> DataFrame:
     )
 
 
-def _novelty_scans(known: DataFrame, cols: Columns) -> DataFrame:
+def _novelty_scans(hot: DataFrame, cols: Columns) -> DataFrame:
+    """F4 of hot senders: their rows are cut once into time-ordered slabs of a task's size.
+
+    Counts run within a slab. What a slab must add to them comes from one row per (slab, sender,
+    value): the value's earlier count, and how many values of the sender first appeared in
+    earlier slabs. Nothing but these small tables crosses slabs.
+    """
     order = _novelty_order(cols)
-    one = F.lit(1).cast("long")
-    nth = ordered_scan(known, [cols.sender, "_loc"], order, {"location_frequency": ("sum", one)})
-    nth = nth.withColumn("location_frequency", F.col("location_frequency") + F.col("_loc0"))
-    nth = ordered_scan(nth, [cols.sender, "_dev"], order, {"device_frequency": ("sum", one)})
-    nth = nth.withColumn("device_frequency", F.col("device_frequency") + F.col("_dev0"))
-    counted = ordered_scan(
-        nth,
-        [cols.sender],
-        order,
-        {
-            "sender_location_count": ("sum", _first("location_frequency")),
-            "sender_device_count": ("sum", _first("device_frequency")),
-        },
-    )
-    return counted.withColumns(
-        {
-            "new_location_flag": _first("location_frequency"),
-            "new_device_flag": _first("device_frequency"),
-            "sender_location_count": F.col("sender_location_count") + F.col("_locs0"),
-            "sender_device_count": F.col("sender_device_count") + F.col("_devs0"),
-        }
+    slabs = materialise(
+        hot.repartitionByRange(F.col(cols.sender), *order).withColumn("_slab", F.spark_partition_id()), "slabs"
     )
+    upto = (Window.unboundedPreceding, 0)
+    before = (Window.unboundedPreceding, -1)
+    out = slabs
+    for kind, base, distinct0, name in (
+        ("_loc", "_loc0", "_locs0", "location"), ("_dev", "_dev0", "_devs0", "device"),
+    ):
+        per_value = slabs.groupBy("_slab", cols.sender, kind).agg(
+            F.count("*").alias("_n"), F.max(base).alias("_base")
+        )
+        earlier = Window.partitionBy(cols.sender, kind).orderBy("_slab").rowsBetween(*before)
+        counts = per_value.select("_slab", cols.sender, kind, F.sum("_n").over(earlier).alias("_before"))
+        # A value is new in the first slab that holds it, if the state did not know it.
+        new = per_value.groupBy(cols.sender, kind).agg(F.min("_slab").alias("_slab"), F.max("_base").alias("_base"))
+        new = new.filter("_base = 0").groupBy("_slab", cols.sender).agg(F.count("*").alias("_new"))
+        # One row per slab and hot sender: slabs plus senders at most, small enough to broadcast.
+        parts = per_value.select("_slab", cols.sender).distinct().join(new, ["_slab", cols.sender], "left")
+        past = Window.partitionBy(cols.sender).orderBy("_slab").rowsBetween(*before)
+        parts = parts.select("_slab", cols.sender, F.sum("_new").over(past).alias("_known"))
+        nth = F.row_number().over(Window.partitionBy("_slab", cols.sender, kind).orderBy(*order))
+        frequency = nth + F.coalesce("_before", F.lit(0)) + F.col(base)
+        out = out.join(counts, ["_slab", cols.sender, kind], "left").withColumn(f"{name}_frequency", frequency)
+        flag = _first(f"{name}_frequency")
+        running = F.sum(flag).over(Window.partitionBy("_slab", cols.sender).orderBy(*order).rowsBetween(*upto))
+        out = out.join(F.broadcast(parts), ["_slab", cols.sender], "left").withColumns(
+            {
+                f"new_{name}_flag": flag,
+                f"sender_{name}_count": running + F.coalesce("_known", F.lit(0)) + F.col(distinct0),
+            }
+        ).drop("_before", "_known")
+    return out
 
 
 # ------------------------------------------------------------ F5: pairs

@@ -31,10 +31,15 @@ def heavy_codes(df: DataFrame, keysets: dict[str, Sequence[str]], hot_rows: int
     partly = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("_part")).agg(
         *[sketched("approx_top_k_accumulate", key_code(keys), name) for name, keys in keysets.items()]
     )
-    merged = partly.agg(*[sketched("approx_top_k_combine", F.col(name), name) for name in keysets])
+    # Grouped, though into one group: a partial merge without a key fails on an empty partition.
+    merged = partly.groupBy(F.pmod("_part", F.lit(1)).alias("_all")).agg(
+        *[sketched("approx_top_k_combine", F.col(name), name) for name in keysets]
+    )
     row = merged.select(
         *[F.call_function("approx_top_k_estimate", F.col(n), F.lit(TOP_KEYS)).alias(n) for n in keysets]
     ).first()
+    if row is None:  # no rows at all
+        return {name: {} for name in keysets}
     return {
         name: {item["item"]: item["count"] for item in (row[name] or []) if item["count"] > hot_rows}
         for name in keysets

@@ -62,14 +62,17 @@ def windows(df, **settings):
     return {r["transaction_id"]: tuple(r[c] for c in names) for r in features.sender_windows(df, **settings).collect()}
 
 
-@pytest.mark.parametrize("plan", ["framed", "blocks", "narrow blocks", "crowded"])
+@pytest.mark.parametrize("plan", ["frames", "blocks", "narrow blocks", "crowded", "mixed"])
 def test_sender_windows_equal_a_deque(tied, many_slabs, plan):
     spread = features.traffic(tied)
+    mixed = features.traffic(tied, dense_day=45)
+    assert spread.busy == frozenset() and len(mixed.busy) == 1
     settings = {
-        "framed": {"spread": spread, "dense_day": 10**9},
-        "blocks": {"spread": spread, "dense_day": 0},
-        "narrow blocks": {"spread": dataclasses.replace(spread, busiest_hour=400_000), "dense_day": 0},
-        "crowded": {"spread": dataclasses.replace(spread, busiest_hour=400_000, hot_rows=3), "dense_day": 0},
+        "frames": {"plan": "frames"},
+        "blocks": {"spread": spread, "plan": "blocks"},
+        "narrow blocks": {"spread": dataclasses.replace(spread, busiest_hour=400_000), "plan": "blocks"},
+        "crowded": {"spread": dataclasses.replace(spread, busiest_hour=400_000, hot_rows=3), "plan": "blocks"},
+        "mixed": {"spread": mixed},
     }[plan]
     got, want = windows(tied, **settings), expected_windows(tied_rows())
     assert got.keys() == want.keys()
@@ -138,6 +141,21 @@ def test_features_do_not_depend_on_order_or_partitions(tied):
         assert list(x)[1:] == pytest.approx(list(y)[1:], abs=1e-6)
 
 
+@pytest.mark.parametrize("busy", ["some", "all", "hot"])
+def test_features_do_not_depend_on_the_plan(tied, many_slabs, busy):
+    spread = features.traffic(tied, hot_rows=60, dense_day=45) if busy == "hot" else features.traffic(tied, dense_day=45)
+    if busy == "all":
+        spread = dataclasses.replace(spread, busy=None)
+    if busy == "hot":
+        assert spread.hot_senders and spread.hot_receivers
+    names = ["transaction_id", *features.ENGINEERED]
+    plain = sorted(features.engineer(tied).select(names).collect())
+    other = sorted(features.engineer(tied, spread=spread).select(names).collect())
+    for x, y in zip(plain, other):
+        assert list(x)[1:] == pytest.approx(list(y)[1:], abs=1e-6)
+    assert len(plain) == len(other) == 400
+
+
 def test_history_gives_a_batch_its_past(tied):
     timed = tied.filter("timestamp IS NOT NULL")
     cut = BASE + timedelta(hours=30)

@@ -47,35 +47,69 @@ def micros(time_col: str) -> Column:
 
 # ------------------------------------------------------------------ traffic
 
+DENSE_DAY = 256  # rows per sender and day above which re-reading a moving frame costs more than a sort
+MANY_SENDERS = 10_000  # most senders that are told apart by a list
+
+
 @dataclass(frozen=True)
 class Traffic:
-    """What the plans need to know about the spread of a table (one scan, two small jobs)."""
+    """What the plans need to know about the spread of a table (small jobs over few columns).
+
+    ``busy`` lists the senders, by hash code, that are dense (many rows in a day) or hot (many
+    in all); None stands for "too many to list: treat every sender so".
+    """
 
-    busiest_day: int  # most rows of one sender in one day
-    busiest_hour: int  # most rows of one sender in one hour
+    busiest_hour: int  # most rows of one sender in one hour, or an upper bound of it
+    busy: frozenset[int] | None
     hot_senders: dict[int, int]
     hot_receivers: dict[int, int]
     hot_pairs: dict[int, int]
     hot_rows: int = HOT_ROWS
 
 
-def traffic(df: DataFrame, cols: Columns = COLUMNS, hot_rows: int = HOT_ROWS) -> Traffic:
+def traffic(
+    df: DataFrame, cols: Columns = COLUMNS, hot_rows: int = HOT_ROWS, dense_day: int = DENSE_DAY
+) -> Traffic:
     hour = F.floor(F.unix_seconds(F.col(cols.time).cast("timestamp")) / 3600)
-    per_hour = df.groupBy(cols.sender, hour.alias("_hour")).count()
+    per_hour = df.filter(F.col(cols.sender).isNotNull()).groupBy(cols.sender, hour.alias("_hour")).count()
     per_day = per_hour.groupBy(cols.sender, F.floor(F.col("_hour") / 24).alias("_day")).agg(
         F.sum("count").alias("day"), F.max("count").alias("hour")
     )
-    busiest = per_day.filter(F.col(cols.sender).isNotNull()).agg(F.max("day"), F.max("hour")).first()
+    # Only dense senders come back, the busiest first, and no more than can be listed.
+    dense = (
+        per_day.groupBy(key_code([cols.sender]).alias("code"))
+        .agg(F.max("day").alias("day"), F.max("hour").alias("hour"))
+        .filter(F.col("day") > dense_day)
+        .orderBy(F.col("hour").desc(), "code")
+        .limit(MANY_SENDERS + 1)
+        .collect()
+    )
     heavy = heavy_codes(
-        df,
+        df.filter(F.col(cols.sender).isNotNull()),
         {"sender": [cols.sender], "receiver": [cols.receiver], "pair": [cols.sender, cols.receiver]},
         hot_rows,
     )
+    listed = len(dense) <= MANY_SENDERS
     return Traffic(
-        busiest[0] or 0, busiest[1] or 0, heavy["sender"], heavy["receiver"], heavy["pair"], hot_rows
+        busiest_hour=dense[0]["hour"] if dense else dense_day,
+        busy=frozenset(heavy["sender"]) | {r["code"] for r in dense} if listed else None,
+        hot_senders=heavy["sender"],
+        hot_receivers=heavy["receiver"],
+        hot_pairs=heavy["pair"],
+        hot_rows=hot_rows,
     )
 
 
+def by_traffic(df: DataFrame, cols: Columns, spread: Traffic) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows of ordinary senders, rows of busy senders); a side that is known to be empty is None."""
+    if spread.busy is None:
+        return None, df
+    if not spread.busy:
+        return df, None
+    is_busy = F.col(cols.sender).isNotNull() & key_code([cols.sender]).isin(list(spread.busy))
+    return df.filter(~is_busy), df.filter(is_busy)
+
+
 # ----------------------------------------------------------------- F1: time
 
 def time_features(df: DataFrame, cols: Columns = COLUMNS) -> DataFrame:
@@ -115,31 +149,30 @@ def time_features(df: DataFrame, cols: Columns = COLUMNS) -> DataFrame:
 
 # ------------------------------------------------------ F2: sender windows
 
-DENSE_DAY = 256  # rows per sender and day above which re-reading a moving frame costs more than a sort
-
-
 def sender_windows(
-    df: DataFrame,
-    cols: Columns = COLUMNS,
-    spread: Traffic | None = None,
-    dense_day: int = DENSE_DAY,
+    df: DataFrame, cols: Columns = COLUMNS, spread: Traffic | None = None, plan: str = "auto"
 ) -> DataFrame:
     """each sender's activity in the preceding 1 h and 24 h.
 
     The row itself is outside, a row exactly 1 h / 24 h old is inside, and rows of the
     same instant count when their id is smaller. Rows without sender or time get 0.
 
-    Two equal plans. Sparse senders: moving range frames, one exchange on the sender.
-    A moving frame re-reads its rows for every row, so it is quadratic in the traffic
-    of a day; with a dense sender the time-block plan is used, which is linear and
-    splits a sender over many tasks (:func:`_blocked_windows`).
+    Two equal plans. ``frames`` for ordinary senders: moving range frames, one exchange on the
+    sender. A moving frame re-reads its rows for every row, so it is quadratic in the traffic
+    of a day; ``blocks`` for busy senders is linear and splits a sender over many tasks
+    (:func:`_blocked_windows`). ``auto`` gives each sender its plan.
     """
-    spread = spread or traffic(df, cols)
     us = micros(cols.time)
-    if spread.busiest_day > dense_day or spread.hot_senders:
-        windows = _blocked_windows(df, cols, spread)
-    else:
+    names = [*df.columns, "_n1", "_n24", "_sum1", "_sum24", "_max24"]
+    if plan == "frames":
         windows = _framed_windows(df, cols)
+    else:
+        spread = spread or traffic(df, cols)
+        plain, busy = by_traffic(df, cols, spread) if plan == "auto" else (None, df)
+        sides = [] if plain is None else [_framed_windows(plain, cols).select(*names)]
+        if busy is not None:
+            sides.append(_blocked_windows(busy, cols, spread).select(*names))
+        windows = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
     keyed = F.col(cols.sender).isNotNull() & us.isNotNull()
 
     def kept(value: Column, kind: str) -> Column:
@@ -611,14 +644,17 @@ def engineer(
             history.withColumn("_new", F.lit(False)), allowMissingColumns=True
         )
     spread = spread or traffic(rows, cols)
-    plain = spread.busiest_day <= DENSE_DAY and not spread.hot_senders
-    out = by_sender(rows, cols) if plain else rows
-    out = sender_windows(novelty(out, cols, spread), cols, spread)
-    if plain:  # no hot sender, hence no hot pair: F5 shares the exchange of F2 and F4
-        out = _pair_windows(out, cols)
+    plain, busy = by_traffic(rows, cols, spread)
+    per_sender = [*rows.columns, *SENDER_FEATURES, *NOVELTY_FEATURES, *PAIR_FEATURES]
+    parts = []
+    if plain is not None:  # no hot sender, hence no hot pair: F2, F4 and F5 share one exchange
+        shared = sender_windows(novelty(by_sender(plain, cols), cols), cols, plan="frames")
+        parts.append(_pair_windows(shared, cols).select(*per_sender))
+    if busy is not None:
+        spread_out = sender_windows(novelty(busy, cols, spread), cols, spread, plan="blocks")
+        parts.append(pair_features(spread_out, cols, spread, source=busy).select(*per_sender))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     out = receiver_risk(out, cols, spread, receiver_mode, stats, source=rows)
-    if not plain:
-        out = pair_features(out, cols, spread, source=rows)
     out = out.select(*rows.columns, *SENDER_FEATURES, *RECEIVER_FEATURES, *NOVELTY_FEATURES, *PAIR_FEATURES)
     if history is not None:
         out = out.filter("_new").drop("_new")

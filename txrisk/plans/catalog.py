@@ -70,7 +70,7 @@ def f2_ties(spark, d):
 def f2_dense(spark, d):
     """The time-block plan, on many rows per sender and instant."""
     tx = t.orders_as_wide_amounts(spark, d)
-    out = features.sender_windows(tx, dense_day=0).select("transaction_id", *features.SENDER_FEATURES)
+    out = features.sender_windows(tx, plan="blocks").select("transaction_id", *features.SENDER_FEATURES)
     return averaged(rounded(out, 4, SENDER_MONEY), SENDER_AVERAGES)
 
 

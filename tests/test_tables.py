@@ -123,6 +123,7 @@ def test_fills_and_clipping(spark):
     df = spark.createDataFrame([(float(i), "x") for i in range(100)] + [(1e6, None), (None, "y")], "v double, s string")
     clean = quality.resolve_quality(df)
     assert clean.filter("v IS NULL OR s IS NULL").count() == 0
+    assert set(quality.null_fills(df)) == {"v", "s"} and quality.null_fills(df.na.drop()) == {}
     assert clean.agg(F.max("v")).first()[0] < 1e6
     few = spark.createDataFrame([(float(i % 3),) for i in range(100)] + [(1e6,)], "v double")
     assert quality.outlier_bounds(few) == {}

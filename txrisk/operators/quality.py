@@ -157,10 +157,21 @@ def sanitise(df: DataFrame) -> DataFrame:
 
 
 def null_fills(df: DataFrame) -> dict[str, object]:
-    """V10 fit: median per numeric column (0 when empty), mode per text column ('unknown')."""
-    numeric = numeric_columns(df)
+    """V10 fit: median per numeric column (0 when empty), mode per text column ('unknown').
+
+    Only columns with holes are looked at: a unique id is never grouped by its values.
+    """
+    doubles = set(double_columns(df))
+
+    def known(c: str) -> Column:
+        return F.when(~F.isnan(c), F.col(c)) if c in doubles else F.col(c)
+
+    names = [*numeric_columns(df), *text_columns(df)]
+    counts = df.agg(F.count("*").alias("_n"), *[F.count(known(c)).alias(c) for c in names]).first()
+    holes = {c for c in names if counts[c] < counts["_n"]}
+    numeric = [c for c in numeric_columns(df) if c in holes]
+    text = [c for c in text_columns(df) if c in holes]
     medians = quantiles(df, {c: [0.5] for c in numeric}) if numeric else {}
-    text = text_columns(df)
     common = modes(df, text)
     fills: dict[str, object] = {c: (m[0] if m[0] is not None else 0.0) for c, m in medians.items()}
     fills.update({c: common[c][0] if c in common else "unknown" for c in text})

@@ -122,7 +122,7 @@ def resample(
     ranked = with_rank(df, [cols.label], [F.col(cols.id)], "_rank")
     draws = None
     for y, m in sizes.items():
-        pick = F.pmod(F.xxhash64(F.lit(seed), F.lit(y), F.col("id")), F.lit(n[y])) + 1
+        pick = F.pmod(hash_key("id", f"{seed}:{y}"), F.lit(n[y])) + 1
         part = df.sparkSession.range(m).select(
             F.lit(y).alias("_y"), F.col("id").alias("draw"), pick.alias("_pick")
         )

@@ -367,6 +367,12 @@ def oracle_sql() -> dict[str, str]:
  WHEN r <= c * 3 // 5 THEN 2 WHEN r <= c * 4 // 5 THEN 3 ELSE 4 END AS fold FROM
  (SELECT transaction_id, count(*) OVER (PARTITION BY is_fraud) AS c,
   row_number() OVER (PARTITION BY is_fraud ORDER BY {HASH}, transaction_id) AS r FROM tx) t""")
+    o["d6_resample"] = q(TX, """r AS (SELECT transaction_id, is_fraud, row_number() OVER (PARTITION BY is_fraud ORDER BY transaction_id) AS rank_,
+  count(*) OVER (PARTITION BY is_fraud) AS n FROM tx),
+ sizes AS (SELECT is_fraud, max(n) AS n FROM r GROUP BY 1),
+ draws AS (SELECT j AS draw, is_fraud, CAST('0x' || substr(md5('42:' || is_fraud || ':' || j), 1, 15) AS BIGINT) % n + 1 AS rank_
+  FROM range(2000) g(j), sizes)""",
+    "SELECT draw, transaction_id, is_fraud FROM draws JOIN r USING (is_fraud, rank_)")
     o["d8_assign_metadata"] = q(TX, """SELECT transaction_id, 'TXN' || lpad(CAST(r - 1 AS VARCHAR), 8, '0') AS sequence_id,
  (1704067200 + (r - 1) * 120)::BIGINT AS sequence_seconds, CASE WHEN is_fraud = 1 THEN 'synthetic_fraud' ELSE 'none' END AS fraud_type
  FROM (SELECT transaction_id, is_fraud, row_number() OVER (ORDER BY "timestamp", transaction_id) AS r FROM tx) t""")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import decontam, packing
+from txrisk.llm import decontam, langid, packing, toxicity
 from txrisk.llm.common import table
 from txrisk.llm.sql import oracle_sql
 
@@ -21,6 +21,27 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def id_remainder(name: str, parts: int) -> Column:
+    return F.crc32(F.col(name).cast("string").cast("binary")) % parts
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").filter(~held_out)
+    model = toxicity.fit(docs, labels)
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.scored(model, F.col("text"), spark).alias("score"))
+    return scored.select("*", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False))
+    model = langid.fit(docs.filter(~held_out))
+    guessed = docs.select("doc_id", held_out.alias("held_out"), langid.predict(model, F.col("text"), spark).alias("of"))
+    return guessed.select("doc_id", "held_out", F.col("of.lang").alias("lang_pred"), F.col("of.score").alias("score"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -34,6 +55,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_toxicity": op5_toxicity,
+        "op8_language_id": op8_language_id,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }

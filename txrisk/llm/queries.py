@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import decontam, langid, packing, toxicity
+from txrisk.llm import decontam, langid, lines, packing, quality, toxicity
 from txrisk.llm.common import table
 from txrisk.llm.sql import oracle_sql
 
@@ -21,6 +21,15 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.measured(table(spark, sf_dir, "documents")).drop("divergence")
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = lines.line_counts(table(spark, sf_dir, "documents"))
+    return counted.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def id_remainder(name: str, parts: int) -> Column:
     return F.crc32(F.col(name).cast("string").cast("binary")) % parts
 
@@ -55,6 +64,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": op1_quality_rules,
+        "op2_line_dedup": op2_line_dedup,
         "op5_toxicity": op5_toxicity,
         "op8_language_id": op8_language_id,
         "op9_best_fit_packing": op9_best_fit_packing,

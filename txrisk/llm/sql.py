@@ -1,5 +1,95 @@
 """DuckDB SQL for the queries of this package that SQL can express."""
 
+from txrisk.llm import quality
+
+
+def _shares(values) -> str:
+    return "[" + ", ".join(f"{float(v)!r}::DOUBLE" for v in values) + "]"
+
+
+def _texts(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _distance(counts: str, total: str, reference: str) -> str:
+    """Jensen-Shannon distance of counts / total to a list of shares."""
+    p, q = f"({counts}[i] / {total}::DOUBLE)", f"{reference}[i]"
+    return (
+        f"sqrt(greatest(list_sum(list_transform(range(1, len({reference}) + 1), lambda i: "
+        f"CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0.0::DOUBLE END + "
+        f"CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0.0::DOUBLE END)) / 2, 0.0::DOUBLE))"
+    )
+
+
+def op1() -> str:
+    langs = list(quality.COMMON_WORDS)
+    histograms, means = [], []
+    for lang in langs:
+        words = sorted(quality.COMMON_WORDS[lang])
+        histograms.append(
+            f"list_append([len(list_filter(common, lambda c: c = w)) FOR w IN {_texts(words)}], "
+            f"n_tokens - len(list_filter(common, lambda c: list_contains({_texts(words)}, c)))) AS h_{lang}"
+        )
+        means.append(
+            f"({_distance(f'h_{lang}', 'n_tokens', _shares(quality.word_reference(lang)))} + "
+            f"{_distance('classes', 'n_chars', _shares(quality.CHARACTER_SHARES[lang]))}) / 2"
+        )
+    return rf"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+a AS (
+  SELECT doc_id, r, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines,
+    list_filter(string_split_regex(lower(text), '{quality.BREAKS.replace("'", "''")}'), lambda x: x <> '') AS tokens
+  FROM t),
+windows AS (SELECT r, i, words[i : i + 4] AS win FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM a)),
+repeats AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM repeats) GROUP BY r),
+b AS (
+  SELECT doc_id, r, len(words) AS n_words, length(text) AS n_chars,
+    length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(tokens) AS n_tokens,
+    list_filter(tokens, lambda x: list_contains({_texts(quality.ALL_COMMON)}, x)) AS common,
+    length(regexp_replace(text, '[^\p{{Ll}}]+', '', 'g')) AS low, length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS up,
+    length(regexp_replace(text, '[^\p{{Nd}}]+', '', 'g')) AS digits,
+    length(regexp_replace(text, '[^.,;:!?''"()-]+', '', 'g')) AS marks
+  FROM a),
+c AS (
+  SELECT *, [low, up, digits, n_chars - word_chars, marks, word_chars - low - up - digits - marks] AS classes,
+    {", ".join(histograms)}
+  FROM b),
+d AS (
+  SELECT *, CASE WHEN n_words >= {quality.MIN_WORDS} AND n_chars >= {quality.MIN_CHARS} AND n_tokens > 0
+    THEN least({", ".join(means)}) END AS divergence
+  FROM c)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+  n_words < 10 OR 100 * coalesce(n, 0) > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * coalesce(n, 0) > 20 * n_words)
+    AND (divergence IS NULL OR divergence <= {quality.LIMIT}) AS kept
+FROM d LEFT JOIN covered USING (r)
+"""
+
+
+OP2 = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+l AS (
+  SELECT doc_id, r, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line
+  FROM (SELECT doc_id, r, string_split(text, chr(10)) AS lines FROM t)),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l),
+shared AS (
+  SELECT key, max(doc_id) AS largest FROM k WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 3),
+marked AS (
+  SELECT k.*, shared.key IS NOT NULL AND k.doc_id IS DISTINCT FROM largest AS lost FROM k LEFT JOIN shared USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (lost)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+FROM marked GROUP BY r
+"""
+
 OP10 = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''),
@@ -30,4 +120,8 @@ FROM d LEFT JOIN hit_words USING (r) LEFT JOIN items USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_benchmark_decontamination": OP10}
+    return {
+        "op1_quality_rules": op1(),
+        "op2_line_dedup": OP2,
+        "op10_benchmark_decontamination": OP10,
+    }

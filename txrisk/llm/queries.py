@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import decontam, langid, lines, packing, quality, toxicity
+from txrisk.llm import decontam, html, langid, lines, packing, quality, toxicity, warc
 from txrisk.llm.common import table
 from txrisk.llm.sql import oracle_sql
 
@@ -30,6 +30,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = table(spark, sf_dir, "pages").select("page_id", "url", html.extracted(F.col("html")).alias("text"))
+    return text.select("*", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def id_remainder(name: str, parts: int) -> Column:
     return F.crc32(F.col(name).cast("string").cast("binary")) % parts
 
@@ -43,6 +48,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("*", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False))
@@ -66,7 +76,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_line_dedup": op2_line_dedup,
+        "op3_html_extraction": op3_html_extraction,
         "op5_toxicity": op5_toxicity,
+        "op6_warc": op6_warc,
         "op8_language_id": op8_language_id,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,

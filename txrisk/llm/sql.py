@@ -119,9 +119,28 @@ FROM d LEFT JOIN hit_words USING (r) LEFT JOIN items USING (r)
 """
 
 
+# SHA-1 in base 32: five hex digits are twenty bits, which are four letters.
+OP6 = r"""
+WITH t AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (
+  SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS top FROM t),
+d AS (
+  SELECT *, list_transform(range(0, 8), lambda k: list_reduce(list_transform(string_split(substr(hex, 5 * k + 1, 5), ''),
+    lambda c: instr('0123456789abcdef', c) - 1), lambda a, b: 16 * a + b)) AS bits
+  FROM g)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(bits, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31)::BIGINT + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN top IS NULL OR page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN top IS NULL OR page_id IS NOT DISTINCT FROM top THEN NULL ELSE top END AS refers_to
+FROM d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": op1(),
         "op2_line_dedup": OP2,
+        "op6_warc": OP6,
         "op10_benchmark_decontamination": OP10,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import decontam, html, langid, lines, packing, quality, toxicity, warc
+from txrisk.llm import decontam, html, langid, lines, lm, packing, quality, toxicity, warc
 from txrisk.llm.common import table
 from txrisk.llm.sql import oracle_sql
 
@@ -35,6 +35,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("*", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def id_remainder(name: str, parts: int) -> Column:
     return F.crc32(F.col(name).cast("string").cast("binary")) % parts
 
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_line_dedup": op2_line_dedup,
         "op3_html_extraction": op3_html_extraction,
+        "op4_lm_scoring": op4_lm_scoring,
         "op5_toxicity": op5_toxicity,
         "op6_warc": op6_warc,
         "op8_language_id": op8_language_id,

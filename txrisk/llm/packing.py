@@ -1,9 +1,9 @@
 """Best-fit-decreasing packing of tokenised documents into sequences of a fixed length.
 
-Tokens. A document's ids come from the named tokenizer without special tokens, followed by one end id. White space
-never spans a token, so a text is split at ASCII white space, each distinct piece of text is encoded once per task
-by the tokenizer itself, and ids are gathered from that memo. The memo is a cache of bounded size: it is emptied
-when full, which costs time and changes nothing.
+Tokens. A document's ids come from the named tokenizer without special tokens, followed by one end id. Tokens never
+span white space, so a text is cut into pieces, each distinct piece is encoded by the tokenizer itself once per task,
+and ids are gathered from that memo. The memo is a cache of bounded size: it is emptied when full, which costs time and
+changes nothing.
 
 Packing. Only documents longer than a sequence are cut. Best-fit decreasing looks at lengths alone, so it runs on the
 histogram of lengths, which has at most ``capacity`` entries however many documents there are. A segment tree over
@@ -16,15 +16,20 @@ id and piece; repeated rows are packed once each; an empty table gives no rows;
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txrisk.llm import text as T
 from txrisk.llm.common import materialise
 
 CAPACITY = 4096
@@ -34,85 +39,91 @@ MEMO_IDS = 4_000_000
 CELLS = 256  # parts into which the pieces of one length are dealt for ranking
 _SPECIAL = "<|startoftext|>"
 
-_PIECES = pa.list_(pa.struct([("length", pa.int32()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 _PIECES_SQL = "array<struct<length:int,ids_crc32:bigint,ids:array<int>>>"
 
 
+_LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")  # a-z and the letters from U+00C0 to U+00FF
+# Byte-level models name a byte by a character: printable Latin-1 by itself, the others by U+0100 and up, in order.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class Encoder:
-    """Token ids of texts, through a bounded memo of the pieces between ASCII white space."""
+    """Token ids of texts, through a bounded memo of the pieces of text that tokens never span.
+
+    A text is cut at ASCII white space, and where an ASCII letter and one of ``SIGNS`` meet: the tokenizer cuts at
+    all these places too, whatever stands around them. A piece is known by a 64-bit hash of its bytes.
+    """
+
+    SIGNS = ".,!?;:*#$%&-()/\""  # without apostrophes, which may start a token with letters, and marks of special tokens
 
     def __init__(self, tokenizer_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor are its parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.mark = self.tokenizer.token_to_id(_SPECIAL)
+        self.letters = T.byte_class((0x61, 0x7A))
+        self.signs = T.byte_class(*[(ord(c), ord(c)) for c in self.SIGNS])
         self._empty()
 
     def _empty(self) -> None:
-        self.at: dict[bytes, int] = {}
+        self.at: dict[int, int] = {}
         self.bounds = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Encode new pieces: many in one call, parted by a special token that none of them contains."""
-        plain = [p for p in pieces if b"<|" not in p]
-        odd = [p for p in pieces if b"<|" in p]
-        lengths, found = [], []
-        groups = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
-        joined = [_SPECIAL.join(p.decode() for p in g) for g in groups]
-        for group, code in zip(groups, self._encode(joined)):
-            ids = np.array(code, np.uint32)
+    def _learn(self, codes: list[int], pieces: list[bytes]) -> None:
+        """Encode new pieces.
+
+        Latin letters alone are one word to the tokenizer, already in its normal form once lower-cased, so they go
+        straight to its model. Other pieces go through the whole tokenizer: many in one call, parted by a special token
+        that none of them contains.
+        """
+        simple = [k for k, p in enumerate(pieces) if _LATIN.fullmatch(p)]
+        rest = set(range(len(pieces))) - set(simple)
+        plain = sorted(k for k in rest if b"<|" not in pieces[k])
+        odd = sorted(k for k in rest if b"<|" in pieces[k])
+        model = self.tokenizer.model
+        words = [[t.id for t in model.tokenize(pieces[k].decode().lower().encode().decode("latin-1").translate(_BYTE_CHARS))] for k in simple]
+        lengths, found = [np.fromiter(map(len, words), np.int64, len(words))], [np.fromiter(chain.from_iterable(words), np.uint32)]
+        for low in range(0, len(plain), 200):
+            group = plain[low : low + 200]
+            ids = np.array(self._encode(_SPECIAL.join(pieces[k].decode() for k in group)), np.uint32)
             cut = ids == self.mark
-            cuts = np.concatenate([[-1], np.flatnonzero(cut), [len(ids)]])
-            lengths.append(np.diff(cuts) - 1)
+            lengths.append(np.diff(np.concatenate([[-1], np.flatnonzero(cut), [len(ids)]])) - 1)
             found.append(ids[~cut])
-            assert len(lengths[-1]) == len(group)
-        for code in self._encode([p.decode() for p in odd]):
-            lengths.append(np.array([len(code)]))
-            found.append(np.array(code, np.uint32))
+        for k in odd:
+            found.append(np.array(self._encode(pieces[k].decode()), np.uint32))
+            lengths.append(np.array([len(found[-1])]))
         base = len(self.at)
-        self.at.update((p, base + k) for k, p in enumerate(plain + odd))
+        self.at.update((codes[k], base + n) for n, k in enumerate(simple + plain + odd))
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(lengths))])
         self.ids = np.concatenate([self.ids, *found])
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def encode(self, text: bytes) -> np.ndarray:
-        pieces = text.split()
-        known = self.at
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def encode(self, texts: T.Texts) -> list[np.ndarray]:
+        """The ids of each text."""
+        # A-Z are lower-cased before, as the tokenizer does anyway, but for texts with marks of special tokens.
+        marked = b"<|" in texts.raw.tobytes()
+        raw = texts.raw if marked else T.LOWER[texts.raw]
+        piece = T.words(T.Texts(raw, texts.starts), T.SPACED, lower=False, parts=None if marked else (self.letters, self.signs))
+        back, code = pd.factorize(piece.hash)
+        first = np.zeros(len(code), np.int64)
+        first[back[::-1]] = np.arange(len(back))[::-1]
+        if len(self.at) > MEMO_ENTRIES or len(self.ids) > MEMO_IDS:
+            self._empty()
+        codes = code.tolist()
+        new = [k for k, c in enumerate(codes) if c not in self.at]
         if new:
-            self._learn(new)
-        if not pieces:
-            return np.zeros(0, np.uint32)
-        entry = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
-        low, size = self.bounds[entry], self.bounds[entry + 1] - self.bounds[entry]
-        total = np.cumsum(size)
-        return self.ids[np.arange(total[-1]) + np.repeat(low - (total - size), size)]
-
-    def encode_all(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """As ``encode`` for each; the new pieces of a group of texts are learnt together."""
-        for group in grouped(texts, 1 << 20):
-            if len(self.at) > MEMO_ENTRIES or len(self.ids) > MEMO_IDS:
-                self._empty()
-            known = self.at
-            new = [p for p in dict.fromkeys(p for t in group for p in t.split()) if p not in known]
-            if new:
-                self._learn(new)
-            yield from map(self.encode, group)
-
-
-def grouped(texts: list[bytes], limit: int) -> Iterator[list[bytes]]:
-    group, size = [], 0
-    for text in texts:
-        group.append(text)
-        size += len(text)
-        if size >= limit:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+            self._learn([codes[k] for k in new], [raw[piece.begin[w] : piece.end[w]].tobytes() for w in first[new]])
+        entry = np.fromiter(map(self.at.__getitem__, codes), np.int64, len(codes))
+        low, size = self.bounds[entry][back], (self.bounds[entry + 1] - self.bounds[entry])[back]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.arange(total[-1]) + np.repeat(low - total[:-1], size)]
+        bounds = total[piece.first]
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def tokenise(tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False):
@@ -125,16 +136,21 @@ def tokenise(tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID
     def pieces(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(tokenizer_file)
         for column in columns:
-            texts = column.cast(pa.binary()).fill_null(b"").to_pylist()
-            rows = []
-            for ids in encoder.encode_all(texts):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                cuts = [ids[k : k + capacity] for k in range(0, len(ids), capacity)]
-                rows.append([
-                    {"length": len(c), "ids_crc32": zlib.crc32(c.tobytes()), "ids": c.tolist() if with_ids else None}
-                    for c in cuts
-                ])
-            yield pa.array(rows, _PIECES)
+            first, length, crc, ids = [0], [], [], []
+            for texts in T.chunks(column):
+                for found in encoder.encode(texts):
+                    whole = np.append(found, np.uint32(end_id)).astype("<u4")
+                    for low in range(0, len(whole), capacity):
+                        part = whole[low : low + capacity]
+                        length.append(len(part))
+                        crc.append(zlib.crc32(part.tobytes()))
+                        ids.append(part.astype(np.int32) if with_ids else None)
+                    first.append(len(length))
+            of = pa.StructArray.from_arrays(
+                [pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(ids, pa.list_(pa.int32()))],
+                ["length", "ids_crc32", "ids"],
+            )
+            yield pa.ListArray.from_arrays(pa.array(first, pa.int32()), of)
 
     return pieces
 

@@ -13,7 +13,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20  # texts are taken in groups of about this size, to bound the temporary arrays
+CHUNK_BYTES = 1 << 20  # texts are taken in groups of about this size, to bound the temporary arrays
 _U64 = np.uint64
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -96,8 +96,11 @@ class Words:
         return np.diff(self.first)
 
 
-def words(texts: Texts, inside: np.ndarray, lower: bool = True) -> Words:
-    """Maximal runs of bytes of the class ``inside``; runs end where a text ends."""
+def words(texts: Texts, inside: np.ndarray, lower: bool = True, parts: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
+    """Maximal runs of bytes of the class ``inside``; runs end where a text ends.
+
+    With ``parts``, two byte classes, a run is also cut wherever a byte of one class meets one of the other.
+    """
     raw = LOWER[texts.raw] if lower else texts.raw
     size = len(raw)
     mask = np.zeros(size + 1, bool)
@@ -106,6 +109,9 @@ def words(texts: Texts, inside: np.ndarray, lower: bool = True) -> Words:
     before[1:] = mask[:-1]
     cut = np.zeros(size + 1, bool)  # a text starts here: the run before it is over
     cut[texts.starts] = True
+    if parts is not None and size > 1:
+        one, other = parts[0][raw], parts[1][raw]
+        cut[1:size] |= (one[:-1] & other[1:]) | (other[:-1] & one[1:])
     begin = np.flatnonzero(mask & (~before | cut))
     end = np.flatnonzero(before & (~mask | cut))
     total = np.zeros(size + 1, _U64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import decontam, html, langid, lines, lm, packing, quality, toxicity, warc
+from txrisk.llm import decontam, html, langid, lines, lm, neardup, packing, quality, toxicity, warc
 from txrisk.llm.common import table
 from txrisk.llm.sql import oracle_sql
 
@@ -57,6 +57,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+    kept = neardup.is_kept(F.col("doc_id"), F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False))
@@ -84,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_lm_scoring": op4_lm_scoring,
         "op5_toxicity": op5_toxicity,
         "op6_warc": op6_warc,
+        "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_language_id": op8_language_id,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,

@@ -16,12 +16,12 @@ id and piece; repeated rows are packed once each; an empty table gives no rows;
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -42,10 +42,96 @@ _SPECIAL = "<|startoftext|>"
 _PIECES_SQL = "array<struct<length:int,ids_crc32:bigint,ids:array<int>>>"
 
 
-_LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")  # a-z and the letters from U+00C0 to U+00FF
+def small_latin(raw: np.ndarray) -> np.ndarray:
+    """Bytes of the letters a-z and of the small letters from U+00DF to U+00FF."""
+    tail = (raw >= 0x9F) & (raw <= 0xBF) & (raw != 0xB7)
+    lead = raw == 0xC3
+    pair = lead[:-1] & tail[1:]
+    yes = (raw >= 0x61) & (raw <= 0x7A)
+    yes[:-1] |= pair
+    yes[1:] |= pair
+    return yes
+
+
 # Byte-level models name a byte by a character: printable Latin-1 by itself, the others by U+0100 and up, in order.
-_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_BYTE_CHARS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+BYTE_CHARS = [chr(b) if b in _PRINTABLE else chr(0x100 + _OTHERS.index(b)) for b in range(256)]
+
+
+class Merges:
+    """Byte-pair merges of a tokenizer file, applied to many words at once.
+
+    In each round every unfinished word merges its pair of least rank, the leftmost of equals; a word is finished when
+    no neighbours are a pair. Only byte-level models with a mark at word ends are taken; for others ``usable`` is false.
+    """
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, tokenizer):
+        spec = json.loads(tokenizer.to_str())
+        model, vocab = spec["model"], spec["model"]["vocab"]
+        end = model.get("end_of_word_suffix")
+        self.usable = bool(end) and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        self.usable = self.usable and all(c in vocab and c + end in vocab for c in BYTE_CHARS)
+        if not self.usable:
+            return
+        self.inner = np.array([vocab[c] for c in BYTE_CHARS], np.int64)
+        self.last = np.array([vocab[c + end] for c in BYTE_CHARS], np.int64)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.rank_of = np.argsort(keys, kind="stable").astype(np.int32)
+        self.keys = keys[self.rank_of]
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 20 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank_of[at], self.NONE)
+
+    def apply(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and all ids in order."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        token = self.inner[data]
+        token[np.cumsum(sizes) - 1] = self.last[data[np.cumsum(sizes) - 1]]
+        rank = np.full(len(token), self.NONE)
+        inside = np.flatnonzero(owner[:-1] == owner[1:])
+        rank[inside] = self.ranks(token[inside], token[inside + 1])
+        owners, tokens = [], []
+        while len(token):
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(token))))
+            going = least < self.NONE
+            if not going.all():
+                owners.append(owner[~going])
+                tokens.append(token[~going])
+                token, owner, rank, least = token[going], owner[going], rank[going], least[going]
+            at = np.flatnonzero(rank == least)
+            at = at[np.concatenate([[True], owner[at[1:]] != owner[at[:-1]]])] if len(at) else at
+            token[at] = self.made[rank[at]]
+            stays = np.ones(len(token), bool)
+            stays[at + 1] = False
+            token, owner, rank = token[stays], owner[stays], rank[stays]
+            at = at - np.arange(len(at))
+            for left in (at - 1, at):
+                ok = (left >= 0) & (left + 1 < len(token))
+                ok[ok] = owner[left[ok]] == owner[left[ok] + 1]
+                over = left[(left >= 0) & ~ok]
+                rank[over] = self.NONE
+                rank[left[ok]] = self.ranks(token[left[ok]], token[left[ok] + 1])
+        owner, token = np.concatenate(owners), np.concatenate(tokens)
+        order = np.argsort(owner, kind="stable")
+        return np.bincount(owner, minlength=len(words)), token[order].astype(np.uint32)
+
+
+@cache
+def encoder(tokenizer_file: str) -> "Encoder":
+    """One for each worker process and file."""
+    return Encoder(tokenizer_file)
 
 
 class Encoder:
@@ -63,6 +149,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.mark = self.tokenizer.token_to_id(_SPECIAL)
+        self.merges = Merges(self.tokenizer)
         self.letters = T.byte_class((0x61, 0x7A))
         self.signs = T.byte_class(*[(ord(c), ord(c)) for c in self.SIGNS])
         self._empty()
@@ -72,20 +159,18 @@ class Encoder:
         self.bounds = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, codes: list[int], pieces: list[bytes]) -> None:
+    def _learn(self, codes: list[int], pieces: list[bytes], latin: list[bool]) -> None:
         """Encode new pieces.
 
-        Latin letters alone are one word to the tokenizer, already in its normal form once lower-cased, so they go
-        straight to its model. Other pieces go through the whole tokenizer: many in one call, parted by a special token
-        that none of them contains.
+        Latin letters alone are one word to the tokenizer, and its merges are applied to all such pieces at once.
+        Others go through the tokenizer, many in one call, parted by a special token that none of them contains.
         """
-        simple = [k for k, p in enumerate(pieces) if _LATIN.fullmatch(p)]
-        rest = set(range(len(pieces))) - set(simple)
-        plain = sorted(k for k in rest if b"<|" not in pieces[k])
-        odd = sorted(k for k in rest if b"<|" in pieces[k])
-        model = self.tokenizer.model
-        words = [[t.id for t in model.tokenize(pieces[k].decode().lower().encode().decode("latin-1").translate(_BYTE_CHARS))] for k in simple]
-        lengths, found = [np.fromiter(map(len, words), np.int64, len(words))], [np.fromiter(chain.from_iterable(words), np.uint32)]
+        simple = [k for k, yes in enumerate(latin) if yes]
+        rest = [k for k, yes in enumerate(latin) if not yes]
+        plain = [k for k in rest if b"<|" not in pieces[k]]
+        odd = [k for k in rest if b"<|" in pieces[k]]
+        size, ids = self.merges.apply([pieces[k] for k in simple])
+        lengths, found = [size], [ids]
         for low in range(0, len(plain), 200):
             group = plain[low : low + 200]
             ids = np.array(self._encode(_SPECIAL.join(pieces[k].decode() for k in group)), np.uint32)
@@ -96,7 +181,7 @@ class Encoder:
             found.append(np.array(self._encode(pieces[k].decode()), np.uint32))
             lengths.append(np.array([len(found[-1])]))
         base = len(self.at)
-        self.at.update((codes[k], base + n) for n, k in enumerate(simple + plain + odd))
+        self.at.update(zip([codes[k] for k in simple + plain + odd], range(base, base + len(pieces))))
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(lengths))])
         self.ids = np.concatenate([self.ids, *found])
 
@@ -117,7 +202,12 @@ class Encoder:
         codes = code.tolist()
         new = [k for k, c in enumerate(codes) if c not in self.at]
         if new:
-            self._learn([codes[k] for k in new], [raw[piece.begin[w] : piece.end[w]].tobytes() for w in first[new]])
+            data, at = raw.tobytes(), first[new]
+            begin, end = piece.begin[at], piece.end[at]
+            other = np.concatenate([[0], np.cumsum(~small_latin(raw))])
+            latin = (other[end] == other[begin]) & self.merges.usable
+            bounds = zip(begin.tolist(), end.tolist())
+            self._learn([codes[k] for k in new], [data[a:b] for a, b in bounds], latin.tolist())
         entry = np.fromiter(map(self.at.__getitem__, codes), np.int64, len(codes))
         low, size = self.bounds[entry][back], (self.bounds[entry + 1] - self.bounds[entry])[back]
         total = np.concatenate([[0], np.cumsum(size)])
@@ -134,11 +224,11 @@ def tokenise(tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID
 
     @F.arrow_udf(_PIECES_SQL)
     def pieces(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(tokenizer_file)
+        known = encoder(tokenizer_file)
         for column in columns:
             first, length, crc, ids = [0], [], [], []
             for texts in T.chunks(column):
-                for found in encoder.encode(texts):
+                for found in known.encode(texts):
                     whole = np.append(found, np.uint32(end_id)).astype("<u4")
                     for low in range(0, len(whole), capacity):
                         part = whole[low : low + capacity]

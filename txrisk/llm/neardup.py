@@ -13,7 +13,7 @@ with equal sets form a class and only classes are compared. Two classes are link
 4. A bucket whose members are all in one component by then is done. In others, the members outside the bucket's largest
    component meet all members of other components, block by block with signatures, which covers every pair of the
    bucket that could still add a link. Their survivors are verified too: first the likeliest for each two
-   components, then those that still link different ones.
+   components, then, with the components that leaves, all others.
 
 Shingles stand for themselves by 64-bit hashes; a set is named by a 128-bit one.
 
@@ -123,7 +123,9 @@ def buckets(classes: DataFrame) -> DataFrame:
     the first of a run is led by that first one. A run at an end of a partition may go on in the next: the leaders of
     the first and the last run of each partition are noted, and a second, small pass leads those of one bucket to the least.
     """
-    rows = classes.select(F.posexplode("bands").alias("band", "code"), "key").select(F.xxhash64("band", "code").alias("bucket"), "key")
+    rows = classes.select(F.posexplode("bands").alias("band", "code"), "key").select(
+        (F.shiftleft("code", 6) + F.col("band")).alias("bucket"), "key"  # the low six bits name the band
+    )
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, leader = None, None
@@ -272,12 +274,19 @@ def _labelled(rows: DataFrame, column: str, labels: DataFrame, name: str) -> Dat
     return rows.join(known, column, "left").withColumn(name, F.coalesce("_label", column)).drop("_label")
 
 
-def surviving_across(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose members are in different components."""
+    known = _labelled(_labelled(pairs.select("a", "b"), "a", labels, "ca"), "b", labels, "cb")
+    return known.filter("ca != cb").select("a", "b").distinct()
+
+
+def surviving_across(members: DataFrame, labels: DataFrame, classes: DataFrame, best_only: bool) -> DataFrame:
     """(a, b, matches, ca, cb) of pairs in one bucket but different components that pass the comparison.
 
     In a bucket with several components, the members outside its largest one (pivots) meet all members of other
     components. Both are dealt to blocks, and each block of pivots meets each block of members in a task
-    of its own, which compares signatures in place and gives back survivors only.
+    of its own, which compares signatures in place and gives back survivors only: each pair once, in the first
+    bucket that both are in, or with ``best_only`` the likeliest pair of each pivot and other component.
     """
     placed = _labelled(members.select("bucket", "key").distinct(), "key", labels, "component")
     sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -289,35 +298,45 @@ def surviving_across(members: DataFrame, labels: DataFrame, classes: DataFrame)
         F.ceil((F.col("all") - F.col("home.n")) / PIVOTS).cast("int").alias("pivot_blocks"),
         F.ceil(F.col("all") / OTHERS).cast("int").alias("other_blocks"),
     )
-    rows = placed.join(blocks, "bucket").join(classes.select("key", "n", "signature"), "key")
+    rows = placed.join(blocks, "bucket").join(classes.select("key", "n", "signature", "bands"), "key")
+    rows = rows.withColumn("away", F.col("component") != F.col("home"))
     mine = lambda count: F.pmod(F.xxhash64("key"), F.col(count)).cast("int")
     upto = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    pivots = rows.filter("component != home").select(
-        "*", F.lit(True).alias("pivot"), mine("pivot_blocks").alias("i"), upto("other_blocks").alias("j")
-    )
+    pivots = rows.filter("away").select("*", F.lit(True).alias("pivot"), mine("pivot_blocks").alias("i"), upto("other_blocks").alias("j"))
     others = rows.select("*", F.lit(False).alias("pivot"), upto("pivot_blocks").alias("i"), mine("other_blocks").alias("j"))
-    cells = pivots.unionByName(others).select("bucket", "i", "j", "pivot", "key", "component", "n", "signature")
+    cells = pivots.unionByName(others).select("bucket", "i", "j", "pivot", "away", "key", "component", "n", "signature", "bands")
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        pivot = table.column("pivot").to_numpy()
-        key, component = (np.array(table.column(c).to_pylist(), object) for c in ("key", "component"))
+        band = int(table.column("bucket")[0].as_py()) & 63
+        pivot, away = table.column("pivot").to_numpy(), table.column("away").to_numpy()
+        key, component = table.column("key").to_pylist(), table.column("component").to_pylist()
+        names = {c: k for k, c in enumerate(sorted(set(component)))}
+        group = np.array([names[c] for c in component])
+        order = np.empty(len(key), np.int64)
+        order[sorted(range(len(key)), key=key.__getitem__)] = np.arange(len(key))
         sizes, sign = table.column("n").to_numpy(), _unpacked(table.column("signature").combine_chunks())
-        _, group = np.unique(component.astype("S16") if len(component) else component, return_inverse=True)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         other = np.flatnonzero(~pivot)
-        out = {c: [] for c in ("a", "b", "ca", "cb", "matches")}
+        pairs: list[tuple[int, int, int]] = []
         for p in np.flatnonzero(pivot):
-            at = other[group[other] != group[p]]
+            # Two members away from home are both pivots: the lesser key keeps the pair.
+            at = other[(group[other] != group[p]) & (~away[other] | (order[other] > order[p]))]
             got = compare(sign[np.full(len(at), p)], sign[at], sizes[np.full(len(at), p)], sizes[at])
-            for k in np.flatnonzero(got >= 0):
-                o = at[k]
-                x, y = sorted([(component[p], key[p]), (component[o], key[o])])
-                for c, v in zip(("ca", "a", "cb", "b", "matches"), (*x, *y, int(got[k]))):
-                    out[c].append(v)
+            at, got = at[got >= 0], got[got >= 0]
+            if best_only:
+                ranked = np.lexsort((at, -got, group[at]))
+                at, got = at[ranked], got[ranked]
+                chosen = np.concatenate([[True], group[at[1:]] != group[at[:-1]]]) if len(at) else []
+            else:
+                chosen = (bands[at] == bands[p]).argmax(1) == band if len(at) else []
+            pairs += [(p, o, m) for o, m in zip(at[chosen], got[chosen])] if len(at) else []
+        out = {"a": [key[p] for p, _, _ in pairs], "b": [key[o] for _, o, _ in pairs]}
+        out |= {"ca": [component[p] for p, _, _ in pairs], "cb": [component[o] for _, o, _ in pairs], "matches": [int(m) for _, _, m in pairs]}
         return pa.table(out, schema=pa.schema([(c, pa.int32() if c == "matches" else pa.binary()) for c in out]))
 
     found = cells.groupBy("bucket", "i", "j").applyInArrow(meet, "a binary, b binary, ca binary, cb binary, matches int")
-    return materialise(found.distinct(), "across")
+    return materialise(found, "across")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -335,12 +354,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("matches", "b")).alias("b"))
     links = verified(best, classes, docs, shingle)
     labels = materialise(components(links), "labels")
-    across = surviving_across(members, labels, classes)
-    first = across.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("matches", "a", "b")).alias("of")).select("of.a", "of.b")
+    links = links.unionByName(verified(_apart(stars, labels), classes, docs, shingle))
+    labels = materialise(components(links), "labels")
+    likely = surviving_across(members, labels, classes, best_only=True)
+    first = likely.select(
+        F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), F.struct("matches", "a", "b").alias("of")
+    ).groupBy("ca", "cb").agg(F.max("of").alias("of")).select("of.a", "of.b")
     links = links.unionByName(verified(first, classes, docs, shingle))
     labels = materialise(components(links), "labels")
-    rest = _labelled(_labelled(across.select("a", "b"), "a", labels, "ca"), "b", labels, "cb").filter("ca != cb").select("a", "b")
-    links = links.unionByName(verified(rest.distinct(), classes, docs, shingle))
+    rest = surviving_across(members, labels, classes, best_only=False)
+    links = links.unionByName(verified(rest.select("a", "b"), classes, docs, shingle))
     labels = materialise(components(links), "labels")
     named = _labelled(classes.select("key", "doc_id"), "key", labels, "component")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

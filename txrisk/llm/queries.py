@@ -43,12 +43,18 @@ def id_remainder(name: str, parts: int) -> Column:
     return F.crc32(F.col(name).cast("string").cast("binary")) % parts
 
 
+def toxicity_held_out() -> Column:
+    return F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(False))
+
+
+def learnable_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").filter(~toxicity_held_out())
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(False))
-    labels = table(spark, sf_dir, "labels").filter(~held_out)
-    model = toxicity.fit(docs, labels)
-    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.scored(model, F.col("text"), spark).alias("score"))
+    model = toxicity.fit(docs, learnable_labels(spark, sf_dir))
+    scored = docs.select("doc_id", toxicity_held_out().alias("held_out"), toxicity.scored(model, F.col("text"), spark).alias("score"))
     return scored.select("*", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 

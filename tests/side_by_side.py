@@ -23,9 +23,9 @@ TABLES = (
 ).split()
 
 
-def duck(sf_dir: str):
+def duck(sf_dir: str, tables: list[str] = TABLES):
     con = duckdb.connect()
-    for name in TABLES:
+    for name in tables:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     return con
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from txrisk.ml import boosting, forest, oversample
 from txrisk.ml.model import RiskModel
 from txrisk.operators import features, quality
+from txrisk.operators.preprocess import Preprocessor
 from txrisk.plans import evaluation
 from txrisk.sources import tables
 from txrisk.streaming import jobs
@@ -226,3 +227,25 @@ def test_requests_are_scored_from_json(spark, model, tmp_path):
     jobs.score_stream(stream, model, f"{tmp_path}/o", f"{tmp_path}/c").awaitTermination()
     rows = {r["transaction_id"]: r for r in spark.read.parquet(f"{tmp_path}/o").collect()}
     assert not rows["a"]["has_error"] and rows["b"]["error_type"] == "AmountError"
+
+
+def test_scores_never_read_labels(tx, model):
+    """The same scores with labels, without them and with all of them flipped."""
+
+    def scores(df):
+        return {r["transaction_id"]: r["fraud_probability"] for r in model.transform(df).collect()}
+
+    known = scores(tx)
+    assert known == scores(tx.drop("is_fraud")) == scores(tx.withColumn("is_fraud", 1 - F.col("is_fraud")))
+
+
+def test_codes_for_many_categories(spark):
+    many = spark.range(1500).select(
+        F.lit("2024-01-01 00:00:00").alias("timestamp"), F.col("id").cast("double").alias("amount"),
+        F.format_string("place%05d", "id").alias("location"),
+    )
+    prep = Preprocessor("timestamp", ["amount"], ["location"]).fit(many)
+    codes = prep.transform(many).agg(F.min("location"), F.max("location"), F.countDistinct("location")).first()
+    assert tuple(codes) == (0, 1499, 1500)
+    unseen = prep.transform(many.limit(1).withColumn("location", F.lit("elsewhere"))).first()
+    assert unseen["location"] == -1

@@ -94,7 +94,9 @@ def test_schema_checks(labelled):
         quality.require_columns(labelled, ["nope"])
     with pytest.raises(ValueError):
         quality.bound_rows(labelled, min_rows=1001)
-    assert quality.bound_rows(labelled, 1, 10).count() == 10
+    with pytest.raises(ValueError):
+        quality.bound_rows(labelled, 1, 10)
+    assert quality.bound_rows(labelled, 1, 1000).count() == labelled.count()
     report = quality.compare_schema(labelled.drop("location").withColumn("amount", F.lit("x")).withColumn("z", F.lit(1)), TRANSACTION)
     assert report == {"valid": False, "missing": ["location"], "extra": ["z"], "mismatched": {"amount": ("double", "string")}}
     assert quality.align_columns(labelled, ["amount", "new"], "mean").first()["new"] == 0.5

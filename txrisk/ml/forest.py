@@ -257,16 +257,18 @@ def fit_forest(
 # -------------------------------------------- M9: permutation importance
 
 def permutation_importance(
-    forest: DeepForest, df: DataFrame, id_col: str = COLUMNS.id, rows: int = 1000
+    forest: DeepForest, df: DataFrame, id_col: str = COLUMNS.id, rows: int | None = None
 ) -> DataFrame:
     """M9: change of the mean score when one feature is shuffled, normalised to sum 1.
 
-    Works on a bounded sample of ``rows`` rows. A shuffle pairs each row with the row that has
+    Works on all rows, or on ``rows`` of them where the caller names a number. A shuffle pairs each row with the row that has
     its rank in another hash order; all features are scored in one job.
     """
     columns = forest.columns
     key = hash_key(id_col, forest.settings.seed)
-    head = forest.prepare(df.select(id_col, *columns)).withColumn("_key", key).orderBy("_key", id_col).limit(rows)
+    head = forest.prepare(df.select(id_col, *columns)).withColumn("_key", key)
+    if rows is not None:
+        head = head.orderBy("_key", id_col).limit(rows)
     long = head.unpivot([id_col], columns, "feature", "value")
 
     def nth(salt: str) -> Column:

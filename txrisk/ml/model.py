@@ -36,6 +36,8 @@ class RiskModel:
     forest: DeepForest
     classifier: PipelineModel
     thresholds: dict[str, float]
+    receivers: DataFrame  # statistics of the receivers in the training rows
+    receiver_mode: str = "point_in_time"
     cols: Columns = COLUMNS
 
     # ------------------------------------------------------------------ fit
@@ -48,10 +50,15 @@ class RiskModel:
         validation_share: float = 0.2,
         rounds: int = 100,
         forest: ForestSettings = ForestSettings(),
-        receiver_mode: str = "batch",
+        receiver_mode: str = "point_in_time",
         tune: bool = True,
     ) -> "RiskModel":
-        """M17. Failures raise; nothing is replaced by neutral rows behind the caller's back."""
+        """M17. Failures raise; nothing is replaced by neutral rows behind the caller's back.
+
+        Receiver features of a training row count earlier rows only, and scoring takes them from the statistics
+        stored with the model. ``receiver_mode="batch"`` is the original's way: every row counts, its own too, and a
+        batch to be scored brings its own statistics, without labels.
+        """
         clean = quality.sanitise(quality.require_columns(df, [*cols.required(), cols.label]))
         kinds = [c for c in CATEGORIES if c in clean.columns]
         prep = Preprocessor(cols.time, [cols.amount], kinds).fit(clean)
@@ -61,6 +68,7 @@ class RiskModel:
         ready = quality.dedupe_rows(quality.clip_columns(ready, bounds))
         # Written once: every later stage (medians, trees, boosting, tuning) reads these files.
         table = materialise(features.engineer(ready, cols, receiver_mode=receiver_mode), "features")
+        receivers = materialise(features.receiver_stats(ready, cols), "receivers")
         names = features.feature_columns(table, cols, skip=kinds)
         split = stratified_split(table, validation_share, cols, component_seed("train_test_split"))
         train = split.filter("split = 'train'")
@@ -72,7 +80,7 @@ class RiskModel:
         classifier = boosting.fit_boosting(
             scored, inputs, cols.label, "_held_out", rounds, component_seed("classifier")
         )
-        model = cls(prep, bounds, names, detector, classifier, {}, cols=cols)
+        model = cls(prep, bounds, names, detector, classifier, {}, receivers, receiver_mode, cols)
         if tune:
             held = boosting.predict(classifier, scored.filter("_held_out"))
             points = metrics.curve_points(boosting.as_scored(held, cols.label))
@@ -87,10 +95,15 @@ class RiskModel:
     # -------------------------------------------------------------- scoring
 
     def features(self, df: DataFrame, history: DataFrame | None = None) -> DataFrame:
-        """Preprocessed and engineered rows, with every feature the model was fitted on."""
-        ready = quality.clip_columns(self.prep.transform(df), self.bounds)
-        past = None if history is None else quality.clip_columns(self.prep.transform(history), self.bounds)
-        table = features.engineer(ready, self.cols, past)
+        """Preprocessed and engineered rows, with every feature the model was fitted on.
+
+        Labels are set aside before features are made, so they never reach a score.
+        """
+        label = self.cols.label
+        ready = quality.clip_columns(self.prep.transform(df.withColumnRenamed(label, "_set_aside")), self.bounds)
+        past = None if history is None else quality.clip_columns(self.prep.transform(history.drop(label)), self.bounds)
+        stats = None if self.receiver_mode == "batch" else self.receivers
+        table = features.engineer(ready, self.cols, past, stats=stats).withColumnRenamed("_set_aside", label)
         absent = [c for c in self.feature_names if c not in table.columns]
         return table.withColumns({c: F.lit(0.0) for c in absent}) if absent else table
 
@@ -142,7 +155,7 @@ class RiskModel:
         f = self.forest
         state = {
             "bounds": self.bounds, "feature_names": self.feature_names, "thresholds": self.thresholds,
-            "cols": asdict(self.cols),
+            "cols": asdict(self.cols), "receiver_mode": self.receiver_mode,
             "forest": {
                 "columns": f.columns, "fills": f.fills, "scale": f.scale, "sample": f.sample,
                 "offset": f.offset, "ends": f.ends, "settings": asdict(f.settings),
@@ -156,6 +169,7 @@ class RiskModel:
             ]
         )
         spark.createDataFrame(nodes).write.mode("overwrite").parquet(f"{path}/nodes")
+        self.receivers.write.mode("overwrite").parquet(f"{path}/receivers")
         self.prep.write().overwrite().save(f"{path}/prep")
         self.classifier.write().overwrite().save(f"{path}/classifier")
 
@@ -171,7 +185,7 @@ class RiskModel:
         return cls(
             PreprocessorModel.load(f"{path}/prep"), {c: tuple(v) for c, v in state["bounds"].items()},
             state["feature_names"], forest, PipelineModel.load(f"{path}/classifier"), state["thresholds"],
-            cols=Columns(**state["cols"]),
+            spark.read.parquet(f"{path}/receivers"), state["receiver_mode"], Columns(**state["cols"]),
         )
 
 

@@ -6,6 +6,7 @@ import json
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -254,13 +255,14 @@ class Preprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable):
             "time": time,
             "fills": fills,
             "amounts": amount_params(filled, amounts) if amounts else {},
-            "codes": {c: categories(filled, c) for c in codes},
+            # In code order; the values of a label-coded column, however many there are.
+            "codes": {c: [r["value"] for r in code_table(filled, c).orderBy("code").toLocalIterator()] for c in codes},
         }
         return PreprocessorModel(json.dumps(state))
 
 
 class PreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable):
-    """The fitted parameters as JSON; ``transform`` is expressions only, so it also runs on streams."""
+    """The fitted parameters as JSON; ``transform`` is expressions and joins with the codes, so it also runs on streams."""
 
     state = Param(Params._dummy(), "state", "fitted parameters as JSON", TypeConverters.toString)
 
@@ -273,6 +275,7 @@ class PreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         out = impute(parse_times(df, s["time"]), s["fills"])
         out = log_amounts(out, s["amounts"])
         for c, known in s["codes"].items():
-            at = F.array_position(F.array(*[F.lit(v) for v in known]), F.coalesce(F.col(c), F.lit(MISSING)))
-            out = out.withColumn(c, (at - 1).cast("long"))  # 0 - 1: unseen
+            table = df.sparkSession.createDataFrame(pd.DataFrame({"value": pd.Series(known, dtype=object), "code": range(len(known))}),
+                                                    "value string, code long")
+            out = label_encode(out, c, table)
         return out

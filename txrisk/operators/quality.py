@@ -39,10 +39,12 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def bound_rows(df: DataFrame, min_rows: int = 1, max_rows: int | None = None) -> DataFrame:
-    """V2: fail below ``min_rows``; keep the first ``max_rows`` only when asked to."""
+    """V2: fail below ``min_rows`` and, where one is given, above ``max_rows``; no row is dropped."""
     if df.limit(min_rows).count() < min_rows:
         raise ValueError(f"fewer than {min_rows} rows")
-    return df if max_rows is None else df.limit(max_rows)
+    if max_rows is not None and df.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"more than {max_rows} rows")
+    return df
 
 
 def compare_schema(df: DataFrame, expected: T.StructType) -> dict:

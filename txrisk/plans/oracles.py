@@ -119,6 +119,9 @@ RECEIVER = """SELECT transaction_id, c::BIGINT AS receiver_tx_count, f::DOUBLE A
  FROM tx JOIN (SELECT *, max(c) OVER () AS m FROM (SELECT receiver_account, count(*)::DOUBLE AS c, sum(is_fraud) AS f,
   avg(is_fraud) AS r, sum(amount) AS t, avg(amount) AS a FROM tx GROUP BY 1) x) s USING (receiver_account)"""
 
+# Averages over senders take the scores as they are and round once.
+UNROUNDED_RECEIVER = RECEIVER.replace("round(round(r, 6) * 0.6 + c / m * 0.4, 6)", "round(r, 6) * 0.6 + c / m * 0.4")
+
 NOVELTY = """SELECT transaction_id, (lf = 1)::BIGINT AS new_location_flag, (df = 1)::BIGINT AS new_device_flag,
  lf::BIGINT AS location_frequency, df::BIGINT AS device_frequency,
  CAST(sum((lf = 1)::INTEGER) OVER w AS BIGINT) AS sender_location_count,
@@ -253,7 +256,7 @@ def oracle_sql() -> dict[str, str]:
         " JOIN d USING (transaction_id) JOIN e USING (transaction_id)",
     )
     o["flagship_risky_senders"] = q(
-        TX, f"b AS ({SENDER})", f"c AS ({RECEIVER})", """SELECT sender_account, count(*) AS n_tx,
+        TX, f"b AS ({SENDER})", f"c AS ({UNROUNDED_RECEIVER})", """SELECT sender_account, count(*) AS n_tx,
  max(velocity_24h) AS max_velocity_24h, round(avg(receiver_risk_score), 6) AS mean_receiver_risk,
  max(tx_count_last_24h)::BIGINT AS max_tx_24h, sum(is_fraud)::BIGINT AS n_fraud
  FROM tx JOIN b USING (transaction_id) JOIN c USING (transaction_id) GROUP BY 1""")

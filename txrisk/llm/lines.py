@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import fresh, salt_of
+from txrisk.llm.common import fresh, materialise, salt_of
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -27,8 +27,9 @@ BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
+def lower_ascii(text: Column) -> Column:
+    """A-Z lower-cased; a text of ASCII alone takes the quick way."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def text_digest(text: Column) -> Column:
@@ -37,22 +38,26 @@ def text_digest(text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(hash, doc, digest, position) of all lines whose keys are long enough."""
-    text = F.col(text_col).cast("string")
+    """(hash, cell, doc, digest, position) of all lines whose keys are long enough, written once.
+
+    The texts are split and hashed in one scan; all that follows reads these short rows.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc"), text_digest(text).alias("digest"),
-        F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("position", "line"),
-    ).select("doc", "digest", "position", line_key(F.col("line")).alias("key"))
-    return rows.filter(F.char_length("key") >= min_chars).select(
-        F.unhex(F.md5("key")).alias("hash"), "doc", "digest", "position"
+        F.posexplode(F.split(lower_ascii(text), "\n", -1)).alias("position", "line"),
+    ).filter(F.octet_length("line") >= min_chars).select("doc", "digest", "position", F.btrim("line", F.lit(BLANKS)).alias("key"))
+    rows = rows.filter(F.char_length("key") >= min_chars).select(
+        F.unhex(F.md5("key")).alias("hash"), salt_of(F.col("doc")).alias("cell"), "doc", "digest", "position"
     )
+    return materialise(rows, "lines")
 
 
 def shared_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
 ) -> DataFrame:
     """(doc, digest, position) of the lines to drop."""
-    rows = occurrences(docs, id_col, text_col, min_chars).withColumn("cell", salt_of(F.col("doc")))
+    rows = occurrences(docs, id_col, text_col, min_chars)
     dealt = rows.repartitionByRange(F.col("hash"), F.col("cell"))
     in_cell = Window.partitionBy("hash", "cell").orderBy(F.col("doc").desc_nulls_last(), "position")
     opens = F.row_number().over(in_cell) == 1
@@ -87,6 +92,10 @@ def keep_bitmaps(dropped: DataFrame) -> DataFrame:
     )
 
 
+def line_count(text: Column) -> Column:
+    return (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+
+
 def kept_lines(lines: Column, keep: Column) -> Column:
     """The lines that a bitmap keeps."""
     lost = F.flatten(F.transform(keep, lambda w: F.transform(
@@ -117,7 +126,7 @@ def line_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     kept = F.when(F.col(keep).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept_lines(lines, F.col(keep)), "\n"))
     return found.select(
-        "doc_id", F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.col(lost), F.lit(0).cast("long")).alias("n_dropped"),
+        "doc_id", line_count(F.coalesce("text", F.lit(""))).alias("n_lines"), F.coalesce(F.col(lost), F.lit(0).cast("long")).alias("n_dropped"),
         F.col(keep).alias("keep"), kept.alias("text"),
     )
 

@@ -273,9 +273,13 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         F.max((F.col(label_col) != 0).cast("int")).alias("toxic")
     )
     order = F.xxhash64(F.col("id").cast("string"))
-    chosen = [
-        known.filter(F.col("toxic") == y).orderBy(order, "id").limit(most) for y, most in ((1, FIT_TOXIC), (0, FIT_CLEAN))
-    ]
+    totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = []
+    for y, most in ((1, FIT_TOXIC), (0, FIT_CLEAN)):
+        # The least hashes lie below a bound that leaves about twice as many as are taken: little is sorted.
+        bound = int(min(1.0, (2 * most + 1000) / max(1, totals.get(y, 0))) * 2**64) - 2**63
+        mine = known.filter((F.col("toxic") == y) & (order <= min(bound, 2**63 - 1)))
+        chosen.append(mine.orderBy(order, "id").limit(most))
     ids = chosen[0].unionByName(chosen[1])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return texts.join(F.broadcast(ids), "id").select("text", "toxic")  # bounded: two limits

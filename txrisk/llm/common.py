@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from txrisk.session import materialise
 
 SALTS = 64  # cells over which the rows of one key are spread
 
-__all__ = ["SALTS", "fresh", "materialise", "salt_of", "table", "with_group_facts"]
+__all__ = ["SALTS", "batches_of", "fresh", "materialise", "salt_of", "table", "with_group_facts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,18 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run inside send at most ``rows`` rows at once to Python; for rows that may be large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def salt_of(*columns: Column, salts: int = SALTS) -> Column:
     """A cell number from the row's own values, so a retried task deals alike."""
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")

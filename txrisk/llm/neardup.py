@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.llm import text as T
-from txrisk.llm.common import fresh, materialise
+from txrisk.llm.common import batches_of, fresh, materialise
 from txrisk.llm.components import components
 
 SHINGLE = 5
@@ -45,6 +45,7 @@ STEP = 25  # signature places that are compared before the next decision
 MISS = 1e-7
 PIVOTS, OTHERS = 256, 1024  # sizes of blocks in which members of a bucket meet
 FILTER_BITS = (16, 24)  # least and largest size of the filter that finds the documents to verify, as powers of two
+PAIR_ROWS, TEXT_ROWS = 128, 1000  # pairs of full sets, and texts, that go to Python at once
 _PLACES = ROWS * BANDS
 
 _SIGNED = "struct<n:bigint,key:binary,bands:array<bigint>,signature:binary>"
@@ -249,7 +250,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, length: int)
     full = full.select("doc_id", F.col("of.key").alias("key"), F.col("of.shingles").alias("shingles"))
     # One document for each class: its root, and of repeated rows of the root any one.
     full = full.join(classes.join(nodes, "key").select("key", "doc_id"), ["key", "doc_id"], "left_semi").dropDuplicates(["key"])
-    full = materialise(full.select("key", "shingles"), "sets")
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        full = materialise(full.select("key", "shingles"), "sets")
 
     @F.arrow_udf("boolean")
     def close(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -265,7 +267,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, length: int)
     for side in "ab":
         sided = sided.join(full.select(F.col("key").alias(side), F.col("shingles").alias(f"x_{side}")), side)
     links = sided.filter(close("x_a", "x_b")).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return materialise(links, "links")
+    with batches_of(docs.sparkSession, PAIR_ROWS):
+        return materialise(links, "links")
 
 
 def _labelled(rows: DataFrame, column: str, labels: DataFrame, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ histogram: below ``MIN_WORDS`` words or ``MIN_CHARS`` characters the verdict is
 All of it is one projection over the documents: no shuffle, no Python, and every whole text is read once.
 
 Base counts. Words are runs of anything but ASCII white space. A 5-word window found twice or more in a text makes all
-its words repeated; windows are compared by 64-bit hashes of their words' 64-bit hashes.
+its words repeated; windows are compared by 64-bit hashes.
 
 Defined cases: a null text counts as empty; an empty text has no words and fails the base rule; repeated rows are
 judged alike, each for itself; an empty table gives no rows; further columns are ignored by the query and kept by
@@ -91,25 +91,25 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.filter(F.split(text, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.array_remove(F.split(F.lower(text), BREAKS), "").alias("tokens"),
     )
+    # What is neither a small letter nor white space is a tenth of prose: the other classes are counted in that rest.
+    step = step.withColumn("rest", F.regexp_replace("text", r"[\p{Ll}\x20\x09-\x0D]+", ""))
     step = step.select(
-        "doc_id",
+        "doc_id", "words",
         F.size("words").cast("long").alias("n_words"),
         F.char_length("text").cast("long").alias("n_chars"),
-        _without(F.col("text"), SPACE).alias("word_chars"),
-        (F.char_length("text") - F.char_length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
         F.size("tokens").alias("n_tokens"),
-        F.filter("tokens", lambda t: t.isin(ALL_COMMON)).alias("common"),
-        _without(F.col("text"), r"[^\p{Ll}]+").alias("lower"),
-        _without(F.col("text"), r"[^\p{Lu}]+").alias("upper"),
-        _without(F.col("text"), r"[^\p{Nd}]+").alias("digits"),
-        _without(F.col("text"), r"""[^.,;:!?'"()-]+""").alias("marks"),
-    )
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size("hashes") - 4),
-        lambda i: F.xxhash64(*[F.element_at("hashes", (i + k).cast("int")) for k in range(5)]),
+        # The common words by their hashes, which are distinct: numbers are quicker to count than strings.
+        F.transform(F.filter("tokens", lambda t: t.isin(ALL_COMMON)), lambda t: F.xxhash64(t)).alias("common"),
+        F.char_length("rest").cast("long").alias("n_rest"),
+        _without(F.col("rest"), r"[^#*$%&|<>]+").alias("n_symbols"),
+        _without(F.col("rest"), r"[^\p{Lu}]+").alias("upper"),
+        _without(F.col("rest"), r"[^\p{Nd}]+").alias("digits"),
+        _without(F.col("rest"), r"""[^.,;:!?'"()-]+""").alias("marks"),
     )
+    shifted = [F.slice("words", k, F.size("words") - 4) for k in range(1, 6)]
+    windows = F.transform(F.arrays_zip(*shifted), lambda five: F.xxhash64(five))
     step = step.withColumn("windows", F.when(F.col("n_words") >= 5, windows).otherwise(F.array().cast("array<bigint>")))
     step = step.withColumn(
         "sorted",
@@ -144,13 +144,12 @@ def _same(k: Column, other: Column, there: Column) -> Column:
 
 def _divergence() -> Column:
     """Least mean distance over the languages; null for documents that are too short."""
-    known = [F.col(c) for c in ("lower", "upper", "digits")]
-    spaces = F.col("n_chars") - F.col("word_chars")
-    rest = F.col("n_chars") - F.col("lower") - F.col("upper") - F.col("digits") - F.col("marks") - spaces
-    classes = F.array(*known, spaces, F.col("marks"), rest)
+    lower, spaces = F.col("word_chars") - F.col("n_rest"), F.col("n_chars") - F.col("word_chars")
+    others = F.col("n_rest") - F.col("upper") - F.col("digits") - F.col("marks")
+    classes = F.array(lower, F.col("upper"), F.col("digits"), spaces, F.col("marks"), others)
     means = []
     for lang, words in COMMON_WORDS.items():
-        counts = [F.size("common") - F.size(F.array_remove("common", w)) for w in sorted(words)]
+        counts = [F.size("common") - F.size(F.array_remove("common", F.xxhash64(F.lit(w)))) for w in sorted(words)]
         histogram = F.array(*counts, F.col("n_tokens") - sum(counts[1:], counts[0]))
         means.append((
             distance(histogram, F.col("n_tokens"), word_reference(lang))

@@ -174,3 +174,30 @@ def test_sequential_comparison_keeps_similar_sets():
             _, sign = neardup.signatures([one, other])
             kept[share] += neardup.compare(sign[:1], sign[1:], np.array([200]), np.array([200]))[0] >= 0
     assert kept[0.8] == 60 and kept[0.3] == 0
+
+
+def test_words_of_a_class_are_told_apart_by_their_context():
+    rng = np.random.default_rng(7)
+    items = [" ".join(f"left{k} right{k}" for k in rng.integers(0, 400, 300)) for _ in range(100)]
+    column = pa.array(items)
+    counts = sum(np.bincount(lm.buckets(x)[0], minlength=lm.BUCKETS) for x in T.chunks(column))
+    vocabulary = lm.Vocabulary.of(counts)
+    net = lm.Network.fresh(np.bincount(vocabulary.class_of, counts, lm.CLASSES))
+    score = lambda: sum(lm.log_scores(vocabulary, net, x)[1].sum() for x in T.chunks(column))
+    for _ in range(12):
+        lm.train(net, vocabulary, column, 1, lm.RATE)
+    found = score()
+    net.outer[:], net.outer_bias[:] = 0, 0  # classes no longer predicted; what words add within them stays
+    used = np.flatnonzero(counts)
+    classes = vocabulary.class_of[used]
+    shares = np.log(counts[used] / np.bincount(classes, counts[used], lm.CLASSES)[classes]) @ counts[used]
+    assert found < 0 and score() + counts.sum() * np.log(lm.CLASSES) > 0.9 * shares
+
+
+def test_probabilities_of_all_words_add_up_to_one():
+    rng = np.random.default_rng(8)
+    vocabulary = lm.Vocabulary.of((1e6 / np.arange(1, lm.BUCKETS + 1)).astype(np.int64))
+    net = lm.Network(rng.normal(0, 0.3, sum(lm.SIZES)))
+    around = np.tile(rng.integers(0, lm.BUCKETS + 1, (1, 2 * lm.SIDE)), (lm.BUCKETS, 1))
+    total = np.exp(net.log_probability(vocabulary, around, np.arange(lm.BUCKETS)).astype(float)).sum()
+    assert abs(total - 1) < 1e-3

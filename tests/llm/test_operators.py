@@ -210,3 +210,13 @@ def test_keep_bitmaps_name_only_words_with_losses(spark):
     row = lines.keep_bitmaps(df).first()
     assert row["n_dropped"] == 3
     assert [(w["word"], w["bits"] & (2**64 - 1)) for w in row["keep"]] == [(k, 2**64 - 1 - (1 << b)) for k, b in ((0, 0), (1, 1), (4, 44))]
+
+
+def test_language_model_learns_from_every_token_of_whole_texts(spark):
+    rows = [(k, " ".join(f"doc{k}word{j}" for j in range(3))) for k in range(2 * lm.START_DOCS)]
+    rows.append((-1, "filler " * 1_000 + " ".join(f"late{j}" for j in range(40))))
+    vocabulary, net = lm.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    seen = pa.array([t for _, t in rows])
+    at = sorted({b for x in lm.T.chunks(seen) for b in lm.buckets(x)[0].tolist()})
+    fresh = lm.Network.fresh(lm.np.ones(lm.CLASSES))
+    assert (net.embed[at] != fresh.embed[at]).any(1).all()

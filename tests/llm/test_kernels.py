@@ -201,3 +201,37 @@ def test_probabilities_of_all_words_add_up_to_one():
     around = np.tile(rng.integers(0, lm.BUCKETS + 1, (1, 2 * lm.SIDE)), (lm.BUCKETS, 1))
     total = np.exp(net.log_probability(vocabulary, around, np.arange(lm.BUCKETS)).astype(float)).sum()
     assert abs(total - 1) < 1e-3
+
+
+PARTS = [f"Part {k} of the article, with words, commas and a proper end." for k in range(4)]
+
+
+def paragraphs(tag="p", parts=PARTS):
+    return "".join(f"<{tag}>{t}</{tag}>" for t in parts)
+
+
+def test_wrappers_named_after_furniture_keep_their_article():
+    other = '<div class="sidebar"><ul><li><a href=/1>One, two</a></li><li><a href=/2>Three</a></li></ul></div>'
+    for before, after in [
+        ('<div class="layout has-sidebar"><article>', "</article>" + other + "</div>"),
+        ('<div class="post comments-open">', "</div>" + other),
+        ('<div id="content-with-sidebar">', other + "</div>"),
+        ('<section class="promo"><div>', "</div></section>" + other),
+        ('<table class="nav-layout"><tr><td>', "</td></tr></table>"),
+    ]:
+        assert main_text(f"<body>{before}{paragraphs()}{after}</body>") == " ".join(PARTS), before
+
+
+def test_comments_go_however_long():
+    said = '<div class="comments"><article class="comment"><p>' + "a, lot, of, words, " * 50 + "</p></article></div>"
+    for page in (f"<body><div class=post>{paragraphs()}</div>{said}</body>", f"<article>{paragraphs()}{said}</article>"):
+        assert main_text(page) == " ".join(PARTS)
+
+
+def test_articles_of_divisions_and_of_several_articles():
+    whole = " ".join(PARTS)
+    assert main_text(f"<body>{paragraphs('div')}</body>") == whole
+    assert main_text(f"<body><div>{paragraphs('div', [*PARTS, 'Short.'])}</div></body>") == whole + " Short."
+    assert main_text(f"<main>{''.join(f'<article><p>{t}</p></article>' for t in PARTS)}</main>") == whole
+    links = '<article><a href=/x>Some other article, to be read, here</a></article>'
+    assert main_text(f"<div><article>{paragraphs()}</article>{links}</div>") == whole

@@ -1,10 +1,11 @@
 """Main-text extraction from web pages by tree scoring.
 
-A page is read into a tree of elements. Parts that are never the article go by their tags, roles and class words. Every
-remaining paragraph earns points for its length and commas; it passes them to its container in full, to the next
-ancestor by half, and less further up, and a container's sum is discounted by its share of link text. The best container
-is kept, widened to the article or main element around it, or else joined by those of its siblings that
-score well themselves. The text is what is left inside, blocks in page order.
+A page is read into a tree of elements. Parts that are never the article go by their tags and roles. Every remaining
+paragraph earns points for its length and commas; it passes them to its container in full, to the next ancestor by half,
+and less further up, and a container's sum is discounted by its share of link text. Elements with class words of page
+furniture are only suspects: one goes if it scores low or is mostly links against the best container outside all suspects,
+and never if it holds that container. The best container is kept, widened to the article or main element around it, and
+joined by those of its siblings that score well beside it and are no suspects. Comments are never part of an article. The text is what is left inside, blocks in page order.
 
 Defined cases: null or empty html gives an empty text; unclosed and crossing tags are closed as browsers do for
 paragraphs, list items and table parts; a page without any text outside the removed parts gives an empty text; repeated
@@ -51,16 +52,24 @@ DROPPED_WORDS = set(
     "topbar toolbar masthead footer pagination pager skip comment comments commentlist disqus replies respond".split()
 )
 COMMENT_WORDS = set("comment comments commentlist disqus reply replies".split())
+# Words of wrappers around an article, whatever else their class says.
+WRAPPER_WORDS = set("article body content entry layout main page post story text wrapper".split())
 KEPT_ALWAYS = {"html", "body", "main"}
 PARAGRAPHS = set("p pre blockquote li dd dt td th figcaption".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+SIBLING = 0.2  # share of the best container's points that a sibling needs
+SUSPECT = 0.75  # share of them that an element with class words of page furniture needs
+OUTSIDE = 0.1  # share of all points below which text outside suspects is not the article
+LINKED = 0.5  # share of link text from which a suspect or a sibling is a list of links
 
 
 class Page:
-    """Elements in page order: each with its tag, parent and whether it is removed; and the pieces of text between."""
+    """Elements in page order: each with its tag, parent, whether it is removed and the class words that make it suspect;
+    and the pieces of text between."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.dropped = ["html"], [-1], [False]
+        self.suspect: dict[int, set[str]] = {}
         self.texts: list[tuple[int, str]] = []
         self._open = [0]
         at = 0
@@ -111,7 +120,12 @@ class Page:
         above = self._open[-1]
         self.tag.append(name)
         self.parent.append(above)
-        self.dropped.append(self.dropped[above] or name in RAW or self._is_dropped(name, attrs))
+        found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attrs)} if attrs else {}
+        self.dropped.append(self.dropped[above] or name in RAW or self._is_dropped(name, found))
+        if not self.dropped[-1]:
+            words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}"))
+            if self._is_suspect(name, words):
+                self.suspect[len(self.tag) - 1] = words
         self._open.append(len(self.tag) - 1)
 
     def _implied_end(self, closing: set[str], within: set[str]) -> None:
@@ -140,18 +154,19 @@ class Page:
         if name in BLOCKS:
             self._break()
 
-    def _is_dropped(self, name: str, attrs: str) -> bool:
+    def _is_dropped(self, name: str, found: dict[str, str]) -> bool:
         inside = [self.tag[n] for n in self._open]
         if name in DROPPED_TAGS or name == "header" and "article" not in inside:
             return True
-        if not attrs or name in KEPT_ALWAYS:
+        if not found or name in KEPT_ALWAYS:
             return False
-        found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attrs)}
         if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
             return True
-        if found.get("role") in DROPPED_ROLES:
-            return True
-        words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}"))
+        return found.get("role") in DROPPED_ROLES
+
+    def _is_suspect(self, name: str, words: set[str]) -> bool:
+        if name in KEPT_ALWAYS:
+            return False
         if name == "article":
             return bool(words & COMMENT_WORDS)
         # Inline elements and headings of the article may have any class.
@@ -173,13 +188,13 @@ class Page:
             node = self.parent[node]
         return False
 
-    def scores(self) -> list[float]:
-        """Points of every element, discounted by its share of link text."""
+    def scores(self, without: list[bool]) -> tuple[list[float], list[float]]:
+        """Points of every element, discounted by its share of link text, and that share; elements ``without`` count nothing."""
         size = len(self.tag)
         own: dict[int, list[str]] = {}
         length, linked = [0] * size, [0] * size
         for node, text in self.texts:
-            if self.dropped[node] or not text.strip():
+            if without[node] or not text.strip():
                 continue
             own.setdefault(self._block_of(node), []).append(text)
             length[node] += len(text.strip())
@@ -188,45 +203,85 @@ class Page:
         for node in range(size - 1, 0, -1):
             length[self.parent[node]] += length[node]
             linked[self.parent[node]] += linked[node]
+        # A division without blocks inside is a paragraph of its container.
+        divided = {self._block_of(self.parent[n]) for n in range(1, size) if self.tag[n] in BLOCKS}
         points = [0.0] * size
         for block, texts in own.items():
             if self.tag[block] in HEADINGS:
                 continue
             text = " ".join(" ".join(texts).split())
             value = 1 + text.count(",") + min(len(text) / 100, 3)
-            holder = self.parent[block] if self.tag[block] in PARAGRAPHS and block else block
+            leaf = self.tag[block] == "div" and block not in divided and self.tag[self.parent[block]] not in ("html", "body")
+            holder = self.parent[block] if block and (self.tag[block] in PARAGRAPHS or leaf) else block
             level = 0
             while holder >= 0:
                 points[holder] += value / (1 if level == 0 else 2 if level == 1 else 3 * level)
                 holder, level = self.parent[holder], level + 1
-        return [p * (1 - linked[n] / length[n]) if length[n] else 0.0 for n, p in enumerate(points)]
+        share = [k / n if n else 0.0 for k, n in zip(linked, length)]
+        return [p * (1 - k) if n else 0.0 for p, k, n in zip(points, share, length)], share
 
-    def main_nodes(self) -> set[int]:
-        """The elements whose contents are the article."""
-        score = self.scores()
-        best = max(range(len(score)), key=lambda n: (score[n], -n))
+    def _below(self, nodes: set[int]) -> list[bool]:
+        """Which elements are in ``nodes`` or inside one of them."""
+        out = [False] * len(self.tag)
+        for node in range(len(self.tag)):
+            out[node] = node in nodes or self.parent[node] >= 0 and out[self.parent[node]]
+        return out
+
+    def _or(self, nodes: set[int]) -> list[bool]:
+        return [a or b for a, b in zip(self.dropped, self._below(nodes))] if nodes else self.dropped
+
+    def main_nodes(self) -> tuple[set[int], set[int]]:
+        """The elements whose contents are the article, and the suspects among their contents that are not."""
+        wrappers = {n for n, words in self.suspect.items() if words & WRAPPER_WORDS}
+        for node, tag in enumerate(self.tag):
+            if tag in ("article", "main", "h1") and not self.dropped[node] and node not in self.suspect:
+                while node >= 0:
+                    if node in self.suspect:
+                        wrappers.add(node)
+                    node = self.parent[node]
+        plain = set(self.suspect) - wrappers
+        comments = {n for n in plain if self.suspect[n] & COMMENT_WORDS}
+        best_of = lambda score: max(range(len(score)), key=lambda n: (score[n], -n))
+        score, _ = self.scores(self._or(plain))
+        best = best_of(score)
+        if plain:  # is the article itself in a suspect?
+            for hidden, least in ((comments, OUTSIDE), (set(), 0.0)):
+                wider, _ = self.scores(self._or(hidden))
+                other = best_of(wider)
+                if wider[other] > 0 and score[best] <= least * wider[other]:
+                    score, best = wider, other
         if score[best] <= 0:
-            return set()
-        around, node = None, best
+            return set(), set()
+        above, node = set(), best
+        around = None
         while node >= 0:
             if self.tag[node] == "article" or self.tag[node] == "main" and around is None:
                 around = node
+            above.add(node)
             node = self.parent[node]
-        if around is not None:
-            return {around}
-        kept = {best}
+        points, share = self.scores(self.dropped)
+        top = list(points)  # of the best element inside
+        for node in range(len(top) - 1, 0, -1):
+            top[self.parent[node]] = max(top[self.parent[node]], top[node])
+        lost = {
+            n for n in self.suspect
+            if n not in above and (
+                n in comments or share[n] >= LINKED or top[n] < (SIBLING if n in wrappers else SUSPECT) * score[best]
+            )
+        }
+        root = best if around is None else around
+        kept = {root}
         for node in range(1, len(self.tag)):
-            if node != best and self.parent[node] == self.parent[best] and not self.dropped[node]:
-                if score[node] >= max(10.0, 0.2 * score[best]) or self.tag[node] == "p" or self.tag[node] in HEADINGS:
+            if node != root and self.parent[node] == self.parent[root] and not self.dropped[node] and node not in lost | plain:
+                good = top[node] >= SIBLING * score[best] and share[node] < LINKED
+                if good or around is None and (self.tag[node] == "p" or self.tag[node] in HEADINGS):
                     kept.add(node)
-        return kept
+        return kept, lost
 
     def text(self) -> str:
-        kept = self.main_nodes()
-        inside = [False] * len(self.tag)
-        for node in range(len(self.tag)):
-            inside[node] = node in kept or self.parent[node] >= 0 and inside[self.parent[node]]
-        return " ".join("".join(t for n, t in self.texts if inside[n] and not self.dropped[n]).split())
+        kept, lost = self.main_nodes()
+        inside, outside = self._below(kept), self._or(lost)
+        return " ".join("".join(t for n, t in self.texts if inside[n] and not outside[n]).split())
 
 
 def main_text(source: str | None) -> str:

@@ -235,3 +235,12 @@ def test_articles_of_divisions_and_of_several_articles():
     assert main_text(f"<main>{''.join(f'<article><p>{t}</p></article>' for t in PARTS)}</main>") == whole
     links = '<article><a href=/x>Some other article, to be read, here</a></article>'
     assert main_text(f"<div><article>{paragraphs()}</article>{links}</div>") == whole
+
+
+def test_terms_with_other_letters_are_found_within_their_edits():
+    lexicon = toxicity.Lexicon({"schlüsselwort", "worthless"}, set())
+    near = ["xchlüsselwort", "schlusselwort", "chlüsselwor", "日worthless日", "worth日日ess", "wörthlëss"]
+    far = ["xxxlüsselwort", "日日日worthless"]
+    rows = toxicity.features(lexicon, pa.array(near + far))
+    assert all(lexicon.lookup(w) for w in near) and not any(lexicon.lookup(w) for w in far)
+    assert rows[: len(near)].any(1).all() and not rows[len(near) :].any()

@@ -220,3 +220,17 @@ def test_language_model_learns_from_every_token_of_whole_texts(spark):
     at = sorted({b for x in lm.T.chunks(seen) for b in lm.buckets(x)[0].tolist()})
     fresh = lm.Network.fresh(lm.np.ones(lm.CLASSES))
     assert (net.embed[at] != fresh.embed[at]).any(1).all()
+
+
+def test_rare_terms_are_not_crowded_out(spark):
+    common = " ".join(f"{k:x}ca" for k in range(21_000))
+    rows = [(k, common + (" zorgblat" if k < 3 else "")) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 5)) for k in range(10)], "doc_id long, toxic int")
+    assert "zorgblat" in toxicity.fit(docs, labels).lexicon.words
+
+
+def test_all_terms_with_enough_support_are_taken(spark):
+    docs = spark.range(1_560).selectExpr("id as doc_id", "sha1(string(id div 3)) as text")
+    labels = docs.selectExpr("doc_id", "1 as toxic")
+    assert len(toxicity.fit(docs, labels).lexicon.words - set(toxicity.GENERAL)) == 520

@@ -23,6 +23,7 @@ alike; further columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,8 +39,7 @@ from txrisk.llm.common import materialise
 
 FIT_TOXIC = 4_000
 FIT_CLEAN = 16_000
-CANDIDATES = 20_000  # words and stems of toxic documents that are counted in clean ones
-MAX_TERMS = 500
+COUNTED = 500_000  # features a task counts before it passes them on
 STEMS = range(4, 9)
 MIN_SUPPORT = 3
 PRECISION = 0.8
@@ -117,7 +117,7 @@ class Lexicon:
             self.heads[len(head)].add(int.from_bytes(head.ljust(4, b"\0"), "little"))
         masks: dict[tuple[int, int], set[int]] = {}
         for term in self.words:
-            if edits(len(term)) and term.isascii():
+            if edits(len(term)):
                 masks.setdefault((len(term), edits(len(term))), set()).add(letter_mask(term))
         self.masks = {k: np.array(sorted(v), np.uint32) for k, v in masks.items()}
         self.memo: dict[bytes, int] = {}
@@ -162,8 +162,10 @@ class Lexicon:
                 near |= np.isin(head, np.array(sorted(self.heads[k + 1]), np.uint32)) & (size > k)
         if self.masks and len(size):
             mask = np.bitwise_or.reduceat(_LETTER_BIT[padded], word.begin)  # what lies between words adds no bits
+            starts = np.concatenate([[0], np.cumsum((texts.raw & 0xC0) != 0x80)])  # an edit is one of letters, not of bytes
+            letters = starts[word.end] - starts[word.begin]
             for (length, far), known in self.masks.items():
-                close = np.flatnonzero((size >= length - far) & (size <= length + far))
+                close = np.flatnonzero((letters >= length - far) & (letters <= length + far))
                 for m in known:
                     near[close[np.bitwise_count(mask[close] ^ m) <= 2 * far]] = True
         at = np.flatnonzero(near)
@@ -251,22 +253,38 @@ def _features_of(text: str) -> set[str]:
     return found
 
 
-def _count_features(sample: DataFrame, only: set[str] | None) -> DataFrame:
+def _count_features(sample: DataFrame) -> DataFrame:
     """(feature, n): in how many texts each feature occurs; tasks add up first."""
 
+    def rows(seen: Counter[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"]
+        )
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                found = _features_of(text or "")
-                seen.update(found if only is None else found & only)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"]
-        )
+                seen.update(_features_of(text or ""))
+                if len(seen) >= COUNTED:
+                    yield rows(seen)
+                    seen.clear()
+        yield rows(seen)
 
     return sample.select("text").mapInArrow(count, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
+def _candidates(toxic: DataFrame, clean: DataFrame) -> dict[str, int]:
+    """Every feature that marks toxic texts well enough to be chosen, with its count in clean ones."""
+    there = _count_features(toxic).filter(F.col("n") >= MIN_SUPPORT)
+    wrong = _count_features(clean).withColumnRenamed("n", "clean")
+    both = there.join(wrong, "feature", "left").select("feature", "n", F.coalesce("clean", F.lit(0)).alias("clean"))
+    good = both.filter(F.col("n") - 2 * F.col("clean") >= MIN_SUPPORT).filter(
+        F.col("n") / (F.col("n") + F.col("clean") + F.lit(0.02)) >= PRECISION
+    )
+    return {r["feature"]: r["clean"] for r in good.collect()}  # of at most FIT_TOXIC texts
+
+
 def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """(text, toxic) of at most ``FIT_TOXIC`` + ``FIT_CLEAN`` labelled documents, chosen by a hash of the id."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
@@ -300,18 +318,21 @@ def _choose_terms(toxic: DataFrame, candidates: dict[str, int]) -> list[str]:
     for k, row in enumerate(rows):
         for c in row:
             holders.setdefault(c, set()).add(k)
+    # Ties go to words, then to the longest, then to the last by name. Worths only fall, so an entry whose worth still
+    # holds when it is on top is the best one.
+    order = sorted(holders, key=lambda c: (not names[c].endswith("*"), len(names[c]), names[c]), reverse=True)
+    heap = [(2 * candidates[names[c]] - len(holders[c]), place, c) for place, c in enumerate(order)]
+    heapq.heapify(heap)
     chosen, open_rows = [], set(range(len(rows)))
-    while holders and len(chosen) < MAX_TERMS:
-        def worth(c: int) -> tuple:
-            name = names[c]
-            return (len(holders[c]) - 2 * candidates[name], not name.endswith("*"), len(name), name)
-
-        best = max(holders, key=worth)
-        if worth(best)[0] < MIN_SUPPORT:
-            break
-        chosen.append(names[best])
-        open_rows -= holders[best]
-        holders = {c: left for c, h in holders.items() if len(left := h & open_rows) >= MIN_SUPPORT}
+    while heap and -heap[0][0] >= MIN_SUPPORT:
+        was, place, c = heapq.heappop(heap)
+        holders[c] &= open_rows
+        now = 2 * candidates[names[c]] - len(holders[c])
+        if now > was:
+            heapq.heappush(heap, (now, place, c))
+            continue
+        chosen.append(names[c])
+        open_rows -= holders[c]
     return chosen
 
 
@@ -321,11 +342,8 @@ def fit(
     """Lexicon and weights from labelled documents; ``labels`` has already been cut to those one may learn from."""
     sample = materialise(sample_labelled(docs, labels, id_col, text_col, label_col), "toxicity")
     toxic, clean = sample.filter("toxic = 1"), sample.filter("toxic = 0")
-    often = _count_features(toxic, None).filter(F.col("n") >= MIN_SUPPORT).orderBy(F.desc("n"), "feature").limit(CANDIDATES)
-    there = {r["feature"]: r["n"] for r in often.collect()}
-    wrong = {r["feature"]: r["n"] for r in _count_features(clean, set(there)).collect()} if there else {}
-    ratio = {f: n / (n + wrong.get(f, 0) + 0.02) for f, n in there.items()}
-    terms = _choose_terms(toxic, {f: wrong.get(f, 0) for f in there if ratio[f] >= PRECISION}) if there else []
+    candidates = _candidates(toxic, clean)
+    terms = _choose_terms(toxic, candidates) if candidates else []
     lexicon = Lexicon({t for t in terms if not t.endswith("*")} | set(GENERAL), {t[:-1] for t in terms if t.endswith("*")})
     rows = _with_features(sample, lexicon)
     x = np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES))

@@ -16,6 +16,9 @@ COLUMNS = {
     "op8": "doc_id held_out lang_pred score",
     "op9": "doc_id piece start length ids_crc32 sequence_id offset",
     "op10": "doc_id n_words n_hit n_items items_sha256 contaminated",
+    "op11": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    "op12": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
+    "op13": "doc_id n_tokens ids_sha256 decoded_sha256",
 }
 
 
@@ -35,5 +38,6 @@ def test_columns_and_rows(spark, awkward, empty, name):
     got = queries()[name](spark, awkward)
     assert got.columns == COLUMNS[name.split("_")[0]].split()
     rows = got.filter("piece = 0") if "piece" in got.columns else got
-    assert rows.count() == (9 if name.startswith(("op3", "op6")) else 22)
+    of_pages, of_parts = name.startswith(("op3", "op6")), name.startswith("op11")
+    assert rows.count() == (9 if of_pages else 2 * 600 if of_parts else 22)
     assert queries()[name](spark, empty).count() == 0

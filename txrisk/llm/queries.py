@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import decontam, html, langid, lines, lm, neardup, packing, quality, toxicity, warc
+from txrisk.llm import audit, bytebpe, decontam, html, infill, langid, lines, lm, neardup, packing, quality, toxicity, warc
 from txrisk.llm.common import table
 from txrisk.llm.sql import oracle_sql
 
@@ -21,6 +21,12 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(table(spark, sf_dir, "documents")).drop("divergence")
 
@@ -88,6 +94,29 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transformed(infill.store(table(spark, sf_dir, "documents")))
+    return made.select(
+        "doc_id", F.col("units").alias("n"), "form", "prefix_chars", "middle_chars", infill.digests(F.col("output"), F.col("form")).alias("of")
+    ).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.col("of.output").alias("output_sha256"),
+        F.col("of.restored").alias("restored_sha256"),
+    )
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = byte_tokenizer()
+    ids = table(spark, sf_dir, "documents").select("doc_id", bytebpe.encoded(F.col("text"), file).alias("ids"))
+    return ids.select(
+        "doc_id", bytebpe.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(bytebpe.decoded(F.col("ids"), file), 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -100,4 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_byte_bpe": op13_byte_bpe,
     }

@@ -137,10 +137,72 @@ FROM d
 """
 
 
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT
+    + 16 * coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false)::INT AS failed
+  FROM d LEFT JOIN l USING (doc_id)),
+t AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, failed),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (
+  SELECT filter_order, step, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS own,
+    coalesce(list_sum([1 << (ascii(substr(filter_order, i, 1)) - 65) FOR i IN range(1, step)]), 0)::INT AS before
+  FROM orders, (SELECT unnest(range(1, 6))::INT AS step)),
+r AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER ((failed & (before | own)) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER ((failed & before) = 0 AND (failed & own) <> 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER ((failed & before) <> 0 AND (failed & own) <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (failed = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER ((failed & before) = 0 AND (failed & own) <> 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER ((failed & before) = 0 AND (failed & own) <> 0), 0)::BIGINT AS toxic_lost
+  FROM s, t GROUP BY part, filter_order, step, own, before)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
+OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u
+  FROM documents),
+c AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+           OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 100 THEN 'plain'
+         WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+p AS (
+  SELECT doc_id, text, len(u)::BIGINT AS n, form, array_to_string(u[1 : least(a, b)], '') AS prefix,
+    array_to_string(u[least(a, b) + 1 : greatest(a, b)], '') AS middle, array_to_string(u[greatest(a, b) + 1 :], '') AS suffix
+  FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": op1(),
         "op2_line_dedup": OP2,
         "op6_warc": OP6,
         "op10_benchmark_decontamination": OP10,
+        "op11_filter_audit": OP11,
+        "op12_fill_in_middle": OP12,
     }

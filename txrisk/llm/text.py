@@ -142,3 +142,12 @@ def word_bytes(texts: Texts, word: Words, at: int, length: int, lower: bool = Tr
     if lower:
         parts = [LOWER[p] for p in parts]
     return b" ".join(p.tobytes() for p in parts)
+
+
+def run_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte runs from ``begin`` to ``end``, which depend on their bytes and lengths only."""
+    total = np.zeros(len(raw) + 1, _U64)
+    if len(raw):
+        np.cumsum(_BYTE_VALUE[raw] * powers(_BASE, _up_to(len(raw)))[: len(raw)], dtype=_U64, out=total[1:])
+    code = (total[end] - total[begin]) * powers(_INVERSE, _up_to(len(raw)))[begin]
+    return mix(code + (end - begin).astype(_U64))

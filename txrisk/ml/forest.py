@@ -8,17 +8,20 @@ sizes depend on the settings only (layers × hidden², trees × 511 nodes), not
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txrisk.ml.scaling import impute_clip, medians, moments, normalise_scores
-from txrisk.operators.ordered import hash_key, rank_boundaries
+from txrisk.operators.ordered import hash_key
+from txrisk.operators.permute import permuted, permuted_column, rows_at
+from txrisk.operators.splits import with_rank
 from txrisk.operators.statistics import quantiles
 from txrisk.schema import COLUMNS, CONTAMINATION, SEED, component_seed
 from txrisk.session import materialise
@@ -119,27 +122,17 @@ def grow_tree(x: np.ndarray, seed: int) -> list[tuple]:
 
 
 def tree_samples(df: DataFrame, id_col: str, s: ForestSettings) -> DataFrame:
-    """``tree`` on a bounded sample: exactly min(sample, n) distinct rows for each tree.
+    """``tree`` on a bounded sample: exactly min(sample, n) distinct rows for each tree, by one rule for every n.
 
-    Large tables: the trees × sample rows with the smallest seeded hash, dealt out to the
-    trees, so the table is filtered and not sorted. Small ones: each tree draws its own.
+    Rows are ranked by a seeded hash of their id, and each tree takes the first places of its own permutation of the
+    ranks. The places are known without the table; it is filtered, never sorted or multiplied.
     """
-    wanted = s.trees * s.sample
-    if df.limit(wanted).count() == wanted:
-        key = hash_key(id_col, s.seed)
-        cut = rank_boundaries(df, key, id_col, [(None, wanted)])[(None, wanted)]
-        nth = F.row_number().over(Window.orderBy("_hash", id_col))  # trees × sample rows
-        return (
-            df.filter(cut.covers(key, id_col))
-            .withColumn("_hash", key)
-            .withColumn("tree", F.pmod(nth, F.lit(s.trees)))
-            .drop("_hash")
-        )
-    each = df.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(s.trees - 1))).alias("tree"))
-    order = F.xxhash64(F.lit(s.seed), "tree", id_col)
-    nth = F.row_number().over(Window.partitionBy("tree").orderBy(order, id_col))
-    drawn = each.withColumn("_nth", nth).filter(F.col("_nth") <= s.sample).drop("_nth")
-    return drawn.join(df, id_col)  # both sides hold fewer than trees × sample rows
+    n = df.count()
+    each = min(s.sample, n)
+    ranks = [(tree, int(r)) for tree in range(s.trees) for r in permuted(np.arange(each), n, f"{s.seed}:tree-{tree}")]
+    picks = df.sparkSession.createDataFrame(pd.DataFrame(ranks, columns=["tree", "rank"]), "tree int, rank long")
+    drawn = rows_at(df, id_col, s.seed, picks, len(ranks)).withColumnRenamed("_id", id_col)
+    return df.join(F.broadcast(drawn.drop("rank")), id_col)  # at most trees x sample rows
 
 
 def fit_trees(df: DataFrame, columns: Sequence[str], id_col: str, s: ForestSettings) -> DataFrame:
@@ -203,8 +196,19 @@ class DeepForest:
 
     def raw_score(self, df: DataFrame, out: str = "raw_score", columns: Column | None = None) -> DataFrame:
         """M5: -2^(-E[h]/c(ψ)) - offset; lower means more isolated."""
+        of = self.scorer(df.sparkSession)
+
+        @F.pandas_udf(T.DoubleType())
+        def score(rows: pd.DataFrame) -> pd.Series:
+            return pd.Series(of(rows.to_numpy(dtype=float)))
+
+        ready = F.struct(*self.columns) if columns is None else columns
+        return df.withColumn(out, score(ready))
+
+    def scorer(self, spark: SparkSession):
+        """The raw score of a matrix of prepared rows, for use inside tasks."""
         s = self.settings
-        shared = df.sparkSession.sparkContext.broadcast(
+        shared = spark.sparkContext.broadcast(
             (
                 np.array([self.scale[c][0] for c in self.columns]),
                 np.array([self.scale[c][1] for c in self.columns]),
@@ -214,14 +218,12 @@ class DeepForest:
         )
         normal, offset, activation = expected_path(self.sample) or 1.0, self.offset, s.activation
 
-        @F.pandas_udf(T.DoubleType())
-        def score(rows: pd.DataFrame) -> pd.Series:
+        def score(rows: np.ndarray) -> np.ndarray:
             mean, deviation, weights, trees = shared.value
-            x = deep_map((rows.to_numpy(dtype=float) - mean) / deviation, weights, activation)
-            return pd.Series(-np.power(2.0, -mean_path(x, trees) / normal) - offset)
+            x = deep_map((rows - mean) / deviation, weights, activation)
+            return -np.power(2.0, -mean_path(x, trees) / normal) - offset
 
-        ready = F.struct(*self.columns) if columns is None else columns
-        return df.withColumn(out, score(ready))
+        return score
 
     def prepare(self, df: DataFrame) -> DataFrame:
         return impute_clip(df, self.columns, self.fills)
@@ -261,32 +263,37 @@ def permutation_importance(
 ) -> DataFrame:
     """M9: change of the mean score when one feature is shuffled, normalised to sum 1.
 
-    Works on all rows, or on ``rows`` of them where the caller names a number. A shuffle pairs each row with the row that has
-    its rank in another hash order; all features are scored in one job.
+    Works on all rows, or on ``rows`` of them where the caller names a number. Rows are ranked once over range partitions;
+    the row at rank r borrows values from the row at rank P(r) of a seeded permutation. That is one join of the table with
+    itself by rank, and the features are tried one after the other inside a batch, which gives back sums only.
     """
-    columns = forest.columns
-    key = hash_key(id_col, forest.settings.seed)
-    head = forest.prepare(df.select(id_col, *columns)).withColumn("_key", key)
+    columns, s = forest.columns, forest.settings
+    head = forest.prepare(df.select(id_col, *columns))
     if rows is not None:
-        head = head.orderBy("_key", id_col).limit(rows)
-    long = head.unpivot([id_col], columns, "feature", "value")
-
-    def nth(salt: str) -> Column:
-        order = F.xxhash64(F.lit(salt), "feature", id_col)
-        return F.row_number().over(Window.partitionBy("feature").orderBy(order, id_col))
-
-    givers = long.select("feature", nth("give").alias("_r"), F.col("value").alias("_given"))
-    takers = long.select("feature", id_col, nth("take").alias("_r"))
-    shuffled = takers.join(givers, ["feature", "_r"]).drop("_r")
-    replaced = shuffled.join(head, id_col).withColumns(
-        {c: F.when(F.col("feature") == c, F.col("_given")).otherwise(F.col(c)) for c in columns}
-    )
-    base = head.withColumn("feature", F.lit(None).cast("string")).select("feature", *columns)
-    both = replaced.select("feature", *columns).unionByName(base)
-    scored = normalise_scores(forest.raw_score(both, "_raw"), "_raw", "_score", forest.ends)
-    means = scored.groupBy("feature").agg(F.avg("_score").alias("mean"))
-    whole = Window.partitionBy(F.lit(0))  # one row per feature
-    base_mean = F.max(F.when(F.col("feature").isNull(), F.col("mean"))).over(whole)
-    change = means.withColumn("change", F.abs(F.col("mean") - base_mean)).filter("feature IS NOT NULL")
-    total = F.sum("change").over(whole)
-    return change.select("feature", F.when(total > 0, F.col("change") / total).otherwise(0.0).alias("importance"))
+        head = head.orderBy(hash_key(id_col, s.seed), id_col).limit(rows)
+    ranked = materialise(with_rank(head, [], [F.col(id_col)], "_rank").select((F.col("_rank") - 1).alias("_rank"), F.array(*columns).alias("x")), "ranked")
+    n = ranked.count()
+    lender = permuted_column(F.col("_rank"), n, f"{s.seed}:importance")
+    pairs = ranked.select(lender.alias("_lender"), "x").join(ranked.select(F.col("_rank").alias("_lender"), F.col("x").alias("y")), "_lender")
+    score, (lo, hi) = forest.scorer(df.sparkSession), forest.ends
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, len(columns)) for c in "xy")
+            if not len(x):
+                continue
+            total = []
+            for f in range(-1, len(columns)):
+                tried = x
+                if f >= 0:
+                    tried = x.copy()
+                    tried[:, f] = y[:, f]
+                raw = score(tried)
+                total.append(float(np.clip((hi - raw) / (hi - lo), 0, 1).sum()) if hi > lo else 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(columns)), pa.int32()), pa.array(total, pa.float64())], ["f", "total"])
+
+    means = {r["f"]: r["total"] / n for r in pairs.select("x", "y").mapInArrow(sums, "f int, total double").groupBy("f").agg(F.sum("total").alias("total")).collect()}
+    change = [abs(means.get(f, 0.0) - means.get(-1, 0.0)) for f in range(len(columns))]
+    whole = sum(change)
+    out = [(c, v / whole if whole > 0 else 0.0) for c, v in zip(columns, change)]
+    return df.sparkSession.createDataFrame(out, "feature string, importance double")

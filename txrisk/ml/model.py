@@ -19,7 +19,7 @@ from txrisk.operators.decision import decision, explanation, risk_level
 from txrisk.operators.preprocess import Preprocessor, PreprocessorModel
 from txrisk.operators.splits import stratified_split
 from txrisk.schema import COLUMNS, Columns, component_seed
-from txrisk.session import materialise
+from txrisk.session import materialise, ship
 from txrisk.sources.readers import normalise_requests, one_transaction
 
 CATEGORIES = ["transaction_type", "merchant_category", "location", "device_used"]
@@ -56,8 +56,7 @@ class RiskModel:
         """M17. Failures raise; nothing is replaced by neutral rows behind the caller's back.
 
         Receiver features of a training row count earlier rows only, and scoring takes them from the statistics
-        stored with the model. ``receiver_mode="batch"`` is the original's way: every row counts, its own too, and a
-        batch to be scored brings its own statistics, without labels.
+        stored with the model. ``receiver_mode="batch"`` is the original's way: in training every row counts, its own too.
         """
         clean = quality.sanitise(quality.require_columns(df, [*cols.required(), cols.label]))
         kinds = [c for c in CATEGORIES if c in clean.columns]
@@ -102,8 +101,7 @@ class RiskModel:
         label = self.cols.label
         ready = quality.clip_columns(self.prep.transform(df.withColumnRenamed(label, "_set_aside")), self.bounds)
         past = None if history is None else quality.clip_columns(self.prep.transform(history.drop(label)), self.bounds)
-        stats = None if self.receiver_mode == "batch" else self.receivers
-        table = features.engineer(ready, self.cols, past, stats=stats).withColumnRenamed("_set_aside", label)
+        table = features.engineer(ready, self.cols, past, stats=self.receivers).withColumnRenamed("_set_aside", label)
         absent = [c for c in self.feature_names if c not in table.columns]
         return table.withColumns({c: F.lit(0.0) for c in absent}) if absent else table
 
@@ -175,7 +173,7 @@ class RiskModel:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "RiskModel":
-        state = json.loads(spark.read.text(f"{path}/state").first()[0])
+        state = json.loads(ship(spark).read.text(f"{path}/state").first()[0])
         s = state["forest"]
         forest = DeepForest(
             s["columns"], s["fills"], {c: tuple(v) for c, v in s["scale"].items()},

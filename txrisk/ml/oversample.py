@@ -2,102 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from txrisk.operators.splits import with_rank
+from txrisk.operators.neighbours import nearest
+from txrisk.operators.ordered import hash_key
+from txrisk.operators.splits import label_counts, with_rank
 from txrisk.schema import COLUMNS, SEED
 
-EXACT_ROWS = 20_000  # minority rows compared with each other through one broadcast matrix
-CHUNK = 5_000  # rows of a neighbourhood chunk beyond that
-BLOCK = 512  # rows whose distances are in memory at once
-NEIGHBOURS = T.ArrayType(T.ArrayType(T.DoubleType()))
-
-
-def closest(rows: np.ndarray, own: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices into ``points`` and squared distances of the k nearest points of each row, itself (``own``) excluded."""
-    at, far = [], []
-    for i in range(0, len(rows), BLOCK):
-        d = ((rows[i : i + BLOCK, None, :] - points[None, :, :]) ** 2).sum(axis=2)
-        d[np.arange(len(d)), own[i : i + BLOCK]] = np.inf
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        at.append(near)
-        far.append(np.take_along_axis(d, near, axis=1))
-    return np.vstack(at), np.vstack(far)
-
-
-def exact_neighbours(minority: DataFrame, n: int, k: int) -> DataFrame:
-    """(_rank, x, near): every row against all ``n`` ≤ EXACT_ROWS rows, in parallel blocks."""
-    spark = minority.sparkSession
-    points = np.array([r["x"] for r in minority.orderBy("_rank").select("x").collect()])
-    assert len(points) == n <= EXACT_ROWS
-    shared = spark.sparkContext.broadcast(points)
-    tasks = max(1, n // BLOCK)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                own = pdf["_rank"].to_numpy() - 1
-                near, _ = closest(np.vstack(pdf["x"].to_numpy()), own, shared.value, k)
-                yield pdf.assign(near=[shared.value[i].tolist() for i in near])
-
-    schema = T.StructType([*minority.schema.fields, T.StructField("near", NEIGHBOURS)])
-    return minority.repartition(tasks, "_rank").mapInPandas(search, schema)
-
-
-def chunked_neighbours(minority: DataFrame, columns: Sequence[str], k: int, chunk: int = CHUNK) -> DataFrame:
-    """(_rank, x, near) for a minority of any size: nearest within bounded chunks, approximately.
-
-    Rows lie in the order of an interleaved code of their coordinates' eighths, so close rows
-    get close ranks. Each row is in two chunks, the second set shifted by half a chunk,
-    and keeps the k nearest of both. Every chunk has at most ``chunk`` rows.
-    """
-    ends = minority.agg(
-        *[F.min(F.col("x")[i]).alias(f"lo{i}") for i in range(len(columns))],
-        *[F.max(F.col("x")[i]).alias(f"hi{i}") for i in range(len(columns))],
-    ).first()
-    code = F.lit("")
-    for bit in (1, 2, 3):
-        for i in range(len(columns)):
-            width = (ends[f"hi{i}"] - ends[f"lo{i}"]) or 1.0
-            step = F.least(F.floor((F.col("x")[i] - ends[f"lo{i}"]) / width * 8), F.lit(7)).cast("int")
-            code = F.concat(code, F.getbit(step, F.lit(3 - bit)).cast("string"))
-    placed = with_rank(minority.drop("_rank").withColumn("_code", code), [], [F.col("_code"), F.col("_id")], "_rank")
-    half = chunk // 2
-    chunks = F.array(
-        F.concat(F.lit("a"), F.floor((F.col("_rank") - 1) / chunk)),
-        F.concat(F.lit("b"), F.floor((F.col("_rank") - 1 + half) / chunk)),
-    )
-    schema = T.StructType(
-        [
-            T.StructField("_rank", T.LongType()), T.StructField("_other", T.LongType()),
-            T.StructField("_d", T.DoubleType()), T.StructField("_at", T.ArrayType(T.DoubleType())),
-        ]
-    )
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        points, ranks = np.vstack(pdf["x"].to_numpy()), pdf["_rank"].to_numpy()
-        width = min(k, len(points) - 1)
-        if width < 1:
-            return pd.DataFrame({c: [] for c in schema.names})
-        near, far = closest(points, np.arange(len(points)), points, width)
-        return pd.DataFrame(
-            {
-                "_rank": np.repeat(ranks, width), "_other": ranks[near].ravel(), "_d": far.ravel(),
-                "_at": points[near.ravel()].tolist(),
-            }
-        )
-
-    found = placed.select("_rank", "x", F.explode(chunks).alias("_chunk")).groupBy("_chunk").applyInPandas(search, schema)
-    # At most 2k candidates per row reach this aggregate.
-    best = F.slice(F.array_sort(F.collect_set(F.struct("_d", "_other", "_at"))), 1, k)
-    near = found.groupBy("_rank").agg(F.transform(best, lambda e: e["_at"]).alias("near"))
-    return placed.select("_rank", "x").join(near, "_rank")
+SHARES = 1_000_000
 
 
 def smote(
@@ -108,46 +23,48 @@ def smote(
     id_col: str = COLUMNS.id,
     k: int = 5,
     seed: int = SEED,
-    exact_rows: int = EXACT_ROWS,
 ) -> DataFrame:
     """Synthetic positives that bring the class to ``wanted`` rows: (draw, columns..., label).
 
-    Draw j takes a minority row and one of its k nearest minority neighbours by seeded hashes
-    of j, and lies between them at a hashed share of the way.
+    Draw j takes a minority row and one of its k nearest minority neighbours by seeded hashes of j, and lies
+    between them at a hashed share of the way. Neighbours are exact for any number of rows. Rows of which a column
+    is null, infinite or not a number have no place and raise.
     """
     columns = list(columns)
-    minority = df.filter(F.col(label) == 1).select(
-        F.col(id_col).alias("_id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x")
-    )
-    n = minority.count()
+    values = [F.col(c).cast("double") for c in columns]
+    minority = df.filter(F.col(label) == 1).select(F.col(id_col).alias("_id"), F.array(*values).alias("x"))
+    odd = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    n, bad = minority.agg(F.count(F.lit(1)), F.count_if(odd)).first()
     if n < 2:
         raise ValueError("oversampling needs at least two minority rows")
+    if bad:
+        raise ValueError(f"{bad} minority rows have values that are no finite numbers")
     k = min(k, n - 1)
-    if n <= exact_rows:
-        known = exact_neighbours(with_rank(minority, [], [F.col("_id")], "_rank"), n, k)
-    else:
-        known = chunked_neighbours(minority, columns, k)
-    draw = F.col("id")
-    share = F.pmod(F.xxhash64(F.lit(seed), F.lit("share"), draw), F.lit(1_000_000)) / 1_000_000
+    known = nearest(with_rank(minority, [], [F.col("_id")], "_rank"), k)
+    rolled = lambda what, upto: F.pmod(hash_key("id", f"{seed}:{what}"), F.lit(upto))
     draws = df.sparkSession.range(max(0, wanted - n)).select(
-        draw.alias("draw"),
-        (F.pmod(F.xxhash64(F.lit(seed), F.lit("row"), draw), F.lit(n)) + 1).alias("_rank"),
-        F.pmod(F.xxhash64(F.lit(seed), F.lit("near"), draw), F.lit(1 << 31)).alias("_pick"),
-        share.alias("_u"),
+        F.col("id").alias("draw"), (rolled("row", n) + 1).alias("_rank"),
+        (rolled("near", k) + 1).cast("int").alias("_pick"), (rolled("share", SHARES) / SHARES).alias("_u"),
     )
-    near = F.element_at("near", (F.pmod("_pick", F.size("near")) + 1).cast("int"))
-    mixed = F.zip_with("x", near, lambda a, b: struct_of(a, b))
-    joined = draws.join(known.select("_rank", "x", "near"), "_rank").select("draw", "_u", mixed.alias("_m"))
+    joined = draws.join(known, "_rank").select("draw", "_u", "x", F.element_at("near", F.col("_pick"))["x"].alias("_to"))
     return joined.select(
         "draw",
-        *[(F.col("_m")[i]["a"] + F.col("_u") * (F.col("_m")[i]["b"] - F.col("_m")[i]["a"])).alias(c)
-          for i, c in enumerate(columns)],
+        *[(F.col("x")[i] + F.col("_u") * (F.col("_to")[i] - F.col("x")[i])).alias(c) for i, c in enumerate(columns)],
         F.lit(1).alias(label),
     )
 
 
-def struct_of(a, b):
-    return F.struct(a.alias("a"), b.alias("b"))
+def balanced_set(
+    df: DataFrame, columns: Sequence[str], label: str = COLUMNS.label, id_col: str = COLUMNS.id, k: int = 5, seed: int = SEED
+) -> DataFrame:
+    """D7, the whole set: every row of ``df`` (its id, columns as doubles, label) and the synthetic positives that bring
+    their class level with the other; these have no id but a ``draw``, which is null for given rows."""
+    counts = label_counts(df, label)
+    made = smote(df, columns, counts.get(0, 0), label, id_col, k, seed)
+    given = df.select(
+        F.col(id_col), F.lit(None).cast("long").alias("draw"), *[F.col(c).cast("double").alias(c) for c in columns], F.col(label).cast("int").alias(label)
+    )
+    return given.unionByName(made.withColumn(id_col, F.lit(None).cast(df.schema[id_col].dataType)))
 
 
 def decode(df: DataFrame, column: str, known: Sequence[str]) -> DataFrame:

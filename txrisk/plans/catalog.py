@@ -321,18 +321,32 @@ def d5(spark, d):
 
 
 def d6(spark, d):
-    out = splits.resample(t.transactions(spark, d), {0: 2000, 1: 2000})
+    """Both classes at the size of the larger one."""
+    tx = t.transactions(spark, d)
+    most = max(splits.label_counts(tx, "is_fraud").values(), default=0)
+    out = splits.resample(tx, {0: most, 1: most})
     return out.select("draw", "transaction_id", "is_fraud")
 
 
-def d7(spark, d):
-    """As many synthetic positives as bring the class level with the negatives."""
+def _coded(spark, d):
     tx = event_k(spark, d).withColumn("hour", F.hour("timestamp"))
     places = preprocess.categories(tx, "location")
     code = F.array_position(F.array(*[F.lit(v) for v in places]), F.col("location")) - 1
-    coded = tx.select("transaction_id", "amount", "k", "hour", code.alias("location"), "is_fraud")
+    return tx.select("transaction_id", "amount", "k", "hour", code.alias("location"), "is_fraud"), places
+
+
+def d7(spark, d):
+    """As many synthetic positives as bring the class level with the negatives."""
+    coded, places = _coded(spark, d)
     wanted = splits.label_counts(coded, "is_fraud").get(0, 0)
-    return oversample.decode(oversample.smote(coded, ["amount", "k", "hour", "location"], wanted), "location", places)
+    made = oversample.decode(oversample.smote(coded, ["amount", "k", "hour", "location"], wanted), "location", places)
+    return rounded(made, 6, ["amount", "k", "hour"])
+
+
+def d7_whole(spark, d):
+    coded, places = _coded(spark, d)
+    whole = oversample.decode(oversample.balanced_set(coded, ["amount", "k", "hour", "location"]), "location", places)
+    return rounded(whole, 6, ["amount", "k", "hour"])
 
 
 def d8(spark, d):
@@ -619,16 +633,26 @@ def feature_table(spark, d):
     return fitted(spark, d).features(t.transactions(spark, d))
 
 
+def scaled_features(spark, d):
+    """The engineered columns as the fitted forest sees them."""
+    model = fitted(spark, d)
+    ready = model.forest.prepare(feature_table(spark, d))
+    return model, standardise(ready, model.forest.columns, model.forest.scale)
+
+
 def m3(spark, d):
-    table = event_k(spark, d).select("transaction_id", "amount", F.col("k").cast("double").alias("k"))
-    scaled = standardise(table, ["amount", "k"])
-    return forest.deep_features(scaled, ["amount", "k"], "deep").select("transaction_id", "deep")
+    model, scaled = scaled_features(spark, d)
+    return forest.deep_features(scaled, model.forest.columns, "deep").select("transaction_id", "deep")
 
 
 def m4(spark, d):
-    table = event_k(spark, d).select("transaction_id", "amount", F.col("k").cast("double").alias("k"))
-    scaled = standardise(table, ["amount", "k"])
-    return forest.fit_trees(scaled, ["amount", "k"], "transaction_id", forest.ForestSettings())
+    model, scaled = scaled_features(spark, d)
+    return forest.fit_trees(scaled, model.forest.columns, "transaction_id", forest.ForestSettings())
+
+
+def m4_samples(spark, d):
+    tx = t.transactions(spark, d).select("transaction_id")
+    return forest.tree_samples(tx, "transaction_id", forest.ForestSettings()).select("tree", "transaction_id")
 
 
 def m5(spark, d):
@@ -864,6 +888,7 @@ def queries() -> dict[str, Query]:
         "d5_folds": d5,
         "d6_resample": d6,
         "d7_smote": d7,
+        "d7_balanced_set": d7_whole,
         "d8_assign_metadata": d8,
         "m1_impute_clip": m1,
         "m2_standardise": m2,
@@ -935,6 +960,7 @@ def queries() -> dict[str, Query]:
         "e26_recommendations": e26,
         "m3_deep_features": m3,
         "m4_isolation_trees": m4,
+        "m4_tree_samples": m4_samples,
         "m5_isolation_scores": m5,
         "m9_permutation_importance": m9,
         "m11_boosted_probabilities": m11,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from txrisk.operators import permute
 from txrisk.operators.metrics import KEY_THRESHOLDS, SEARCH, SWEEP
 
 TX = """tx AS (
@@ -42,6 +43,49 @@ CURVE = """g AS (SELECT p AS threshold, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBL
   tp / cp AS tpr FROM cv)"""
 
 
+# Each minority row's nearest others by brute force, and draws between them.
+SMOTE = [
+    """places AS (SELECT list(DISTINCT location ORDER BY location) AS p FROM tx)""",
+    """m AS (SELECT row_number() OVER (ORDER BY transaction_id) AS r, amount AS a, k::DOUBLE AS b, hour("timestamp")::DOUBLE AS c,
+ (list_position(p, location) - 1)::DOUBLE AS d FROM tx, places WHERE is_fraud = 1)""",
+    """sizes AS (SELECT (SELECT count(*) FROM m) AS n, (SELECT count(*) FROM tx WHERE is_fraud = 0) AS others)""",
+    """near AS (SELECT x.r, y.a, y.b, y.c, y.d, row_number() OVER (PARTITION BY x.r ORDER BY (x.a - y.a) * (x.a - y.a)
+ + (x.b - y.b) * (x.b - y.b) + (x.c - y.c) * (x.c - y.c) + (x.d - y.d) * (x.d - y.d), y.r) AS nth
+ FROM m x JOIN m y ON x.r <> y.r)""",
+    """draws AS (SELECT j AS draw, ('0x' || substr(md5('42:row:' || j), 1, 15))::BIGINT % n + 1 AS r,
+ ('0x' || substr(md5('42:near:' || j), 1, 15))::BIGINT % 5 + 1 AS nth,
+ (('0x' || substr(md5('42:share:' || j), 1, 15))::BIGINT % 1000000) / 1000000.0::DOUBLE AS u
+ FROM sizes, (SELECT unnest(range((SELECT others - n FROM sizes))) AS j) g)""",
+    """made AS (SELECT draw, round(m.a + u * (near.a - m.a), 6) AS amount, round(m.b + u * (near.b - m.b), 6) AS k,
+ round(m.c + u * (near.c - m.c), 6) AS hour,
+ p[trunc(least(greatest(m.d + u * (near.d - m.d), 0), len(p) - 1))::INTEGER + 1] AS location, 1 AS is_fraud
+ FROM draws JOIN m USING (r) JOIN near USING (r, nth), places)""",
+]
+
+
+def permutation_sql(places: str) -> str:
+    """Recursive tables that end in ``permuted`` (key, place, rank): ``places`` gives rows (n, key, place).
+
+    One step of the recursion is a round of the network, or its next beginning where a value is n or more.
+    """
+    mask = "((1::BIGINT << half) - 1)"
+    mixed = f"(xor(a, a >> 15) * {permute.SECOND}) % {permute.PRIME}"
+    return f"""start AS (
+ SELECT *, greatest(1, ceil(ceil(log2(greatest(n, 2))) / 2))::BIGINT AS half FROM ({places}) p),
+keys AS (SELECT key, i, ('0x' || substr(md5(key || ':' || i), 1, 7))::BIGINT AS k
+ FROM (SELECT DISTINCT key FROM start) s, range({permute.ROUNDS}) t(i)),
+walk(key, place, n, half, i, l, r) AS (
+ SELECT key, place::BIGINT, n::BIGINT, half, 0::BIGINT, place >> half, place & {mask} FROM start
+ UNION ALL
+ SELECT key, place, n, half, CASE WHEN i < {permute.ROUNDS} THEN i + 1 ELSE 0 END,
+  CASE WHEN i < {permute.ROUNDS} THEN r ELSE l END,
+  CASE WHEN i < {permute.ROUNDS} THEN xor(l, xor(b, b >> 13) & {mask}) ELSE r END
+ FROM (SELECT *, {mixed} AS b FROM (SELECT w.*, ((r + coalesce(k, 0)) * {permute.FIRST}) % {permute.PRIME} AS a
+  FROM walk w LEFT JOIN keys USING (key, i)) x) y
+ WHERE i < {permute.ROUNDS} OR ((l << half) | r) >= n),
+permuted AS (SELECT key, place, (l << half) | r AS rank FROM walk WHERE i = {permute.ROUNDS} AND ((l << half) | r) < n)"""
+
+
 def q(*parts: str) -> str:
     return "WITH " + ",\n".join(parts[:-1]) + "\n" + parts[-1]
 
@@ -374,8 +418,16 @@ def oracle_sql() -> dict[str, str]:
   count(*) OVER (PARTITION BY is_fraud) AS n FROM tx),
  sizes AS (SELECT is_fraud, max(n) AS n FROM r GROUP BY 1),
  draws AS (SELECT j AS draw, is_fraud, CAST('0x' || substr(md5('42:' || is_fraud || ':' || j), 1, 15) AS BIGINT) % n + 1 AS rank_
-  FROM range(2000) g(j), sizes)""",
+  FROM sizes, (SELECT unnest(range((SELECT max(n) FROM sizes))) AS j) g)""",
     "SELECT draw, transaction_id, is_fraud FROM draws JOIN r USING (is_fraud, rank_)")
+    o["d7_smote"] = q(TX, *SMOTE, "SELECT draw, amount, k, hour, location, is_fraud FROM made")
+    o["d7_balanced_set"] = q(TX, *SMOTE, """SELECT NULL AS transaction_id, draw, amount, k, hour, location, is_fraud FROM made
+ UNION ALL SELECT transaction_id, NULL, amount, k, hour("timestamp"), location, is_fraud FROM tx""")
+    o["m4_tree_samples"] = "WITH RECURSIVE " + ",\n".join([TX, f"""ranked AS (
+ SELECT transaction_id, row_number() OVER (ORDER BY {HASH}, transaction_id) - 1 AS rank, count(*) OVER () AS n FROM tx)""",
+    permutation_sql("""SELECT n, '42:tree-' || t AS key, unnest(range(least(256, n))) AS place
+ FROM (SELECT max(n) AS n FROM ranked) m, range(100) trees(t)""")]) + """
+SELECT replace(key, '42:tree-', '')::INTEGER AS tree, transaction_id FROM permuted JOIN ranked USING (rank)"""
     o["d8_assign_metadata"] = q(TX, """SELECT transaction_id, 'TXN' || lpad(CAST(r - 1 AS VARCHAR), 8, '0') AS sequence_id,
  (1704067200 + (r - 1) * 120)::BIGINT AS sequence_seconds, CASE WHEN is_fraud = 1 THEN 'synthetic_fraud' ELSE 'none' END AS fraud_type
  FROM (SELECT transaction_id, is_fraud, row_number() OVER (ORDER BY "timestamp", transaction_id) AS r FROM tx) t""")

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from txrisk.functions.scalars import parse_timestamp, text_or
 from txrisk.operators.quality import require_binary, require_columns
 from txrisk.schema import COLUMNS, REQUEST, TRANSACTION
+from txrisk.session import ship
 
 # The declared type of a CSV column is text first: a bad cell becomes NULL, not a failed job.
 NUMERIC = {f.name: f.dataType for f in TRANSACTION.fields if isinstance(f.dataType, T.NumericType)}
@@ -16,7 +17,7 @@ NUMERIC = {f.name: f.dataType for f in TRANSACTION.fields if isinstance(f.dataTy
 
 def read_csv(spark: SparkSession, path: str, label: bool = True) -> DataFrame:
     """S1 (with label) and S3 (without): the header decides the columns, the schema their types."""
-    raw = spark.read.option("header", True).csv(path)  # header only: no inference pass over the data
+    raw = ship(spark).read.option("header", True).csv(path)  # header only: no inference pass over the data
     df = require_columns(raw, COLUMNS.required() + ([COLUMNS.label] if label else []))
     return typed(df)
 
@@ -31,7 +32,7 @@ def typed(df: DataFrame) -> DataFrame:
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Columnar input; zone-less times become session-zone timestamps."""
-    df = spark.read.parquet(path)
+    df = ship(spark).read.parquet(path)
     return df.withColumn(COLUMNS.time, F.col(COLUMNS.time).cast("timestamp")) if COLUMNS.time in df.columns else df
 
 
@@ -56,7 +57,7 @@ def parse_requests(bodies: DataFrame, column: str = "value") -> DataFrame:
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Files of whole JSON documents, one document per file."""
-    return parse_requests(spark.read.text(path, wholetext=True))
+    return parse_requests(ship(spark).read.text(path, wholetext=True))
 
 
 def one_transaction(spark: SparkSession, body: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from txrisk.ml.model import RiskModel
 from txrisk.operators import features
 from txrisk.schema import COLUMNS, REQUEST, TRANSACTION, Columns
+from txrisk.session import ship
 from txrisk.sources.readers import normalise_requests
 
 HISTORY = "24 hours"
@@ -25,14 +26,14 @@ HISTORY = "24 hours"
 
 def request_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
     """JSON request lines from a folder that other jobs write to."""
-    raw = spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    raw = ship(spark).readStream.schema(REQUEST).option("maxFilesPerTrigger", files_per_batch).json(folder)
     return normalise_requests(raw)
 
 
 def transaction_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """Typed Parquet transactions as they arrive."""
     return (
-        spark.readStream.schema(TRANSACTION).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+        ship(spark).readStream.schema(TRANSACTION).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     )
 
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.ml.scaling import class_weight
+from txrisk.ml.scaling import class_weight, positive_ratio, with_weight
 from txrisk.operators import metrics
 from txrisk.operators.splits import assign_folds
 from txrisk.schema import COLUMNS, SEED
@@ -22,37 +23,87 @@ from txrisk.schema import COLUMNS, SEED
 # become a depth of 5.
 BOOSTING = {
     "stepSize": 0.1, "maxDepth": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.9",
-    "validationTol": 0.0,  # go on as long as the held-out loss falls at all
 }
+MAX_ROUNDS, PATIENCE = 1000, 100
 
 
 def _assemble(columns: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(columns), outputCol="_features", handleInvalid="keep")
 
 
-def fit_boosting(
+@dataclass
+class Boosting:
+    """A boosted model cut to its best prefix, and how it was found."""
+
+    model: PipelineModel
+    curve: list[float]  # held-out loss after each round that was looked at; empty without held-out rows
+    best_round: int
+    ratio: float  # weight of a positive row
+
+
+def best_prefix(curve: Sequence[float], patience: int) -> tuple[int, bool]:
+    """Rounds of the first least loss seen before ``patience`` rounds bring no less, and whether it came to that."""
+    best = 0
+    for t, loss in enumerate(curve):
+        if loss < curve[best]:
+            best = t
+        elif t - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def first_trees(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The model of the first ``rounds`` trees: what boosting that ended there would have given."""
+    spark = SparkSession.getActiveSession()
+    gateway, whole = spark.sparkContext._gateway, model._java_obj
+    trees, weights = whole.trees(), whole.treeWeights()
+    kept = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    share = gateway.new_array(gateway.jvm.double, rounds)
+    for i in range(rounds):
+        kept[i], share[i] = trees[i], weights[i]
+    made = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(whole.uid(), kept, share, whole.numFeatures(), 2)
+    return model._copyValues(GBTClassificationModel(made))
+
+
+def boost(
     train: DataFrame,
     columns: Sequence[str],
     label: str = COLUMNS.label,
     validation: str | None = None,
-    rounds: int = 100,
+    rounds: int = MAX_ROUNDS,
     seed: int = SEED,
     weighted: bool = True,
-) -> PipelineModel:
+    patience: int = PATIENCE,
+) -> Boosting:
     """Gradient-boosted trees, positives weighted by neg/pos, at most ``rounds`` rounds.
 
-    ``validation`` names a boolean column: its rows are held out and end the boosting when their
-    loss no longer improves. Growth is by level and the stop is on log-loss, so a model
-    agrees with a leaf-wise one in quality, not number for number.
+    ``validation`` names a boolean column: its rows are held out, and the model keeps the rounds after which their
+    (weighted) log-loss was least, once ``patience`` further rounds brought none that is less. A loss that rises and falls
+    again is followed that far. Boosting cannot be taken up again where it ended, but repeats itself exactly, so it
+    runs with doubled rounds until the patience is used up: less than twice the work of the last run. Growth is by
+    level, so a model agrees with a leaf-wise one in quality, not number for number.
     """
-    data = class_weight(train, label) if weighted else train.withColumn("weight", F.lit(1.0))
-    booster = GBTClassifier(
-        featuresCol="_features", labelCol=label, weightCol="weight", maxIter=rounds, seed=seed,
-        **BOOSTING,
-    )
-    if validation:
-        booster = booster.setValidationIndicatorCol(validation)
-    return Pipeline(stages=[_assemble(columns), booster]).fit(data)
+    ratio = positive_ratio(train, label) if weighted else 1.0
+    data = _assemble(columns).transform(with_weight(train, ratio, label))
+    fitted = data.filter(~F.col(validation)) if validation else data
+    size = min(rounds, patience + patience // 2 + 1) if validation else rounds
+    while True:
+        booster = GBTClassifier(featuresCol="_features", labelCol=label, weightCol="weight", maxIter=size, seed=seed, **BOOSTING)
+        model, curve, best = booster.fit(fitted), [], size
+        if validation:
+            curve = model.evaluateEachIteration(data.filter(F.col(validation)))
+            best, settled = best_prefix(curve, patience)
+            if not settled and size < rounds:
+                size = min(rounds, 2 * size)
+                continue
+            if best < size:
+                model = first_trees(model, best)
+        return Boosting(PipelineModel([_assemble(columns), model]), list(curve), best, ratio)
+
+
+def fit_boosting(train: DataFrame, columns: Sequence[str], *args, **settings) -> PipelineModel:
+    """The model of :func:`boost`."""
+    return boost(train, columns, *args, **settings).model
 
 
 def fit_random_forest(
@@ -97,7 +148,7 @@ def evaluate(model: PipelineModel, df: DataFrame, threshold: float = 0.5, label:
 
 
 def cross_validate(
-    df: DataFrame, columns: Sequence[str], folds: int = 5, rounds: int = 20, seed: int = SEED
+    df: DataFrame, columns: Sequence[str], folds: int = 5, rounds: int = 100, seed: int = SEED
 ) -> DataFrame:
     """Mean, deviation, minimum and maximum ROC-AUC over exact stratified folds.
 

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txrisk.functions.scalars import probability
 from txrisk.ml import boosting
 from txrisk.ml.forest import DeepForest, ForestSettings, fit_forest, pack_nodes
-from txrisk.operators import features, metrics, quality
+from txrisk.operators import features, metrics, quality, registry
 from txrisk.operators.decision import decision, explanation, risk_level
 from txrisk.operators.preprocess import Preprocessor, PreprocessorModel
 from txrisk.operators.splits import stratified_split
@@ -39,6 +40,11 @@ class RiskModel:
     receivers: DataFrame  # statistics of the receivers in the training rows
     receiver_mode: str = "point_in_time"
     cols: Columns = COLUMNS
+    own: DataFrame | None = None  # what each training row added to them
+    fills: dict[str, object] = field(default_factory=dict)  # V10
+    ends: dict[str, tuple[float | None, float | None]] = field(default_factory=dict)  # V11
+    schema: T.StructType | None = None  # of the rows it was fitted on
+    training: dict[str, object] = field(default_factory=dict)  # sizes, rounds and quality of the fit
 
     # ------------------------------------------------------------------ fit
 
@@ -48,10 +54,11 @@ class RiskModel:
         df: DataFrame,
         cols: Columns = COLUMNS,
         validation_share: float = 0.2,
-        rounds: int = 100,
+        rounds: int = boosting.MAX_ROUNDS,
         forest: ForestSettings = ForestSettings(),
         receiver_mode: str = "point_in_time",
         tune: bool = True,
+        patience: int = boosting.PATIENCE,
     ) -> "RiskModel":
         """M17. Failures raise; nothing is replaced by neutral rows behind the caller's back.
 
@@ -62,12 +69,17 @@ class RiskModel:
         kinds = [c for c in CATEGORIES if c in clean.columns]
         prep = Preprocessor(cols.time, [cols.amount], kinds).fit(clean)
         ready = prep.transform(clean)
+        ends = quality.finite_ends(ready)
+        ready = quality.make_finite(ready, ends)
+        fills = quality.null_fills(ready.drop(cols.id, cols.sender, cols.receiver, cols.label, cols.time))
+        ready = quality.fill_nulls(ready, fills)
         amounts = [c for c in (cols.amount, f"{cols.amount}_original") if c in ready.columns]
         bounds = quality.outlier_bounds(ready, amounts)
         ready = quality.dedupe_rows(quality.clip_columns(ready, bounds))
         # Written once: every later stage (medians, trees, boosting, tuning) reads these files.
         table = materialise(features.engineer(ready, cols, receiver_mode=receiver_mode), "features")
         receivers = materialise(features.receiver_stats(ready, cols), "receivers")
+        own = materialise(features.contributions(ready, cols), "own")
         names = features.feature_columns(table, cols, skip=kinds)
         split = stratified_split(table, validation_share, cols, component_seed("train_test_split"))
         train = split.filter("split = 'train'")
@@ -76,13 +88,15 @@ class RiskModel:
             integrate(detector, split, names).withColumn("_held_out", F.col("split") == "test"), "scored"
         )
         inputs = [*names, "anomaly_score"]
-        classifier = boosting.fit_boosting(
-            scored, inputs, cols.label, "_held_out", rounds, component_seed("classifier")
+        found = boosting.boost(
+            scored, inputs, cols.label, "_held_out", rounds, component_seed("classifier"), patience=patience
         )
-        model = cls(prep, bounds, names, detector, classifier, {}, receivers, receiver_mode, cols)
+        model = cls(prep, bounds, names, detector, found.model, {}, receivers, receiver_mode, cols, own, fills, ends, clean.schema)
+        judged = boosting.predict(found.model, scored)
+        judged = materialise(judged.select(F.col(cols.label).cast("int").alias("y"), F.col("fraud_probability").alias("p"), "_held_out"), "judged")
+        model.training = training_facts(judged, len(names), found)
         if tune:
-            held = boosting.predict(classifier, scored.filter("_held_out"))
-            points = metrics.curve_points(boosting.as_scored(held, cols.label))
+            points = metrics.curve_points(judged.filter("_held_out"))
             tuned = metrics.tuned_thresholds(points).collect()  # at most six rows
             model.thresholds = {r["strategy"]: r["threshold"] for r in tuned}
         return model
@@ -93,15 +107,25 @@ class RiskModel:
 
     # -------------------------------------------------------------- scoring
 
+    def check(self, df: DataFrame) -> dict:
+        """V14 for rows to be scored: columns and types against those of the fit; the label may be absent."""
+        wanted = T.StructType([f for f in self.schema.fields if f.name != self.cols.label])
+        return quality.compare_schema(df, wanted)
+
+    def prepared(self, df: DataFrame) -> DataFrame:
+        """Rows as the fit had them before features: encoded, finite, without holes, within bounds."""
+        ready = quality.make_finite(self.prep.transform(df), self.ends)
+        return quality.clip_columns(quality.fill_nulls(ready, self.fills), self.bounds)
+
     def features(self, df: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """Preprocessed and engineered rows, with every feature the model was fitted on.
 
         Labels are set aside before features are made, so they never reach a score.
         """
         label = self.cols.label
-        ready = quality.clip_columns(self.prep.transform(df.withColumnRenamed(label, "_set_aside")), self.bounds)
-        past = None if history is None else quality.clip_columns(self.prep.transform(history.drop(label)), self.bounds)
-        table = features.engineer(ready, self.cols, past, stats=self.receivers).withColumnRenamed("_set_aside", label)
+        ready = self.prepared(df.withColumnRenamed(label, "_set_aside"))
+        past = None if history is None else self.prepared(history.drop(label))
+        table = features.engineer(ready, self.cols, past, stats=self.receivers, own=self.own).withColumnRenamed("_set_aside", label)
         absent = [c for c in self.feature_names if c not in table.columns]
         return table.withColumns({c: F.lit(0.0) for c in absent}) if absent else table
 
@@ -113,7 +137,7 @@ class RiskModel:
         Rows that cannot be scored come back as error rows; all others are scored. ``history`` holds
         earlier transactions, so that a batch's windows do not begin at its own first row.
         """
-        clean = quality.coerce_amounts(quality.trim_text(df))
+        clean = quality.coerce_amounts(quality.trim_text(quality.require_columns(df, self.cols.required())))
         kind, message = quality.row_error(self.cols)
         judged = clean.withColumns({"_kind": kind, "_message": message})
         good = judged.filter("_kind IS NULL").drop("_kind", "_message")
@@ -153,7 +177,8 @@ class RiskModel:
         f = self.forest
         state = {
             "bounds": self.bounds, "feature_names": self.feature_names, "thresholds": self.thresholds,
-            "cols": asdict(self.cols), "receiver_mode": self.receiver_mode,
+            "cols": asdict(self.cols), "receiver_mode": self.receiver_mode, "fills": self.fills, "ends": self.ends,
+            "schema": self.schema.jsonValue(), "training": self.training,
             "forest": {
                 "columns": f.columns, "fills": f.fills, "scale": f.scale, "sample": f.sample,
                 "offset": f.offset, "ends": f.ends, "settings": asdict(f.settings),
@@ -168,6 +193,7 @@ class RiskModel:
         )
         spark.createDataFrame(nodes).write.mode("overwrite").parquet(f"{path}/nodes")
         self.receivers.write.mode("overwrite").parquet(f"{path}/receivers")
+        self.own.write.mode("overwrite").parquet(f"{path}/own")
         self.prep.write().overwrite().save(f"{path}/prep")
         self.classifier.write().overwrite().save(f"{path}/classifier")
 
@@ -184,9 +210,32 @@ class RiskModel:
             PreprocessorModel.load(f"{path}/prep"), {c: tuple(v) for c, v in state["bounds"].items()},
             state["feature_names"], forest, PipelineModel.load(f"{path}/classifier"), state["thresholds"],
             spark.read.parquet(f"{path}/receivers"), state["receiver_mode"], Columns(**state["cols"]),
+            spark.read.parquet(f"{path}/own"), state["fills"], {c: tuple(v) for c, v in state["ends"].items()},
+            T.StructType.fromJson(state["schema"]), state["training"],
+        )
+
+    def publish(self, spark: SparkSession, root: str, name: str = "risk_model") -> dict:
+        """Save the model under ``root`` and commit its registry row with schema, sizes and statistics."""
+        return registry.publish(
+            spark, root, name, lambda path: self.save(spark, path),
+            {"model_type": type(self).__name__, "schema": self.schema.json(), "statistics": json.dumps(self.training)},
         )
 
 
+def training_facts(judged: DataFrame, n_features: int, found: boosting.Boosting) -> dict[str, object]:
+    """Sizes, label rates, rounds and metrics at 0.5 of the training and the validation rows."""
+    full = metrics.comprehensive(judged, 0.5, by=["_held_out"]).collect()  # two rows at most
+    facts: dict[str, object] = {
+        "n_features": n_features, "best_iteration": found.best_round, "rounds_looked_at": len(found.curve),
+        "scale_pos_weight": found.ratio, "best_loss": min(found.curve, default=None),
+    }
+    for r in full:
+        side = "val" if r["_held_out"] else "train"
+        facts |= {f"n_{side}_samples": r["total_transactions"], f"fraud_rate_{side}": r["fraud_rate"], f"{side}_auc": r["roc_auc"],
+                  f"{side}_precision": r["precision"], f"{side}_recall": r["recall"], f"{side}_f1": r["f1_score"]}
+    return facts
+
+
 def integrate(forest: DeepForest, table: DataFrame, names: list[str], scale: str = "fitted") -> DataFrame:
     """the anomaly score as one more feature; inputs imputed and clipped, the score within [0, 1]."""
     scored = forest.transform(table, "anomaly_score", scale)

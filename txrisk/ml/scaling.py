@@ -90,9 +90,17 @@ def score_stats(df: DataFrame, score: str, contamination: float = CONTAMINATION)
     )
 
 
-def class_weight(df: DataFrame, label: str = COLUMNS.label) -> DataFrame:
-    """``weight`` = negatives / positives for positives, 1 for the rest."""
+def positive_ratio(df: DataFrame, label: str = COLUMNS.label) -> float:
+    """Negatives / positives; 1 without positives."""
     y = F.col(label)
     n = df.agg(F.count_if(y == 1), F.count_if(y == 0)).first()
-    ratio = n[1] / n[0] if n[0] else 1.0
-    return df.withColumn("weight", F.when(y == 1, F.lit(float(ratio))).otherwise(F.lit(1.0)))
+    return float(n[1] / n[0]) if n[0] else 1.0
+
+
+def with_weight(df: DataFrame, ratio: float, label: str = COLUMNS.label) -> DataFrame:
+    return df.withColumn("weight", F.when(F.col(label) == 1, F.lit(ratio)).otherwise(F.lit(1.0)))
+
+
+def class_weight(df: DataFrame, label: str = COLUMNS.label) -> DataFrame:
+    """``weight`` = negatives / positives for positives, 1 for the rest."""
+    return with_weight(df, positive_ratio(df, label), label)

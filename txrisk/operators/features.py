@@ -375,11 +375,14 @@ def receiver_risk(
     mode: str = "batch",
     stats: DataFrame | None = None,
     source: DataFrame | None = None,
+    own: DataFrame | None = None,
 ) -> DataFrame:
     """receiver totals, label rate and risk score on every row.
 
     ``mode="batch"`` counts the row's own label, ``"point_in_time"`` only rows before it
-    in (time, id) order. ``stats`` scores with a stored dimension instead of the batch's own.
+    in (time, id) order. ``stats`` scores with a stored dimension instead of the batch's own, and ``own``
+    (:func:`contributions` of the rows it was made of) takes a row's own part off it, so that no row's statistics know
+    its label.
     ``source`` is the same table before other features were added: the statistics then
     scan only their few columns.
     """
@@ -399,6 +402,8 @@ def receiver_risk(
         spread.hot_receivers if spread else None,
         spread.hot_rows if spread else HOT_ROWS,
     )
+    if own is not None:
+        joined = _without_own(joined, stats, own, cols)
     fill = {
         c: F.coalesce(F.col(c), rate if ("rate" in c or "score" in c) else F.lit(0))
         for c in RECEIVER_FEATURES
@@ -406,6 +411,39 @@ def receiver_risk(
     return joined.select(*df.columns, *[v.alias(c) for c, v in fill.items()])
 
 
+def contributions(df: DataFrame, cols: Columns = COLUMNS) -> DataFrame:
+    """What each id adds to its receiver's statistics: (id, receiver, rows, labels, amounts)."""
+    y = F.coalesce(F.col(cols.label).cast("double"), F.lit(0.0)) if cols.label in df.columns else F.lit(0.0)
+    known = df.filter(F.col(cols.id).isNotNull() & F.col(cols.receiver).isNotNull())
+    return known.groupBy(cols.id, cols.receiver).agg(
+        F.count("*").alias("own_count"), F.sum(y).alias("own_fraud"), F.sum(cols.amount).alias("own_amount")
+    )
+
+
+def _without_own(joined: DataFrame, stats: DataFrame, own: DataFrame, cols: Columns) -> DataFrame:
+    """Receiver statistics less the row's own contribution, where the row was one of those they were made of.
+
+    Only contributions of ids at hand are moved: the semi-join leaves at most one row per scored row. A receiver that has
+    no other row has no statistics.
+    """
+    keys = [cols.id, cols.receiver]
+    mine = own.join(joined.select(*keys), keys, "left_semi")
+    both = joined.join(mine, keys, "left")
+    n = F.col("receiver_tx_count") - F.col("own_count")
+    fraud = F.col("receiver_fraud_count") - F.col("own_fraud")
+    total = F.round(F.col("receiver_total_amount") - F.coalesce("own_amount", F.lit(0.0)), 6)
+    rate = F.round(F.try_divide(fraud, n), 6)
+    most = stats.agg(F.max("receiver_tx_count")).scalar()
+    less = {
+        "receiver_tx_count": n, "receiver_fraud_count": fraud, "receiver_fraud_rate": rate, "receiver_total_amount": total,
+        "receiver_avg_amount": F.round(F.try_divide(total, n), 6), "receiver_risk_score": rate * 0.6 + n / most * 0.4,
+    }
+    known = F.col("own_count").isNull()
+    return both.withColumns(
+        {c: F.when(known, F.col(c)).when(n > 0, v) for c, v in less.items()}
+    ).drop("own_count", "own_fraud", "own_amount")
+
+
 def _receiver_point_in_time(df: DataFrame, cols: Columns, spread: Traffic | None) -> DataFrame:
     known = df.filter(F.col(cols.receiver).isNotNull())
     y = F.coalesce(F.col(cols.label).cast("double"), F.lit(0.0))
@@ -636,8 +674,9 @@ def engineer(
     receiver_mode: str = "batch",
     spread: Traffic | None = None,
     stats: DataFrame | None = None,
+    own: DataFrame | None = None,
 ) -> DataFrame:
-    """all features of ``df``. ``history`` holds earlier rows that windows may see."""
+    """all features of ``df``. ``history`` holds earlier rows that windows may see; ``stats`` and ``own`` as in F3."""
     rows = df
     if history is not None:
         rows = df.withColumn("_new", F.lit(True)).unionByName(
@@ -654,7 +693,7 @@ def engineer(
         spread_out = sender_windows(novelty(busy, cols, spread), cols, spread, plan="blocks")
         parts.append(pair_features(spread_out, cols, spread, source=busy).select(*per_sender))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    out = receiver_risk(out, cols, spread, receiver_mode, stats, source=rows)
+    out = receiver_risk(out, cols, spread, receiver_mode, stats, source=rows, own=own)
     out = out.select(*rows.columns, *SENDER_FEATURES, *RECEIVER_FEATURES, *NOVELTY_FEATURES, *PAIR_FEATURES)
     if history is not None:
         out = out.filter("_new").drop("_new")

@@ -193,28 +193,23 @@ def fill_nulls(df: DataFrame, fills: dict[str, object]) -> DataFrame:
     return df.withColumns({c: value(c) for c in fills if c in kinds})
 
 
-def make_finite(df: DataFrame) -> DataFrame:
-    """+inf and -inf become the largest and smallest finite value of the column."""
+def finite_ends(df: DataFrame) -> dict[str, tuple[float | None, float | None]]:
+    """V11 fit: smallest and largest finite value of each floating-point column."""
     names = double_columns(df)
     if not names:
-        return df
-    inf = float("inf")
-
-    def finite(c: str) -> Column:
-        return F.when(F.abs(F.col(c)) < inf, F.col(c))
-
-    ends = df.agg(
-        *[F.max(finite(c)).alias(f"max_{c}") for c in names],
-        *[F.min(finite(c)).alias(f"min_{c}") for c in names],
-    ).first()
-    return df.withColumns(
-        {
-            c: F.when(F.col(c) == inf, F.lit(ends[f"max_{c}"]))
-            .when(F.col(c) == -inf, F.lit(ends[f"min_{c}"]))
-            .otherwise(F.col(c))
-            for c in names
-        }
-    )
+        return {}
+    finite = {c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c)) for c in names}
+    ends = df.agg(*[f(finite[c]).alias(f"{k}_{c}") for c in names for k, f in (("min", F.min), ("max", F.max))]).first()
+    return {c: (ends[f"min_{c}"], ends[f"max_{c}"]) for c in names}
+
+
+def make_finite(df: DataFrame, ends: dict[str, tuple[float | None, float | None]] | None = None) -> DataFrame:
+    """+inf and -inf become the largest and smallest finite value of the column (or of ``ends``)."""
+    ends, inf = finite_ends(df) if ends is None else ends, float("inf")
+    return df.withColumns({
+        c: F.when(F.col(c) == inf, F.lit(high)).when(F.col(c) == -inf, F.lit(low)).otherwise(F.col(c))
+        for c, (low, high) in ends.items() if c in df.columns
+    })
 
 
 def varied_columns(df: DataFrame, columns: Sequence[str], more_than: int = 10) -> list[str]:

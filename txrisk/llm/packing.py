@@ -1,9 +1,9 @@
 """Best-fit-decreasing packing of tokenised documents into sequences of a fixed length.
 
 Tokens. A document's ids come from the named tokenizer without special tokens, followed by one end id. Tokens never
-span white space, so a text is cut into pieces, each distinct piece is encoded by the tokenizer itself once per task,
-and ids are gathered from that memo. The memo is a cache of bounded size: it is emptied when full, which costs time and
-changes nothing.
+span white space, so a text is cut into pieces, each distinct piece is encoded once, and ids are gathered from that memo.
+The memo is flat arrays of at most about 40 MB in a worker process; it is emptied when full, which costs time and changes
+nothing.
 
 Packing. Only documents longer than a sequence are cut. Best-fit decreasing looks at lengths alone, so it runs on the
 histogram of lengths, which has at most ``capacity`` entries however many documents there are. A segment tree over
@@ -24,18 +24,16 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.llm import text as T
 from txrisk.llm.common import materialise
+from txrisk.llm.memo import ABSENT, Memo
 
 CAPACITY = 4096
 END_ID = 1
-MEMO_ENTRIES = 400_000
-MEMO_IDS = 4_000_000
 CELLS = 256  # parts into which the pieces of one length are dealt for ranking
 _SPECIAL = "<|startoftext|>"
 
@@ -81,21 +79,18 @@ class Merges:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.rank_of = np.argsort(keys, kind="stable").astype(np.int32)
-        self.keys = keys[self.rank_of]
+        self.table = Memo(bits=2 + max(8, len(keys).bit_length()))  # pair → rank; mixing keeps keys apart
+        self.table.add(T.mix(keys.astype(np.uint64)), np.zeros(len(keys), np.int64), np.zeros(0, np.uint32))
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 20 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank_of[at], self.NONE)
+        rank = self.table.find(T.mix((left << 20 | right).astype(np.uint64)))
+        return np.where(rank == ABSENT, self.NONE, rank)
 
-    def apply(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of each word, and all ids in order."""
-        if not words:
+    def apply(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and all ids in order; the words are the bytes of ``data``, cut into ``sizes``."""
+        if not len(sizes):
             return np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        data = np.frombuffer(b"".join(words), np.uint8)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         token = self.inner[data]
         token[np.cumsum(sizes) - 1] = self.last[data[np.cumsum(sizes) - 1]]
         rank = np.full(len(token), self.NONE)
@@ -125,7 +120,7 @@ class Merges:
                 rank[left[ok]] = self.ranks(token[left[ok]], token[left[ok] + 1])
         owner, token = np.concatenate(owners), np.concatenate(tokens)
         order = np.argsort(owner, kind="stable")
-        return np.bincount(owner, minlength=len(words)), token[order].astype(np.uint32)
+        return np.bincount(owner, minlength=len(sizes)), token[order].astype(np.uint32)
 
 
 @cache
@@ -152,38 +147,35 @@ class Encoder:
         self.merges = Merges(self.tokenizer)
         self.letters = T.byte_class((0x61, 0x7A))
         self.signs = T.byte_class(*[(ord(c), ord(c)) for c in self.SIGNS])
-        self._empty()
+        self.memo = Memo()
 
-    def _empty(self) -> None:
-        self.at: dict[int, int] = {}
-        self.bounds = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def _learn(self, codes: list[int], pieces: list[bytes], latin: list[bool]) -> None:
+    def _learn(self, codes: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
         """Encode new pieces.
 
         Latin letters alone are one word to the tokenizer, and its merges are applied to all such pieces at once.
         Others go through the tokenizer, many in one call, parted by a special token that none of them contains.
         """
-        simple = [k for k, yes in enumerate(latin) if yes]
-        rest = [k for k, yes in enumerate(latin) if not yes]
-        plain = [k for k in rest if b"<|" not in pieces[k]]
-        odd = [k for k in rest if b"<|" in pieces[k]]
-        size, ids = self.merges.apply([pieces[k] for k in simple])
+        other = np.concatenate([[0], np.cumsum(~small_latin(raw))])
+        latin = (other[end] == other[begin]) & self.merges.usable
+        simple, rest = np.flatnonzero(latin), np.flatnonzero(~latin)
+        size = end[simple] - begin[simple]
+        first = np.cumsum(size) - size
+        size, ids = self.merges.apply(raw[np.arange(size.sum()) + np.repeat(begin[simple] - first, size)], size)
         lengths, found = [size], [ids]
+        data = raw.tobytes()
+        pieces = {k: data[a:b] for k, a, b in zip(rest.tolist(), begin[rest].tolist(), end[rest].tolist())}
+        plain = [k for k, piece in pieces.items() if b"<|" not in piece]
+        odd = [k for k, piece in pieces.items() if b"<|" in piece]
         for low in range(0, len(plain), 200):
-            group = plain[low : low + 200]
-            ids = np.array(self._encode(_SPECIAL.join(pieces[k].decode() for k in group)), np.uint32)
+            ids = np.array(self._encode(_SPECIAL.join(pieces[k].decode() for k in plain[low : low + 200])), np.uint32)
             cut = ids == self.mark
             lengths.append(np.diff(np.concatenate([[-1], np.flatnonzero(cut), [len(ids)]])) - 1)
             found.append(ids[~cut])
         for k in odd:
             found.append(np.array(self._encode(pieces[k].decode()), np.uint32))
             lengths.append(np.array([len(found[-1])]))
-        base = len(self.at)
-        self.at.update(zip([codes[k] for k in simple + plain + odd], range(base, base + len(pieces))))
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(lengths))])
-        self.ids = np.concatenate([self.ids, *found])
+        order = np.concatenate([simple, np.array(plain + odd, np.int64)])
+        self.memo.add(codes[order], np.concatenate(lengths), np.concatenate(found))
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -194,24 +186,16 @@ class Encoder:
         marked = b"<|" in texts.raw.tobytes()
         raw = texts.raw if marked else T.LOWER[texts.raw]
         piece = T.words(T.Texts(raw, texts.starts), T.SPACED, lower=False, parts=None if marked else (self.letters, self.signs))
-        back, code = pd.factorize(piece.hash)
-        first = np.zeros(len(code), np.int64)
-        first[back[::-1]] = np.arange(len(back))[::-1]
-        if len(self.at) > MEMO_ENTRIES or len(self.ids) > MEMO_IDS:
-            self._empty()
-        codes = code.tolist()
-        new = [k for k, c in enumerate(codes) if c not in self.at]
-        if new:
-            data, at = raw.tobytes(), first[new]
-            begin, end = piece.begin[at], piece.end[at]
-            other = np.concatenate([[0], np.cumsum(~small_latin(raw))])
-            latin = (other[end] == other[begin]) & self.merges.usable
-            bounds = zip(begin.tolist(), end.tolist())
-            self._learn([codes[k] for k in new], [data[a:b] for a, b in bounds], latin.tolist())
-        entry = np.fromiter(map(self.at.__getitem__, codes), np.int64, len(codes))
-        low, size = self.bounds[entry][back], (self.bounds[entry + 1] - self.bounds[entry])[back]
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.arange(total[-1]) + np.repeat(low - total[:-1], size)]
+        entry = self.memo.find(piece.hash)
+        missing = np.flatnonzero(entry == ABSENT)
+        if len(missing):
+            if self.memo.full(len(missing)):
+                self.memo.empty()
+                missing = np.arange(len(entry))
+            codes, first = np.unique(piece.hash[missing], return_index=True)
+            self._learn(codes, raw, piece.begin[missing[first]], piece.end[missing[first]])
+            entry = self.memo.find(piece.hash)
+        ids, total = self.memo.gather(entry)
         bounds = total[piece.first]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 

@@ -183,7 +183,6 @@ def test_micro_batches_equal_the_whole_table(spark, tx, folder, tmp_path):
     want = by_id(features.novelty(features.sender_windows(tx)), names)
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
-    assert jobs.latency_report(spark, query).first()["n_rows"] == 1000
 
 
 def test_state_per_sender_equals_the_windows(spark, tx, folder, tmp_path):

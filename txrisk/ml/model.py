@@ -27,6 +27,16 @@ CATEGORIES = ["transaction_type", "merchant_category", "location", "device_used"
 VERSION = "txrisk_v1.0"
 
 
+@dataclass
+class Past:
+    """Earlier rows as scoring needs them, prepared by the model: the last day as rows, the rest as sums."""
+
+    recent: DataFrame
+    seen: DataFrame  # features.seen_values
+    pairs: DataFrame  # features.pair_totals
+    upto_row: bool = False  # pair features count rows up to the row itself
+
+
 @dataclass
 class RiskModel:
     """Preprocessing, features, anomaly forest, classifier and tuned thresholds as one model."""
@@ -117,34 +127,59 @@ class RiskModel:
         ready = quality.make_finite(self.prep.transform(df), self.ends)
         return quality.clip_columns(quality.fill_nulls(ready, self.fills), self.bounds)
 
-    def features(self, df: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    def features(self, df: DataFrame, history: DataFrame | Past | None = None) -> DataFrame:
         """Preprocessed and engineered rows, with every feature the model was fitted on.
 
-        Labels are set aside before features are made, so they never reach a score.
+        Labels are set aside before features are made, so they never reach a score. Of ``history``, earlier rows as a table,
+        only the rows of the senders at hand are looked at, and of these only the last day as rows.
         """
-        label = self.cols.label
+        label, cols = self.cols.label, self.cols
         ready = self.prepared(df.withColumnRenamed(label, "_set_aside"))
-        past = None if history is None else self.prepared(history.drop(label))
-        table = features.engineer(ready, self.cols, past, stats=self.receivers, own=self.own).withColumnRenamed("_set_aside", label)
+        if history is not None:
+            return self.completed(ready, history if isinstance(history, Past) else self.past_of(ready, history))
+        return self.whole(features.engineer(ready, cols, stats=self.receivers, own=self.own))
+
+    def completed(self, ready: DataFrame, past: Past) -> DataFrame:
+        """Engineered rows of prepared ones on top of their past."""
+        return self.whole(features.engineer_on(
+            ready, past.recent, past.seen, past.pairs, self.receivers, self.cols, self.own, past.upto_row
+        ))
+
+    def whole(self, table: DataFrame) -> DataFrame:
+        """With the label back and every feature of the fit."""
+        table = table.withColumnRenamed("_set_aside", self.cols.label)
         absent = [c for c in self.feature_names if c not in table.columns]
         return table.withColumns({c: F.lit(0.0) for c in absent}) if absent else table
 
+    def past_of(self, ready: DataFrame, history: DataFrame) -> Past:
+        """What scoring ``ready`` (prepared rows) needs of a table of earlier rows: those of its senders."""
+        cols = self.cols
+        senders = ready.filter(F.col(cols.sender).isNotNull()).select(cols.sender).distinct()
+        theirs = self.prepared(quality.coerce_amounts(quality.trim_text(history.drop(cols.label))).join(senders, cols.sender, "left_semi"))
+        start = ready.agg((F.min(cols.time) - F.expr("INTERVAL 24 HOURS")).alias("t")).scalar()
+        return Past(theirs.filter(F.col(cols.time) >= start), features.seen_values(theirs, cols), features.pair_totals(theirs, cols))
+
     def transform(
-        self, df: DataFrame, history: DataFrame | None = None, scale: str = "fitted", explain: bool = True
+        self, df: DataFrame, history: DataFrame | Past | None = None, scale: str = "fitted", explain: bool = True
     ) -> DataFrame:
         """One prediction row per transaction, keyed by its id.
 
         Rows that cannot be scored come back as error rows; all others are scored. ``history`` holds
         earlier transactions, so that a batch's windows do not begin at its own first row.
         """
+        good, bad = self.judged(df)
+        return self.predictions(self.features(good, history), bad, scale, explain)
+
+    def judged(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Clean rows that can be scored, and the others with the kind and message of their error."""
         clean = quality.coerce_amounts(quality.trim_text(quality.require_columns(df, self.cols.required())))
         kind, message = quality.row_error(self.cols)
         judged = clean.withColumns({"_kind": kind, "_message": message})
-        good = judged.filter("_kind IS NULL").drop("_kind", "_message")
-        bad = judged.filter("_kind IS NOT NULL")
-        scored = boosting.predict(
-            self.classifier, integrate(self.forest, self.features(good, history), self.feature_names, scale)
-        )
+        return judged.filter("_kind IS NULL").drop("_kind", "_message"), judged.filter("_kind IS NOT NULL")
+
+    def predictions(self, table: DataFrame, bad: DataFrame, scale: str = "fitted", explain: bool = True) -> DataFrame:
+        """Prediction rows of engineered rows, and error rows."""
+        scored = boosting.predict(self.classifier, integrate(self.forest, table, self.feature_names, scale))
         p, a = probability(F.col("fraud_probability")), probability(F.col("anomaly_score"))
         rows = scored.withColumns({"fraud_probability": p, "anomaly_score": a})
         p, a, level = F.col("fraud_probability"), F.col("anomaly_score"), risk_level(F.col("fraud_probability"))

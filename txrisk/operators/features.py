@@ -700,6 +700,60 @@ def engineer(
     return numeric_or_zero(time_features(out, cols), ENGINEERED)
 
 
+def pair_totals(df: DataFrame, cols: Columns = COLUMNS) -> DataFrame:
+    """What each pair has done so far: (sender, receiver, n, total). The state table of F5."""
+    known = df.filter(F.col(cols.sender).isNotNull() & F.col(cols.receiver).isNotNull())
+    return known.groupBy(cols.sender, cols.receiver).agg(F.count("*").alias("n"), F.sum(cols.amount).alias("total"))
+
+
+def _pairs_on(df: DataFrame, cols: Columns, spread: Traffic, pairs: DataFrame, upto_row: bool) -> DataFrame:
+    """F5 of ``df`` on top of earlier totals: with all rows of ``df``, or with those up to the row itself."""
+    keys, amount = [cols.sender, cols.receiver], F.coalesce(F.col(cols.amount), F.lit(0.0))
+    if not upto_row:
+        mine = pair_totals(df, cols).select(*keys, F.col("n").alias("_pn"), F.col("total").alias("_pt"))
+        here = attach(df, mine, keys, spread.hot_pairs, spread.hot_rows)
+    elif spread.hot_pairs:
+        known = df.filter(F.col(cols.sender).isNotNull() & F.col(cols.receiver).isNotNull())
+        ran = ordered_scan(known, keys, _novelty_order(cols), {"_pn": ("sum", F.lit(1).cast("long")), "_pt": ("sum", amount)})
+        rest = df.filter(F.col(cols.sender).isNull() | F.col(cols.receiver).isNull())
+        here = ran.unionByName(rest, allowMissingColumns=True)
+    else:
+        w = Window.partitionBy(*keys).orderBy(*_novelty_order(cols)).rowsBetween(Window.unboundedPreceding, 0)
+        here = df.withColumns({"_pn": F.count("*").over(w), "_pt": F.sum(amount).over(w)})
+    past = pairs.groupBy(*keys).agg(F.sum("n").alias("_n0"), F.sum("total").alias("_t0"))  # a pair may have a row per batch
+    both = attach(here, past, keys, spread.hot_pairs, spread.hot_rows)
+    known = F.col(cols.sender).isNotNull() & F.col(cols.receiver).isNotNull()
+    n = F.coalesce("_pn", F.lit(0)) + F.coalesce("_n0", F.lit(0))
+    total = F.coalesce("_pt", F.lit(0.0)) + F.coalesce("_t0", F.lit(0.0))
+    values = {
+        "sender_receiver_frequency": n, "sender_receiver_total_amount": F.round(total, 6),
+        "sender_receiver_avg_amount": F.round(F.try_divide(total, n), 6),
+    }
+    return both.select(*df.columns, *[F.when(known, F.coalesce(v, F.lit(0))).otherwise(F.lit(0)).alias(c) for c, v in values.items()])
+
+
+def engineer_on(
+    df: DataFrame, recent: DataFrame, seen: DataFrame, pairs: DataFrame, stats: DataFrame, cols: Columns = COLUMNS,
+    own: DataFrame | None = None, upto_row: bool = False,
+) -> DataFrame:
+    """F7 of ``df`` on top of earlier rows that are known by their sums only.
+
+    ``recent`` holds the earlier rows of the last 24 h (F2), ``seen`` and ``pairs`` what :func:`seen_values` and
+    :func:`pair_totals` give for all earlier rows (F4, F5), ``stats`` the receivers (F3). Nothing else of the past is
+    read. With ``upto_row`` pairs count rows up to the row itself, so that features do not depend on what else is in ``df``.
+    """
+    senders = df.filter(F.col(cols.sender).isNotNull()).select(cols.sender).distinct()
+    near = recent.join(senders, cols.sender, "left_semi").withColumn("_new", F.lit(False))
+    both = df.withColumn("_new", F.lit(True)).unionByName(near, allowMissingColumns=True)
+    spread = traffic(both, cols)
+    framed = sender_windows(both, cols, spread).filter("_new").drop("_new")
+    out = novelty(framed, cols, spread, seen.join(senders, cols.sender, "left_semi"))
+    out = _pairs_on(out, cols, spread, pairs.join(senders, cols.sender, "left_semi"), upto_row)
+    out = receiver_risk(out, cols, spread, "batch", stats, source=df, own=own)
+    out = out.select(*df.columns, *SENDER_FEATURES, *RECEIVER_FEATURES, *NOVELTY_FEATURES, *PAIR_FEATURES)
+    return numeric_or_zero(time_features(out, cols), ENGINEERED)
+
+
 def feature_columns(df: DataFrame, cols: Columns = COLUMNS, skip: Sequence[str] = ()) -> list[str]:
     """F8: numeric columns that are neither keys, label, time nor text."""
     keys = {cols.id, cols.time, cols.sender, cols.receiver, cols.label, *skip}

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txrisk.operators.quality import require_columns
+from txrisk.session import files_of
 
 ROW = (
     "name string, version string, number long, created_at timestamp, size_bytes long, path string, model_type string, "
@@ -25,18 +26,11 @@ ROW = (
 )
 
 
-def _files(spark: SparkSession, path: str):
-    """Spark's file system for a path, and the path as it names it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs, fs.makeQualified(at)
-
-
 def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
     """Write a small file whole, unless there is one: false if another was first."""
-    fs, final = _files(spark, path)
+    fs, final = files_of(spark, path)
     fs.mkdirs(final.getParent())
-    _, staged = _files(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    _, staged = files_of(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     stream = fs.create(staged, False)
     stream.write(bytearray(text.encode()))
     stream.close()
@@ -55,7 +49,7 @@ def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
 
 
 def _numbers(spark: SparkSession, folder: str) -> list[int]:
-    fs, at = _files(spark, folder)
+    fs, at = files_of(spark, folder)
     names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
     return [int(n.removesuffix(".json")) for n in names if n.endswith(".json")]
 
@@ -66,7 +60,7 @@ def publish(
     """Let ``write`` fill a new folder and commit it as the next version of ``name``; the registry row."""
     path = f"{root}/{name}/data-{uuid.uuid4().hex}"
     write(path)
-    fs, at = _files(spark, path)
+    fs, at = files_of(spark, path)
     row = {
         "name": name, "created_at": datetime.now(timezone.utc).isoformat(timespec="microseconds"),
         "size_bytes": fs.getContentSummary(at).getLength(), "path": path, **(facts or {}),
@@ -81,7 +75,7 @@ def publish(
 
 def registry_table(spark: SparkSession, root: str) -> DataFrame:
     """The rows of all committed versions under ``root``."""
-    fs, at = _files(spark, root)
+    fs, at = files_of(spark, root)
     found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/versions/*.json")) if fs.exists(at) else None
     if not found:
         return spark.createDataFrame([], ROW)

@@ -73,6 +73,13 @@ def work_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def files_of(spark: SparkSession, path: str):
+    """Spark's file system for a path, and the path as it names it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(at)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_folder(spark).rstrip('/')}/txrisk/{label}-{uuid.uuid4().hex}"
 

@@ -6,20 +6,25 @@ replaces its own output and never doubles it.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from threading import Event
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
-from txrisk.ml.model import RiskModel
-from txrisk.operators import features
+from txrisk.ml.model import Past, RiskModel
+from txrisk.operators import features, quality
+from txrisk.operators.registry import put_if_absent
 from txrisk.schema import COLUMNS, REQUEST, TRANSACTION, Columns
 from txrisk.session import ship
 from txrisk.sources.readers import normalise_requests
+from txrisk.streaming.state import EVERY, StateTable
 
 HISTORY = "24 hours"
 
@@ -50,71 +55,110 @@ def _write_batch(df: DataFrame, out: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
 
-# -------------------------------------------------------- T1, T6: scoring
+# ------------------------------------------- T1, T2, T6: batches with state
+
+LATE = "7 days"  # how far behind the newest row a row may come and still find its whole window in the state
+
+
+def used_schema(cols: Columns) -> T.StructType:
+    return T.StructType([
+        T.StructField(cols.sender, T.StringType()), T.StructField("kind", T.StringType()), T.StructField("value", T.StringType()), T.StructField("n", T.LongType()),
+    ])
+
+
+def pairs_schema(cols: Columns) -> T.StructType:
+    return T.StructType([
+        T.StructField(cols.sender, T.StringType()), T.StructField(cols.receiver, T.StringType()), T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType()),
+    ])
+
+
+@dataclass
+class StreamState:
+    """What a stream remembers: recent rows, what each sender used, and what each pair did."""
+
+    rows: StateTable
+    seen: StateTable
+    pairs: StateTable
+    cols: Columns
+
+    @classmethod
+    def at(cls, spark: SparkSession, path: str, schema: T.StructType, cols: Columns = COLUMNS, late: str = LATE, every: int = EVERY) -> "StreamState":
+        def recent(df: DataFrame) -> DataFrame:
+            newest = df.agg(F.max(cols.time).alias("t")).scalar()
+            return df.filter(F.col(cols.time) >= newest - F.expr(f"INTERVAL {HISTORY}") - F.expr(f"INTERVAL {late}"))
+
+        return cls(
+            StateTable(spark, f"{path}/rows", schema, recent, every),
+            StateTable(spark, f"{path}/seen", used_schema(cols), lambda df: df.groupBy(cols.sender, "kind", "value").agg(F.sum("n").alias("n")), every),
+            StateTable(spark, f"{path}/pairs", pairs_schema(cols), lambda df: df.groupBy(cols.sender, cols.receiver).agg(F.sum("n").alias("n"), F.sum("total").alias("total")), every),
+            cols,
+        )
+
+    def add(self, rows: DataFrame, number: int) -> DataFrame:
+        """Store a batch and give it back from its files: its own plan is not run a second time."""
+        for table in (self.rows, self.seen, self.pairs):
+            table.compact(number)
+        self.rows.write(rows, number)
+        stored = self.rows.batch(number)
+        self.seen.write(features.seen_values(stored, self.cols), number)
+        self.pairs.write(features.pair_totals(stored, self.cols), number)
+        return stored
+
+    def past(self, stored: DataFrame, number: int) -> Past:
+        start = stored.agg((F.min(self.cols.time) - F.expr(f"INTERVAL {HISTORY}")).alias("t")).first()["t"]
+        recent = self.rows.before(number).filter(F.col(self.cols.time) >= F.lit(start))
+        return Past(recent, self.seen.before(number), self.pairs.before(number), upto_row=True)
+
 
 def score_stream(
-    stream: DataFrame, model: RiskModel, out: str, checkpoint: str, history: DataFrame | None = None
+    stream: DataFrame, model: RiskModel, out: str, checkpoint: str, history: DataFrame | None = None, state: str | None = None,
+    late: str = LATE, every: int = EVERY,
 ) -> StreamingQuery:
     """Predictions of every arriving row; rows that cannot be scored become error rows.
 
-    Scores use the training range, so they do not depend on how the stream is cut into batches.
+    Scores use the training range. With a ``state`` folder the features continue over batches, and a row's pair features
+    count the rows up to it: however a stream in time order is cut into batches, its rows score alike. ``history``
+    are rows from before the stream; with a state they are its first batch.
     """
+    spark, cols = stream.sparkSession, model.cols
 
     def each(batch: DataFrame, number: int) -> None:
-        _write_batch(model.transform(batch, history), out, number)
+        if state is None:
+            _write_batch(model.transform(batch, history), out, number)
+            return
+        good, bad = model.judged(batch)
+        ready = model.prepared(good.withColumnRenamed(cols.label, "_set_aside"))
+        memory = StreamState.at(spark, state, ready.schema, cols, late, every)
+        if number == 0 and history is not None:
+            old = quality.coerce_amounts(quality.trim_text(history))
+            memory.add(model.prepared(old.withColumnRenamed(cols.label, "_set_aside")), 0)
+        stored = memory.add(ready, number + 1)
+        _write_batch(model.predictions(model.completed(stored, memory.past(stored, number + 1)), bad), out, number)
 
     return _run(stream, each, checkpoint)
 
 
-# ------------------------------------------------- T2: batches with history
-
 def windows_with_history(
-    stream: DataFrame, state: str, out: str, checkpoint: str, cols: Columns = COLUMNS
+    stream: DataFrame, state: str, out: str, checkpoint: str, cols: Columns = COLUMNS, late: str = LATE, every: int = EVERY
 ) -> StreamingQuery:
-    """F2 and F4 of each micro-batch as if the stream had never been cut.
-
-    Two state folders under ``state``. ``rows`` keeps the transactions by day: F2 reads only the days
-    its 24 h frame reaches, and of these only the batch's senders. ``seen`` keeps what each
-    sender used, pre-aggregated per batch: F4 adds these counts and reads no old rows.
-    Both are written under the batch number and read below it, so a repeated batch
-    sees what it saw the first time.
-    """
+    """F2 and F4 of each micro-batch as if the stream had never been cut."""
     spark = stream.sparkSession
-    rows_at, seen_at = f"{state}/rows", f"{state}/seen"
-    used = T.StructType(
-        [
-            T.StructField(cols.sender, T.StringType()), T.StructField("kind", T.StringType()),
-            T.StructField("value", T.StringType()), T.StructField("n", T.LongType()),
-            T.StructField("batch", T.LongType()),
-        ]
-    )
 
     def each(batch: DataFrame, number: int) -> None:
-        day = F.to_date(cols.time)
-        batch.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{rows_at}/batch={number}")
-        stored = spark.read.schema(
-            T.StructType(
-                [*batch.schema.fields, T.StructField("batch", T.LongType()), T.StructField("day", T.DateType())]
-            )
-        ).parquet(rows_at)
-        # The batch is read back from its files: its own plan is not run a second time.
-        rows = stored.filter(F.col("batch") == number).drop("batch", "day")
-        _write_batch(features.seen_values(rows, cols), seen_at, number)
-        seen = spark.read.schema(used).parquet(seen_at).filter(F.col("batch") < number).drop("batch")
-        start = rows.agg((F.min(cols.time) - F.expr(f"INTERVAL {HISTORY}")).alias("t")).first()["t"]
+        memory = StreamState.at(spark, state, batch.schema, cols, late, every)
+        rows = memory.add(batch, number)
+        past = memory.past(rows, number)
         senders = rows.select(cols.sender).distinct()
-        past = stored.filter((F.col("batch") < number) & (F.col("day") >= F.lit(start).cast("date")))
-        past = past.filter(F.col(cols.time) >= F.lit(start)).drop("batch", "day")
-        near = past.join(senders, cols.sender, "left_semi").withColumn("_new", F.lit(False))
+        near = past.recent.join(senders, cols.sender, "left_semi").withColumn("_new", F.lit(False))
         both = rows.withColumn("_new", F.lit(True)).unionByName(near)
         framed = features.sender_windows(both, cols).filter("_new").drop("_new")
-        mine = seen.join(senders, cols.sender, "left_semi")
+        mine = past.seen.join(senders, cols.sender, "left_semi")
         _write_batch(features.novelty(framed, cols, features.traffic(rows, cols), mine), out, number)
 
     return _run(stream, each, checkpoint)
 
 
-# --------------------------------------------------- T3: state per sender
+# ------------------------------------ T3: state per sender and block of time
 
 VELOCITY = T.StructType(
     [
@@ -124,64 +168,118 @@ VELOCITY = T.StructType(
     ]
 )
 HOUR = 3_600_000_000
+BLOCK_HOURS = 4  # a divisor of 24
+FRESH, HOUR_AGO, DAY_AGO, WHOLE = 0, 1, 2, 3  # kinds of rows a block receives
+_DEALT = "sender_account string, block long, kind int, at timestamp, us long, transaction_id string, n long, amount double"
+_HELD = T.StructType(
+    [
+        T.StructField("kind", T.IntegerType()), T.StructField("us", T.LongType()), T.StructField("transaction_id", T.StringType()),
+        T.StructField("n", T.LongType()), T.StructField("amount", T.DoubleType()),
+    ]
+)
 
 
-class SenderVelocity(StatefulProcessor):
-    """F2 counts and sums from per-sender state of the last 24 h.
+def dealt_to_blocks(rows: DataFrame, hours: int = BLOCK_HOURS) -> DataFrame:
+    """Each row to the blocks (some hours of a sender) whose windows it can be in.
 
-    The state is a list of (micros, id, amount); rows older than 24 h leave it on every call.
+    Its own block takes it as a row. So do the block a day later, whose windows end inside the row's block, and for its last
+    hour the next block. The blocks between only need the block's sum, which every task adds up before anything
+    is shuffled.
     """
+    width, day = hours * HOUR, 24 // hours
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = frame.assign(block=frame["us"] // width, n=1)
+            yield frame.assign(kind=FRESH)
+            last = frame[frame["us"] >= (frame["block"] + 1) * width - HOUR]
+            yield last.assign(block=last["block"] + 1, kind=HOUR_AGO)
+            yield frame.assign(block=frame["block"] + day, kind=DAY_AGO)
+            sums = frame.groupby(["sender_account", "block"], as_index=False).agg(
+                at=("at", "max"), us=("us", "max"), n=("n", "sum"), amount=("amount", "sum")
+            )
+            for ahead in range(1, day):
+                yield sums.assign(block=sums["block"] + ahead, kind=WHOLE, transaction_id=None)
+
+    def ordered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in deal(frames):
+            yield frame[["sender_account", "block", "kind", "at", "us", "transaction_id", "n", "amount"]]
+
+    return rows.mapInPandas(ordered, _DEALT)
+
+
+class BlockVelocity(StatefulProcessor):
+    """F2 counts and sums of one sender's rows in one block of time.
+
+    The state holds what the block has received: its rows, rows of the hour and the day before, and the sums of the blocks
+    between. A timer at the end of the block clears it, once the watermark is past.
+    """
+
+    def __init__(self, hours: int = BLOCK_HOURS):
+        self.width = hours * HOUR
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        entry = T.StructType(
-            [
-                T.StructField("us", T.LongType()), T.StructField("id", T.StringType()),
-                T.StructField("amount", T.DoubleType()),
-            ]
-        )
-        self.recent = handle.getListState("recent", entry)
+        self.handle = handle
+        self.held = handle.getListState("held", _HELD)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
-        known = pd.DataFrame(held, columns=["us", "transaction_id", "amount"]).assign(fresh=False)
-        fresh = pd.concat(list(rows))[["us", "transaction_id", "amount"]].assign(fresh=True)
-        every = (pd.concat([known, fresh]) if held else fresh).sort_values(["us", "transaction_id"])
-        us, amount = every["us"].to_numpy(dtype="int64"), every["amount"].to_numpy(dtype=float)
-        before = np.concatenate([[0.0], np.cumsum(amount)])  # before[i]: sum of the rows ahead of row i
-        here = np.arange(len(us))
-        hour, day = (np.searchsorted(us, us - n * HOUR, "left") for n in (1, 24))
+        names = list(_HELD.names)
+        before = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        came = pd.concat(list(rows))[names].assign(new=True)
+        every = pd.concat([pd.DataFrame(before, columns=names).assign(new=False), came]) if before else came
+        self.held.appendList(list(came[names].astype(object).itertuples(index=False, name=None)))
+        self.handle.registerTimer((int(key[1]) + 1) * self.width // 1000)
+        kind = every["kind"].to_numpy(dtype=int)
+        own = every[kind == FRESH].sort_values(["us", "transaction_id"])
+        if not own["new"].any():
+            return
+        us, amount = own["us"].to_numpy(dtype="int64"), own["amount"].to_numpy(dtype=float)
+        sums, here = np.concatenate([[0.0], np.cumsum(amount)]), np.arange(len(us))
+
+        def since(which: int, back: int) -> tuple[np.ndarray, np.ndarray]:
+            """Number and amount of the rows of a kind at or after ``back`` before each row."""
+            of = every[kind == which].sort_values("us")
+            times, total = of["us"].to_numpy(dtype="int64"), np.concatenate([[0.0], np.cumsum(of["amount"].to_numpy(dtype=float))])
+            first = np.searchsorted(times, us - back, "left")
+            return len(times) - first, total[-1] - total[first]
+
+        hour_n, hour_sum = since(HOUR_AGO, HOUR)
+        day_n, day_sum = since(DAY_AGO, 24 * HOUR)
+        inside = np.searchsorted(us, us - HOUR, "left")
+        whole = every[kind == WHOLE]
         out = pd.DataFrame(
             {
-                "sender_account": key[0],
-                "transaction_id": every["transaction_id"].to_numpy(),
-                "tx_count_last_1h": here - hour,
-                "tx_count_last_24h": here - day,
-                "total_amount_last_24h": before[here] - before[day],
-                "velocity_1h": before[here] - before[hour],
+                "sender_account": key[0], "transaction_id": own["transaction_id"].to_numpy(), "tx_count_last_1h": here - inside + hour_n,
+                "tx_count_last_24h": here + day_n + int(whole["n"].sum()),
+                "total_amount_last_24h": sums[here] + day_sum + float(whole["amount"].sum()), "velocity_1h": sums[here] - sums[inside] + hour_sum,
             }
         )
-        kept = every[us >= us[-1] - 24 * HOUR]
-        self.recent.put(list(zip(kept["us"].astype(int), kept["transaction_id"], kept["amount"].astype(float))))
-        yield out[every["fresh"].to_numpy()]
+        yield out[own["new"].to_numpy(dtype=bool)]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def velocity_stream(stream: DataFrame, cols: Columns = COLUMNS) -> DataFrame:
+def velocity_stream(stream: DataFrame, cols: Columns = COLUMNS, late: str = "1 hour", hours: int = BLOCK_HOURS) -> DataFrame:
     """One row per transaction, as soon as it arrives; equals F2 when rows come in time order.
 
-    A sender's state is its last day; a batch of one sender is bounded by the trigger's files.
-    Needs the RocksDB state store.
+    A sender's rows are spread over tasks by blocks of ``hours``, so a sender with half of all rows has no task of its own. The
+    state of a block goes when the watermark, ``late`` behind the newest row, has passed it; rows that come later still
+    are dropped. Needs the RocksDB state store.
     """
     narrow = stream.filter(F.col(cols.sender).isNotNull() & F.col(cols.time).isNotNull()).select(
         F.col(cols.sender).alias("sender_account"),
+        F.col(cols.time).cast("timestamp").alias("at"),
         F.col(cols.id).alias("transaction_id"),
         features.micros(cols.time).alias("us"),
         F.coalesce(F.col(cols.amount), F.lit(0.0)).alias("amount"),
     )
-    return narrow.groupBy("sender_account").transformWithStateInPandas(
-        statefulProcessor=SenderVelocity(), outputStructType=VELOCITY, outputMode="append", timeMode="none"
+    return dealt_to_blocks(narrow, hours).withWatermark("at", late).groupBy("sender_account", "block").transformWithStateInPandas(
+        statefulProcessor=BlockVelocity(hours), outputStructType=VELOCITY, outputMode="append", timeMode="eventTime"
     )
 
 
@@ -227,17 +325,47 @@ def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def latency_report(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Mean, median and 95th percentile of batch time and the rows per second of a query.
+PROGRESS = "query string, run string, batch long, ms long, n long, at string"
+
+
+class ProgressLog(StreamingQueryListener):
+    """The progress of every batch of every query of the session, one small file each, under ``path``.
 
-    Progress entries are bounded by the session's progress retention.
+    A query keeps only its newest progress entries; this table has them all and outlives the query.
     """
-    rows = [
-        (float(p["durationMs"].get("triggerExecution", 0)), int(p["numInputRows"]))
-        for p in (q if isinstance(q, dict) else q.__dict__ for q in query.recentProgress)
-    ]
-    frame = spark.createDataFrame(rows, "ms double, n long")
-    return frame.agg(
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.ended = spark, path, {}
+        spark.streams.addListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        self.ended.setdefault(str(event.runId), Event())
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if "addBatch" in p.durationMs:  # else no batch was run
+            row = {"query": str(p.id), "run": str(p.runId), "batch": p.batchId, "ms": p.durationMs["triggerExecution"], "n": p.numInputRows, "at": p.timestamp}
+            put_if_absent(self.spark, f"{self.path}/{p.runId}-{p.batchId:010d}.json", json.dumps(row))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.setdefault(str(event.runId), Event()).set()
+
+    def close(self, query: StreamingQuery, seconds: float = 60) -> None:
+        """Wait until all entries of an ended query are written, and listen no more."""
+        self.ended.setdefault(str(query.runId), Event()).wait(seconds)
+        self.spark.streams.removeListener(self)
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(PROGRESS).json(self.path)
+
+
+def latency_report(progress: DataFrame) -> DataFrame:
+    """Batches, rows, mean, median and 95th percentile of batch time, and rows per second, from a progress table."""
+    once = progress.dropDuplicates(["query", "batch"])
+    return once.agg(
         F.count("*").alias("n_batches"), F.sum("n").alias("n_rows"), F.avg("ms").alias("mean_ms"),
         F.percentile("ms", F.lit(0.5)).alias("median_ms"), F.percentile("ms", F.lit(0.95)).alias("p95_ms"),
         (F.sum("n") / (F.sum("ms") / 1000)).alias("rows_per_second"),

@@ -3,13 +3,16 @@
 A page is read into a tree of elements. Parts that are never the article go by their tags and roles. Every remaining
 paragraph earns points for its length and commas; it passes them to its container in full, to the next ancestor by half,
 and less further up, and a container's sum is discounted by its share of link text. Elements with class words of page
-furniture are only suspects: one goes if it scores low or is mostly links against the best container outside all suspects,
-and never if it holds that container. The best container is kept, widened to the article or main element around it, and
-joined by those of its siblings that score well beside it and are no suspects. Comments are never part of an article. The text is what is left inside, blocks in page order.
+furniture are suspects. A suspect goes, however long it is, unless it holds the best container outside all suspects. Only
+where the page has no article or main element with text outside suspects, and nearly all text is inside them, is the best
+container sought among them. The best container is kept, widened to the article or main element around it, and joined by
+those of its siblings that score well beside it and are no suspects; beside an article these are articles. Comments are
+never part of an article. The text is what is left inside, blocks in page order.
 
 Defined cases: null or empty html gives an empty text; unclosed and crossing tags are closed as browsers do for
-paragraphs, list items and table parts; a page without any text outside the removed parts gives an empty text; repeated
-rows are extracted alike; nothing is cut off, whatever its length; further columns are ignored.
+paragraphs, list items and table parts; an article that holds a headline only is that headline; a page without any text
+outside the removed parts gives an empty text; repeated rows are extracted alike; nothing is cut off, whatever its length;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# A quote counts after an equals sign only; the possessive parts keep a tag that never ends from being tried again.
 _TAG = re.compile(
     r"""<(?:!--(?P<comment>.*?)(?:-->|$)|[!?][^>]*(?:>|$)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)"""
-    r"""(?P<attrs>[^>"'<]*(?:"[^"<]*"[^>"'<]*|'[^'<]*'[^>"'<]*)*|[^<>]*)>)""",
+    r"""(?P<attrs>(?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>=]++|=)*+)>)""",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden|aria-label)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -69,6 +73,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.dropped = ["html"], [-1], [False]
+        self.block, self.linked, self.articles = [0], [False], [0]  # nearest block, inside a link, articles around
         self.suspect: dict[int, set[str]] = {}
         self.texts: list[tuple[int, str]] = []
         self._open = [0]
@@ -120,6 +125,9 @@ class Page:
         above = self._open[-1]
         self.tag.append(name)
         self.parent.append(above)
+        self.block.append(len(self.tag) - 1 if name in BLOCKS else self.block[above])
+        self.linked.append(name == "a" or name not in BLOCKS and self.linked[above])
+        self.articles.append(self.articles[above] + (name == "article"))
         found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attrs)} if attrs else {}
         self.dropped.append(self.dropped[above] or name in RAW or self._is_dropped(name, found))
         if not self.dropped[-1]:
@@ -155,8 +163,7 @@ class Page:
             self._break()
 
     def _is_dropped(self, name: str, found: dict[str, str]) -> bool:
-        inside = [self.tag[n] for n in self._open]
-        if name in DROPPED_TAGS or name == "header" and "article" not in inside:
+        if name in DROPPED_TAGS or name == "header" and not self.articles[-1]:
             return True
         if not found or name in KEPT_ALWAYS:
             return False
@@ -174,20 +181,6 @@ class Page:
             name == "p" and bool(words & (COMMENT_WORDS | {"ad", "ads", "advert", "advertisement", "notice", "cookie", "newsletter", "share"}))
         )
 
-    def _block_of(self, node: int) -> int:
-        while self.parent[node] >= 0 and self.tag[node] not in BLOCKS:
-            node = self.parent[node]
-        return node
-
-    def _in_link(self, node: int) -> bool:
-        while node > 0:
-            if self.tag[node] == "a":
-                return True
-            if self.tag[node] in BLOCKS:
-                return False
-            node = self.parent[node]
-        return False
-
     def scores(self, without: list[bool]) -> tuple[list[float], list[float]]:
         """Points of every element, discounted by its share of link text, and that share; elements ``without`` count nothing."""
         size = len(self.tag)
@@ -196,15 +189,15 @@ class Page:
         for node, text in self.texts:
             if without[node] or not text.strip():
                 continue
-            own.setdefault(self._block_of(node), []).append(text)
+            own.setdefault(self.block[node], []).append(text)
             length[node] += len(text.strip())
-            if self._in_link(node):
+            if self.linked[node]:
                 linked[node] += len(text.strip())
         for node in range(size - 1, 0, -1):
             length[self.parent[node]] += length[node]
             linked[self.parent[node]] += linked[node]
         # A division without blocks inside is a paragraph of its container.
-        divided = {self._block_of(self.parent[n]) for n in range(1, size) if self.tag[n] in BLOCKS}
+        divided = {self.block[self.parent[n]] for n in range(1, size) if self.tag[n] in BLOCKS}
         points = [0.0] * size
         for block, texts in own.items():
             if self.tag[block] in HEADINGS:
@@ -241,17 +234,22 @@ class Page:
                     node = self.parent[node]
         plain = set(self.suspect) - wrappers
         comments = {n for n in plain if self.suspect[n] & COMMENT_WORDS}
-        best_of = lambda score: max(range(len(score)), key=lambda n: (score[n], -n))
+        best_of = lambda score, among: max(among, key=lambda n: (score[n], -n))
+        every = range(len(self.tag))
         score, _ = self.scores(self._or(plain))
-        best = best_of(score)
-        if plain:  # is the article itself in a suspect?
+        best, furniture = best_of(score, every), plain
+        named = {n for n in every if self.tag[n] in ("article", "main") and not self.dropped[n]}
+        if plain and not self._with_text(named, self._or(plain)):  # is the article itself in a suspect?
+            inside = self._below(named)
+            among = [n for n in every if inside[n]] if self._with_text(named, self._or(comments)) else every
             for hidden, least in ((comments, OUTSIDE), (set(), 0.0)):
                 wider, _ = self.scores(self._or(hidden))
-                other = best_of(wider)
+                other = best_of(wider, among)
                 if wider[other] > 0 and score[best] <= least * wider[other]:
-                    score, best = wider, other
+                    score, best, furniture = wider, other, hidden
         if score[best] <= 0:
-            return set(), set()
+            headlines = self._with_text(named, self._or(plain))
+            return ({min(headlines)}, plain) if headlines else (set(), set())
         above, node = set(), best
         around = None
         while node >= 0:
@@ -266,7 +264,7 @@ class Page:
         lost = {
             n for n in self.suspect
             if n not in above and (
-                n in comments or share[n] >= LINKED or top[n] < (SIBLING if n in wrappers else SUSPECT) * score[best]
+                n in furniture or n in comments or share[n] >= LINKED or top[n] < (SIBLING if n in wrappers else SUSPECT) * score[best]
             )
         }
         root = best if around is None else around
@@ -274,10 +272,20 @@ class Page:
         for node in range(1, len(self.tag)):
             if node != root and self.parent[node] == self.parent[root] and not self.dropped[node] and node not in lost | plain:
                 good = top[node] >= SIBLING * score[best] and share[node] < LINKED
+                good = good and (self.tag[root] != "article" or self.tag[node] == "article")
                 if good or around is None and (self.tag[node] == "p" or self.tag[node] in HEADINGS):
                     kept.add(node)
         return kept, lost
 
+    def _with_text(self, nodes: set[int], without: list[bool]) -> set[int]:
+        """Those of ``nodes`` that have text, in what is not in ``without``."""
+        filled = [False] * len(self.tag)
+        for node, text in self.texts:
+            filled[node] = filled[node] or not without[node] and bool(text.strip())
+        for node in range(len(self.tag) - 1, 0, -1):
+            filled[self.parent[node]] = filled[self.parent[node]] or filled[node]
+        return {n for n in nodes if filled[n]}
+
     def text(self) -> str:
         kept, lost = self.main_nodes()
         inside, outside = self._below(kept), self._or(lost)

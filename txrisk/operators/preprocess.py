@@ -6,10 +6,12 @@ import json
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-import pandas as pd
 from pyspark.ml import Estimator, Model
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (
+    DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter,
+)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +22,10 @@ from txrisk.operators.quality import align_columns, fill_nulls, numeric_columns,
 from txrisk.operators.skew import attach
 from txrisk.operators.statistics import modes, quantiles
 from txrisk.schema import COLUMNS, Columns
+from txrisk.session import new_path
 
 MISSING = "MISSING"
+CODES = "value string, code long"
 SMALL_TABLE = 100_000  # categories that one task may number
 ONE_HOT_LIMIT = 1_000
 
@@ -102,7 +106,7 @@ def categories(df: DataFrame, column: str, limit: int = ONE_HOT_LIMIT) -> list[s
     """P5 fit: sorted categories; more than ``limit`` of them cannot be one-hot columns."""
     rows = df.select(F.coalesce(F.col(column), F.lit(MISSING)).alias("v")).distinct().limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} categories; use label codes")
+        raise ValueError(f"{column} has more than {limit} categories, too many for columns; use one_hot_vector")
     return sorted(r["v"] for r in rows)
 
 
@@ -113,6 +117,16 @@ def one_hot(df: DataFrame, column: str, known: Sequence[str], drop_first: bool =
     return df.withColumns({f"{column}_{v}": (value == v).cast("int") for v in kept}).drop(column)
 
 
+def one_hot_vector(df: DataFrame, column: str, codes: DataFrame, out: str) -> DataFrame:
+    """P5 for any number of categories: a sparse 0/1 vector ``out`` by the codes of P4; unseen values are all zeros."""
+    size = codes.count()
+    encoder = OneHotEncoder(inputCols=["_place"], outputCols=[out], dropLast=True, handleInvalid="keep")
+    model = encoder.fit(codes.select(F.col("code").cast("double").alias("_place")))
+    coded = label_encode(df.withColumn("_place", F.col(column)), "_place", codes)
+    unseen = F.when(F.col("_place") < 0, size).otherwise(F.col("_place"))
+    return model.transform(coded.withColumn("_place", unseen.cast("double"))).drop("_place")
+
+
 def dummies(df: DataFrame, columns: Sequence[str], training_columns: Sequence[str]) -> DataFrame:
     """One-hot without the first category, aligned to the training columns."""
     for c in columns:
@@ -255,14 +269,22 @@ class Preprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable):
             "time": time,
             "fills": fills,
             "amounts": amount_params(filled, amounts) if amounts else {},
-            # In code order; the values of a label-coded column, however many there are.
-            "codes": {c: [r["value"] for r in code_table(filled, c).orderBy("code").toLocalIterator()] for c in codes},
+            # A written table (value, code) for each label-coded column, however many values it has.
+            "codes": {c: written(code_table(filled, c), "codes") for c in codes},
         }
         return PreprocessorModel(json.dumps(state))
 
 
-class PreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable):
-    """The fitted parameters as JSON; ``transform`` is expressions and joins with the codes, so it also runs on streams."""
+def written(df: DataFrame, label: str) -> str:
+    """The path of a table written to the work folder."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return path
+
+
+class PreprocessorModel(Model, MLReadable, MLWritable):
+    """The fitted parameters as JSON and the code tables as Parquet; ``transform`` is expressions and joins with the codes,
+    so it also runs on streams."""
 
     state = Param(Params._dummy(), "state", "fitted parameters as JSON", TypeConverters.toString)
 
@@ -274,8 +296,36 @@ class PreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         s = json.loads(self.getOrDefault("state"))
         out = impute(parse_times(df, s["time"]), s["fills"])
         out = log_amounts(out, s["amounts"])
-        for c, known in s["codes"].items():
-            table = df.sparkSession.createDataFrame(pd.DataFrame({"value": pd.Series(known, dtype=object), "code": range(len(known))}),
-                                                    "value string, code long")
-            out = label_encode(out, c, table)
+        for c, path in s["codes"].items():
+            out = label_encode(out, c, df.sparkSession.read.schema(CODES).parquet(path))
         return out
+
+    def write(self) -> "CodesWriter":
+        return CodesWriter(self)
+
+    @classmethod
+    def read(cls) -> "CodesReader":
+        return CodesReader()
+
+
+class CodesWriter(MLWriter):
+    """Parameters by the default writer, and each code table beside them."""
+
+    def __init__(self, model: PreprocessorModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        for k, at in enumerate(json.loads(self.model.getOrDefault("state"))["codes"].values()):
+            self.sparkSession.read.schema(CODES).parquet(at).write.parquet(f"{path}/codes/{k}")
+
+
+class CodesReader(MLReader):
+    def load(self, path: str) -> PreprocessorModel:
+        found = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        state = json.loads(found["paramMap"]["state"])
+        state["codes"] = {c: f"{path}/codes/{k}" for k, c in enumerate(state["codes"])}
+        model = PreprocessorModel(json.dumps(state))
+        model._resetUid(found["uid"])
+        return model

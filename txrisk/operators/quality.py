@@ -290,8 +290,9 @@ def class_distribution(df: DataFrame, label: str = COLUMNS.label) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order- and partition-independent fingerprint of the rows."""
-    h = F.xxhash64(*sorted(df.columns))
+    """Order- and partition-independent fingerprint of the rows, from an MD5 of each row's values as text."""
+    texts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in sorted(df.columns)]
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 15), 16, 10).cast("long")
     return df.agg(
         F.count("*").alias("n_rows"),
         F.bit_xor(h).alias("xor_hash"),

@@ -12,7 +12,7 @@ from txrisk.ml import boosting, forest, oversample
 from txrisk.ml.model import RiskModel, integrate
 from txrisk.ml.scaling import class_weight, flag_anomalies, impute_clip, normalise_scores, score_stats, standardise
 from txrisk.operators import compare, decision, features, impact, metrics, preprocess, quality, registry, splits
-from txrisk.plans import evaluation
+from txrisk.plans import evaluation, files
 from txrisk.session import new_path
 from txrisk.sources import tables as t
 from txrisk.sources.readers import normalise_requests, parse_requests
@@ -617,7 +617,6 @@ def s7(spark, d):
 
 # ------------------------------------------------------------ fitted models
 
-ROUNDS = 20
 _MODELS: dict[tuple[str, str], RiskModel] = {}
 
 
@@ -625,7 +624,7 @@ def fitted(spark: SparkSession, d: str) -> RiskModel:
     """One fitted model per session and folder, shared by the queries that only read it."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _MODELS:
-        _MODELS[key] = RiskModel.fit(t.transactions(spark, d), rounds=ROUNDS)
+        _MODELS[key] = RiskModel.fit(t.transactions(spark, d))
     return _MODELS[key]
 
 
@@ -674,7 +673,7 @@ def m11(spark, d):
     """A classifier on the engineered features alone: no anomaly score."""
     model = fitted(spark, d)
     table = splits.stratified_split(feature_table(spark, d), 0.2).withColumn("held", F.col("split") == "test")
-    booster = boosting.fit_boosting(table, model.feature_names, validation="held", rounds=ROUNDS)
+    booster = boosting.fit_boosting(table, model.feature_names, validation="held")
     return boosting.predict(booster, table.filter("held")).select("transaction_id", "fraud_probability")
 
 
@@ -694,8 +693,8 @@ def m14(spark, d):
 
 
 def m15(spark, d):
-    table = event_k(spark, d).withColumns({"hour": F.hour("timestamp"), "weekday": F.weekday("timestamp")})
-    return boosting.cross_validate(table, ["amount", "k", "hour", "weekday"], folds=3, rounds=5)
+    model = fitted(spark, d)
+    return boosting.cross_validate(feature_table(spark, d), model.feature_names)
 
 
 def m16(spark, d):
@@ -713,6 +712,23 @@ def m17(spark, d):
     return spark.createDataFrame(rows, "strategy string, threshold double")
 
 
+def m17_facts(spark, d):
+    """Sizes, rounds and quality of the fit."""
+    facts = sorted((k, float(v)) for k, v in fitted(spark, d).training.items() if v is not None)
+    return spark.createDataFrame(facts, "fact string, value double")
+
+
+def m21_published(spark, d):
+    """The fitted model published twice, as the registry tells."""
+    root, model = new_path(spark, "registry"), fitted(spark, d)
+    for _ in range(2):
+        model.publish(spark, root)
+    rows = registry.registry_table(spark, root)
+    return registry.keep_latest(rows, 5).select(
+        "name", "version", F.get_json_object("statistics", "$.n_train_samples").cast("long").alias("n_train_samples"), (F.col("size_bytes") > 0).alias("has_files")
+    )
+
+
 PREDICTED = ["transaction_id", "fraud_probability", "anomaly_score", "risk_level", "fraud_prediction", "explanation"]
 
 
@@ -729,12 +745,12 @@ def m19(spark, d):
 
 
 def e9(spark, d):
-    model, scored = evaluation.time_split_evaluation(t.transactions(spark, d), rounds=ROUNDS)
+    model, scored = evaluation.time_split_evaluation(t.transactions(spark, d))
     return evaluation.evaluate(model, scored)
 
 
 def e28(spark, d):
-    return evaluation.dual_evaluation(t.transactions(spark, d), rounds=ROUNDS, minimum=1).comparison
+    return evaluation.dual_evaluation(t.transactions(spark, d), minimum=1).comparison
 
 
 def e29(spark, d):
@@ -756,8 +772,8 @@ def _folders(spark, name):
 
 
 def t1(spark, d):
-    _, out, checkpoint = _folders(spark, "t1")
-    jobs.score_stream(event_stream(spark, d), fitted(spark, d), out, checkpoint).awaitTermination()
+    state, out, checkpoint = _folders(spark, "t1")
+    jobs.score_stream(event_stream(spark, d), fitted(spark, d), out, checkpoint, state=state).awaitTermination()
     return spark.read.parquet(out).select(*PREDICTED)
 
 
@@ -815,7 +831,7 @@ def t6(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return {
+    return files.queries() | {
         "flagship_risky_senders": flagship,
         "f1_time_features": f1,
         "f2_sender_windows": f2,
@@ -863,7 +879,9 @@ def queries() -> dict[str, Query]:
         "v22_error_rows": v22,
         "v23_data_profile": v23,
         "v23_class_distribution": lambda s, d: quality.class_distribution(t.transactions(s, d)),
-        "v24_fingerprint": lambda s, d: quality.fingerprint(t.transactions(s, d)),
+        "v24_fingerprint": lambda s, d: quality.fingerprint(
+            t.transactions(s, d).withColumns({"timestamp": F.unix_micros("timestamp"), "amount": F.round(F.col("amount") * 100).cast("long")})
+        ),
         "v25_split_overlap": v25,
         "v26_score_distribution": lambda s, d: rounded(
             quality.score_distribution(t.scored(s, d), ["y"]), 6, ["mean_p", "std_p"]
@@ -902,6 +920,8 @@ def queries() -> dict[str, Query]:
         "m21_registry_superseded": lambda s, d: registry.superseded(registry_table(s, d), 5).select(
             "name", "version", "size_bytes"
         ),
+        "m21_published_models": m21_published,
+        "m17_training_facts": m17_facts,
         "m21_registry_storage": lambda s, d: rounded(registry.storage(registry_table(s, d)), 4, ["mean_bytes"]),
         "r1_risk_levels": lambda s, d: t.scored(s, d).select(
             "transaction_id", decision.risk_level(F.col("p")).alias("risk_level")

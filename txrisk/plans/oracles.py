@@ -622,4 +622,39 @@ SELECT replace(key, '42:tree-', '')::INTEGER AS tree, transaction_id FROM permut
     o["s7_request_defaults"] = q(TX, """SELECT transaction_id, CASE WHEN n % 3 = 0 THEN 'sender_unknown' ELSE sender_account END AS sender_account,
  CASE WHEN n % 5 = 0 THEN 'unknown' ELSE location END AS location, CASE WHEN n % 7 = 0 THEN 0.0 ELSE k::DOUBLE END AS amount,
  'payment' AS transaction_type, merchant_category FROM tx""")
+    o["s1_csv_with_label"] = q(TX, """SELECT transaction_id, epoch_us("timestamp") AS micros, receiver_account,
+ round(amount, 4) AS amount, is_fraud FROM tx""")
+    o["s2_first_rows"] = q(TX, "SELECT transaction_id, round(amount, 4) AS amount FROM tx ORDER BY transaction_id LIMIT 100")
+    o["s3_csv_without_label"] = q(TX, """SELECT transaction_type, count(*) AS n_rows, round(sum(amount), 4) AS amount FROM tx
+ GROUP BY transaction_type""")
+    o["s5_one_request"] = q(TX, """SELECT transaction_id, sender_account, amount, location FROM tx
+ ORDER BY "timestamp" DESC, transaction_id DESC LIMIT 1""")
+    o["s6_load_evaluation"] = q(TX, """SELECT is_fraud, count(*) AS n_rows, count(DISTINCT sender_account) AS n_senders FROM tx
+ GROUP BY is_fraud""")
+    o["s8_csv_sink"] = q(SCORED, "SELECT transaction_id, y, p FROM scored")
+    o["s9_json_sink"] = q(SCORED, """SELECT count(*) AS n_rows, count(*) FILTER (transaction_id::BIGINT % 17 <> 0) AS n_numbers,
+ sum(y)::BIGINT AS n_positive, count(*) AS n_told FROM scored""")
+    o["s10_report"] = q(SCORED, grid(SWEEP), SWEPT, "SELECT threshold, tp, fp, fn, tn FROM counts")
+    o["s11_evaluation_sink"] = q(SCORED, """SELECT sum((y = 1 AND p >= 0.5)::INT) AS tp, sum((y = 0 AND p >= 0.5)::INT) AS fp,
+ sum((y = 1 AND p < 0.5)::INT) AS fn, sum((y = 0 AND p < 0.5)::INT) AS tn, 0.5::DOUBLE AS threshold FROM scored""")
+    o["s12_project"] = q(SCORED, "SELECT p, transaction_id FROM scored")
+    o["v2_bound_rows"] = q(TX, DIRTY, "SELECT count(*) AS n_rows, count(amount) AS n_amounts FROM dirty")
+    o["v14_compare_schema"] = """SELECT * FROM (VALUES ('location', 'missing'), ('extra', 'extra'), ('amount', 'type')) v("column", problem),
+ (SELECT count(*) AS n_rows FROM events) e"""
+    o["v16_align_columns"] = q(TX, "SELECT transaction_id, round(amount, 4) AS amount, 0.5::DOUBLE AS absent FROM tx")
+    o["v17_completeness"] = "SELECT count(*) AS n_rows, 2 AS n_found, 'absent' AS missing, 8 AS n_extra FROM events"
+    o["p5_one_hot_vector"] = q(TX, """SELECT transaction_id, dense_rank() OVER (ORDER BY transaction_type) - 1 AS place,
+ (SELECT count(DISTINCT transaction_type) FROM tx) AS width FROM tx""")
+    o["p10_preprocessor"] = q(TX, """SELECT transaction_id, round(ln(1 + amount), 6) AS amount,
+ dense_rank() OVER (ORDER BY location) - 1 AS location, dense_rank() OVER (ORDER BY device_used) - 1 AS device_used,
+ dense_rank() OVER (ORDER BY merchant_category) - 1 AS merchant_category FROM tx""")
+    o["d9_canonical_order"] = q(TX, "SELECT transaction_id, round(amount, 4) AS amount, 8 AS n_empty FROM tx")
+    o["e30_latency_report"] = q(TX, """SELECT count(DISTINCT date_trunc('day', "timestamp")) AS n_batches, count(*) AS n_rows,
+ true AS ordered FROM tx""")
+    texts = {"timestamp": """epoch_us("timestamp")""", "amount": "round(amount * 100)::BIGINT"}
+    columns = sorted(["transaction_id", "timestamp", "sender_account", "receiver_account", "amount", "transaction_type",
+                      "merchant_category", "location", "device_used", "is_fraud"])
+    row = " || '|' || ".join(f"coalesce('=' || {texts.get(c, c)}, '-')" for c in columns)
+    o["v24_fingerprint"] = q(TX, f"h AS (SELECT ('0x' || substr(md5({row}), 1, 15))::BIGINT AS h FROM tx)",
+    "SELECT count(*) AS n_rows, bit_xor(h) AS xor_hash, sum(h % 1000000007)::BIGINT AS sum_hash FROM h")
     return o

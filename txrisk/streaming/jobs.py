@@ -55,6 +55,11 @@ def _write_batch(df: DataFrame, out: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
 
+def run_batches(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write each micro-batch under its number."""
+    return _run(stream, lambda batch, number: _write_batch(batch, out, number), checkpoint)
+
+
 # ------------------------------------------- T1, T2, T6: batches with state
 
 LATE = "7 days"  # how far behind the newest row a row may come and still find its whole window in the state

@@ -230,7 +230,9 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = S
     size = F.lit(split_bytes).cast("long")
     ranges = manifest.filter("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, size)).alias("start"))
     ranges = ranges.select("path", "start", (F.col("start") + size).alias("stop"))
-    return ranges.repartition("path", "start").mapInArrow(read, _RECORD_SQL)
+    # As many tasks as ranges, by number: the rows of ranges are short, and adaptive planning would put them together.
+    tasks = manifest.agg(F.sum(F.ceil(F.col("bytes") / size))).first()[0] or 1
+    return ranges.repartition(int(tasks)).mapInArrow(read, _RECORD_SQL)
 
 
 def round_trip(pages: DataFrame, with_payload: bool = False, **columns: str) -> DataFrame:

@@ -16,15 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.llm import text as T
-from txrisk.llm.common import fresh
+from txrisk.llm.common import fresh, materialise
 
 WINDOW = 13
 SHARE = 20  # contaminated: hit words are at least one in this many
 BLOCK_WORDS = 2_000_000  # words of benchmark text that go into one broadcast set
+PASS_BLOCKS = 4  # such sets that are broadcast at once
 
 _HITS = pa.struct([
     ("n_words", pa.int64()),
@@ -86,9 +88,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int) -> Itera
         yield WindowSet([(r["item"], r["body"]) for r in mine.toLocalIterator()], n)
 
 
-def _scanner(known: WindowSet, spark):
-    shared = spark.sparkContext.broadcast(known)
-
+def _scanner(shared: Broadcast):
     @F.arrow_udf(_HITS_SQL)
     def scan(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         found = shared.value
@@ -112,16 +112,22 @@ def scan(
     """``docs`` with a struct column (n_words, hits, items), and that column's name.
 
     ``hits`` are (first word, number of words) of verified occurrences, ``items`` the ids of the items found.
-    The benchmark reaches the tasks in sets of at most about ``BLOCK_WORDS`` words; a larger one is scanned set
-    after set within the same pass over the documents, and nothing of it is left out.
+    The benchmark reaches the tasks in sets of at most about ``BLOCK_WORDS`` words, and at most ``PASS_BLOCKS`` of them in
+    one pass over the documents. After a pass its finds are written and its sets are given back before the next are
+    made, so what is broadcast at once does not grow with the benchmark, and nothing of it is left out.
     """
     spark = docs.sparkSession
     name = fresh(docs, "_found")
-    found = [_scanner(block, spark)(F.col(text_col).cast("string")) for block in _blocks(benchmark, item_col, item_text_col, n)]
-    parts = [fresh(docs, f"_found{k}") for k in range(len(found))]
-    out = docs
-    for part, column in zip(parts, found):
-        out = out.withColumn(part, column)
+    out, parts, shared = docs, [], []
+    for block in _blocks(benchmark, item_col, item_text_col, n):
+        if len(shared) == PASS_BLOCKS:
+            out = materialise(out, "scanned")
+            for old in shared:
+                old.destroy()
+            shared = []
+        shared.append(spark.sparkContext.broadcast(block))
+        parts.append(fresh(docs, f"_found{len(parts)}"))
+        out = out.withColumn(parts[-1], _scanner(shared[-1])(F.col(f"`{text_col}`").cast("string")))
     if len(parts) == 1:
         return out.withColumnRenamed(parts[0], name), name
     merged = F.struct(

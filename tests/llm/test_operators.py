@@ -145,6 +145,9 @@ def test_a_large_benchmark_is_scanned_in_blocks(spark, sf, monkeypatch):
     once = sorted(map(tuple, decontam.verdicts(docs, bench).collect()), key=str)
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 300)
     assert sorted(map(tuple, decontam.verdicts(docs, bench).collect()), key=str) == once
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 60)
+    monkeypatch.setattr(decontam, "PASS_BLOCKS", 2)
+    assert sorted(map(tuple, decontam.verdicts(docs, bench).collect()), key=str) == once
 
 
 def brute_lines(docs):
@@ -234,3 +237,44 @@ def test_all_terms_with_enough_support_are_taken(spark):
     docs = spark.range(1_560).selectExpr("id as doc_id", "sha1(string(id div 3)) as text")
     labels = docs.selectExpr("doc_id", "1 as toxic")
     assert len(toxicity.fit(docs, labels).lexicon.words - set(toxicity.GENERAL)) == 520
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    base = [f"w{k}" for k in range(101)]
+    far = " ".join(f"x{k}" for k in range(60))
+    text, shifted = " ".join(base), " ".join(base[2:] + ["y1", "y2"])
+    rows = [(1, text, 0), (None, shifted, 1), (5, far, 2), (None, far, 3), (7, far + " z", 4), (7, "a text of its own, unlike all others here", 5), (8, text, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    found = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in neardup.near_duplicates(df, shingle=2).collect()}
+    assert found[None, 100] == 1 and found[8, 100] == 1  # linked through 98 of 102 shingles, and a copy
+    left = {r["row"] for r in neardup.drop_near_duplicates(df, shingle=2).collect()}
+    assert left == {0, 2, 5}
+
+
+def test_a_hot_leader_and_blocks_give_few_links(spark, monkeypatch):
+    """Texts at a similarity near, but below the threshold: many survive the signatures, none is linked, nothing is written."""
+    monkeypatch.setattr(neardup, "HOT", 3)
+    monkeypatch.setattr(neardup, "PIVOTS", 7)
+    monkeypatch.setattr(neardup, "OTHERS", 11)
+    common = [f"c{k}" for k in range(150)]
+    rows = [(k, " ".join(common + [f"own{k}x{j}" for j in range(22)])) for k in range(30)]
+    rows += [(100 + k, " ".join(common + [f"own{k % 3}x{j}" for j in range(22)] + [f"t{k}"])) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, shingle=2).collect()}
+    assert found == near_groups(rows, 2) and len(set(found.values())) > 20
+
+
+def test_archives_are_read_by_as_many_tasks_as_ranges(spark, sf, tmp_path):
+    manifest = warc.write_archives(table(spark, sf, "pages"), f"{tmp_path}/warc")
+    total = manifest.agg(F.sum("bytes")).first()[0]
+    read = warc.read_archives(spark, manifest, split_bytes=total // 9)
+    tasks = read.withColumn("task", F.spark_partition_id()).select("task").distinct().count()
+    assert tasks >= 7 and read.count() == table(spark, sf, "pages").count()
+
+
+def test_weights_are_averaged_alike_in_one_step_and_two(spark, sf, monkeypatch):
+    docs = table(spark, sf, "documents").repartition(6, "doc_id")
+    _, two = lm.fit(docs)
+    monkeypatch.setattr(lm, "AVERAGED", 1)
+    _, one = lm.fit(docs)
+    assert abs(one.flat - two.flat).max() < 1e-5

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txrisk.session import materialise, ship
 
 SALTS = 64  # cells over which the rows of one key are spread
 
-__all__ = ["SALTS", "batches_of", "fresh", "materialise", "salt_of", "table", "with_group_facts"]
+__all__ = ["SALTS", "batches_of", "fresh", "materialise", "salt_of", "spread_join", "table", "with_group_facts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,10 +56,22 @@ def with_group_facts(
     nulls. Null keys match nothing.
     """
     cell = fresh(rows, "_cell")
-    salted = rows.withColumn(cell, salt)
+    salted = rows.withColumn(cell, salt).repartition(*keys, cell)  # one exchange for the cells and for the join back
     cells = salted.groupBy(*keys, cell).agg(*[c.alias(n) for n, c in partial.items()])
-    facts = cells.groupBy(*keys).agg(*[c.alias(n) for n, c in merged.items()])
+    whole = Window.partitionBy(*keys)  # the cells of a key
+    facts = cells.select(*keys, cell, *[c.over(whole).alias(n) for n, c in merged.items()])
     if keep is not None:
         facts = facts.filter(keep)
-    placed = cells.select(*keys, cell).join(facts, list(keys))
-    return salted.join(placed, [*keys, cell], "left").drop(cell)
+    return salted.join(facts, [*keys, cell], "left").drop(cell)
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, keys: Sequence[str], salt: Column, how: str = "inner") -> DataFrame:
+    """Join rows to a table of one row per key, without one task per key.
+
+    The keys at hand take their facts once per (key, salt) cell, at most ``SALTS`` for a key of any size, and rows join on
+    the cell. With ``how="left"`` other rows get nulls; null keys match nothing and are spread too.
+    """
+    cell = fresh(rows, "_cell")
+    salted = rows.withColumn(cell, salt).repartition(*keys, cell)
+    placed = salted.select(*keys, cell).distinct().join(facts, list(keys))
+    return salted.join(placed, [*keys, cell], how).drop(cell)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import materialise
+from txrisk.llm.common import materialise, salt_of, with_group_facts
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -13,10 +13,13 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the least one of the node and its neighbours."""
+    """Every larger neighbour of a node is linked to the least one of the node and its neighbours.
+
+    A node may have any number of neighbours: they are dealt to cells.
+    """
     near = _both_ways(edges)
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return near.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+    known = with_group_facts(near, ["u"], salt_of(F.col("v")), {"m": F.min("v")}, {"m": F.min("m")})
+    return known.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u != v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

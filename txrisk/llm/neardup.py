@@ -11,15 +11,15 @@ with equal sets form a class and only classes are compared. Two classes are link
 3. Comparison is sequential: signatures are compared a batch at a time, and a pair is dropped as soon as the posterior
    probability that it reaches the threshold is below ``MISS``. Survivors are verified on full sets.
 4. A bucket whose members are all in one component by then is done. In others, the members outside the bucket's largest
-   component meet all members of other components, block by block with signatures, which covers every pair of the
-   bucket that could still add a link. Their survivors are verified too: first the likeliest for each two
-   components, then, with the components that leaves, all others.
+   component meet all members of other components, block by block, with signatures and full sets, which covers every
+   pair of the bucket that could still add a link. A block verifies its survivors itself, the likeliest first, and
+   only those whose components it has not joined yet: it gives back fewer links than it has members.
 
 Shingles stand for themselves by 64-bit hashes; a set is named by a 128-bit one.
 
 Defined cases: a null, empty or wordless text has an empty set and is linked with nothing; repeated rows are in one
-class; a null id never names a component while another id does; an empty table gives no rows; further columns are
-carried along by ``drop_near_duplicates`` and otherwise ignored.
+class; a null id never names a component while another id does; rows that share an id are judged by their texts; an empty
+table gives no rows; further columns are carried along by ``drop_near_duplicates`` and otherwise ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.llm import text as T
-from txrisk.llm.common import batches_of, fresh, materialise
+from txrisk.llm.common import batches_of, fresh, materialise, salt_of, spread_join, with_group_facts
 from txrisk.llm.components import components
+from txrisk.llm.lines import text_digest
 
 SHINGLE = 5
 PERCENT = 80
@@ -44,6 +45,8 @@ BANDS = 40
 STEP = 25  # signature places that are compared before the next decision
 MISS = 1e-7
 PIVOTS, OTHERS = 256, 1024  # sizes of blocks in which members of a bucket meet
+BLOCK_SHINGLES = 2_000_000  # and of their full sets together, where members are long
+HOT = 512  # pairs of one leader that are joined in one place
 FILTER_BITS = (16, 24)  # least and largest size of the filter that finds the documents to verify, as powers of two
 PAIR_ROWS, TEXT_ROWS = 128, 1000  # pairs of full sets, and texts, that go to Python at once
 _PLACES = ROWS * BANDS
@@ -197,8 +200,24 @@ def _unpacked(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), _PLACES)
 
 
+def with_both(pairs: DataFrame, known: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Pairs (a, b) with the columns of both keys: ``columns`` maps a column of ``known`` to a prefix.
+
+    A member has few leaders, but a leader may have any number of members: the pairs of such a leader are dealt to cells of
+    about ``HOT`` pairs, and its row is copied to each.
+    """
+    def of(side: str) -> DataFrame:
+        return known.select(F.col("key").alias(side), *[F.col(c).alias(f"{p}_{side}") for c, p in columns.items()])
+
+    counted = with_group_facts(pairs, ["b"], salt_of(F.col("a")), {"_n": F.count(F.lit(1))}, {"_n": F.sum("_n")}, F.col("_n") > HOT)
+    cell = F.coalesce(F.pmod(F.xxhash64("a"), F.ceil(F.col("_n") / HOT)), F.lit(0)).cast("int")
+    dealt = counted.withColumn("_cell", cell).drop("_n")
+    leaders = dealt.select("b", "_cell").distinct().join(of("b"), "b")
+    return dealt.join(of("a"), "a").join(leaders, ["b", "_cell"]).drop("_cell")
+
+
 def surviving_stars(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, matches) of members and their leaders that pass the sequential comparison, written once."""
+    """(a, b) of members and their leaders that pass the sequential comparison, written once."""
 
     @F.arrow_udf("int")
     def matches(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
@@ -206,21 +225,24 @@ def surviving_stars(members: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.array(compare(_unpacked(a), _unpacked(b), n_a.to_numpy(), n_b.to_numpy()), pa.int32())
 
     pairs = members.filter("key != leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
-    known = classes.select("key", "n", "signature")
-    for side in "ab":
-        pairs = pairs.join(known.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}")), side)
-    found = pairs.select("a", "b", matches("s_a", "s_b", "n_a", "n_b").alias("matches"))
-    return materialise(found.filter("matches >= 0"), "stars")
+    found = with_both(pairs, classes, {"n": "n", "signature": "s"}).select("a", "b", matches("s_a", "s_b", "n_a", "n_b").alias("matches"))
+    return materialise(found.filter("matches >= 0").select("a", "b"), "stars")
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two full sets reach the threshold."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold on their full sets, as links (u, v), written once.
+def full_sets(keys: DataFrame, classes: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """(key, shingles) of the classes in ``keys``, written once.
 
-    Only documents that stand for a class of some pair are shingled again; a bit filter of bounded size finds
-    them in the scan. What it lets through beyond them, the join drops.
+    Only one document of each class is shingled again; a bit filter of bounded size finds them in the scan. What it lets
+    through beyond them, the join drops.
     """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    roots = classes.join(nodes, "key").select("doc_id")
+    wanted = classes.join(keys, "key").select("key", "doc_id")
+    roots = wanted.select("doc_id")
     count = roots.count()
     bits = 1 << min(max((16 * count).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
@@ -246,28 +268,23 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, length: int)
                     rows[k] = {"key": set_key(s), "shingles": s.tobytes()}
             yield pa.array(rows, pa.struct([("key", pa.binary()), ("shingles", pa.binary())]))
 
-    full = docs.select("doc_id", shingled("text", F.coalesce(bit, F.lit(0).cast("long"))).alias("of")).filter("of is not null")
-    full = full.select("doc_id", F.col("of.key").alias("key"), F.col("of.shingles").alias("shingles"))
-    # One document for each class: its root, and of repeated rows of the root any one.
-    full = full.join(classes.join(nodes, "key").select("key", "doc_id"), ["key", "doc_id"], "left_semi").dropDuplicates(["key"])
+    full = docs.select(shingled("text", bit).alias("of")).filter("of is not null").select("of.key", "of.shingles")
+    full = full.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
     with batches_of(docs.sparkSession, TEXT_ROWS):
-        full = materialise(full.select("key", "shingles"), "sets")
+        return materialise(full.select("key", "shingles"), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that reach the threshold on their full sets, as links (u, v), written once."""
 
     @F.arrow_udf("boolean")
     def close(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for a, b in columns:
-            out = []
-            for x, y in zip(a, b):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield pa.array(out, pa.bool_())
-
-    sided = pairs.select("a", "b")
-    for side in "ab":
-        sided = sided.join(full.select(F.col("key").alias(side), F.col("shingles").alias(f"x_{side}")), side)
+            yield pa.array([similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(a, b)], pa.bool_())
+
+    sided = with_both(pairs.select("a", "b"), sets, {"shingles": "x"})
     links = sided.filter(close("x_a", "x_b")).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    with batches_of(docs.sparkSession, PAIR_ROWS):
+    with batches_of(pairs.sparkSession, PAIR_ROWS):
         return materialise(links, "links")
 
 
@@ -277,103 +294,132 @@ def _labelled(rows: DataFrame, column: str, labels: DataFrame, name: str) -> Dat
     return rows.join(known, column, "left").withColumn(name, F.coalesce("_label", column)).drop("_label")
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose members are in different components."""
-    known = _labelled(_labelled(pairs.select("a", "b"), "a", labels, "ca"), "b", labels, "cb")
-    return known.filter("ca != cb").select("a", "b").distinct()
+class Joined:
+    """Components that a block has joined so far."""
+
+    def __init__(self):
+        self.parent: dict[bytes, bytes] = {}
+
+    def root(self, x: bytes) -> bytes:
+        while self.parent.setdefault(x, x) != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def join(self, x: bytes, y: bytes) -> None:
+        self.parent[self.root(x)] = self.root(y)
 
 
-def surviving_across(members: DataFrame, labels: DataFrame, classes: DataFrame, best_only: bool) -> DataFrame:
-    """(a, b, matches, ca, cb) of pairs in one bucket but different components that pass the comparison.
+def meetings(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(place, home, key, component, mask): where the members of buckets with several components meet.
 
-    In a bucket with several components, the members outside its largest one (pivots) meet all members of other
-    components. Both are dealt to blocks, and each block of pivots meets each block of members in a task
-    of its own, which compares signatures in place and gives back survivors only: each pair once, in the first
-    bucket that both are in, or with ``best_only`` the likeliest pair of each pivot and other component.
+    The buckets of a cluster have much the same members in all bands. So of the buckets whose largest component (home) is the
+    same, the largest one of each band share one place, and every other bucket has a place of its own. ``mask`` tells the
+    bands by which a member came to its place.
     """
     placed = _labelled(members.select("bucket", "key").distinct(), "key", labels, "component")
     sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("home")
-    ).filter("parts > 1")
-    blocks = mixed.select(
-        "bucket", F.col("home.component").alias("home"),
-        F.ceil((F.col("all") - F.col("home.n")) / PIVOTS).cast("int").alias("pivot_blocks"),
-        F.ceil(F.col("all") / OTHERS).cast("int").alias("other_blocks"),
+    ).filter("parts > 1").select("bucket", "all", F.col("home.component").alias("home"))
+    first = mixed.groupBy("home", F.col("bucket").bitwiseAND(63)).agg(F.max(F.struct("all", "bucket")).alias("of"))
+    shared = first.select(F.col("of.bucket").alias("bucket"), F.hex("home").alias("_shared"))
+    places = mixed.join(shared, "bucket", "left").select(
+        "bucket", "home", F.coalesce("_shared", F.concat(F.lit("bucket "), F.col("bucket").cast("string"))).alias("place")
     )
-    rows = placed.join(blocks, "bucket").join(classes.select("key", "n", "signature", "bands"), "key")
-    rows = rows.withColumn("away", F.col("component") != F.col("home"))
+    rows = spread_join(placed, places, ["bucket"], salt_of(F.col("key")))
+    band = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bucket").bitwiseAND(63).cast("int"))
+    return rows.groupBy("place", "key").agg(F.first("home").alias("home"), F.first("component").alias("component"), F.bit_or(band).alias("mask"))
+
+
+def links_across(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between members of one bucket in different components, fewer than a block has members.
+
+    Where buckets have several components, the members outside the home (pivots) meet all members of other components.
+    Both are dealt to blocks, and each block of pivots meets each block of members in a task of its own, which takes each
+    pair in the first band that both share, compares signatures in place, and verifies the survivors on full sets, the
+    likeliest first, as long as their components are apart.
+    """
+    rows = materialise(meetings(members, labels).join(classes.select("key", "n"), "key"), "meetings")
+    away = F.col("component") != F.col("home")
+    blocks = rows.groupBy("place").agg(
+        F.greatest(F.ceil(F.count_if(away) / PIVOTS), F.ceil(F.sum(F.when(away, F.col("n"))) / BLOCK_SHINGLES)).cast("int").alias("pivot_blocks"),
+        F.greatest(F.ceil(F.count(F.lit(1)) / OTHERS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("other_blocks"),
+    )
+    rows = spread_join(rows, blocks, ["place"], salt_of(F.col("key"))).withColumn("away", away)
+    rows = rows.join(classes.select("key", "signature"), "key").join(sets, "key")
     mine = lambda count: F.pmod(F.xxhash64("key"), F.col(count)).cast("int")
     upto = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    pivots = rows.filter("away").select("*", F.lit(True).alias("pivot"), mine("pivot_blocks").alias("i"), upto("other_blocks").alias("j"))
-    others = rows.select("*", F.lit(False).alias("pivot"), upto("pivot_blocks").alias("i"), mine("other_blocks").alias("j"))
-    cells = pivots.unionByName(others).select("bucket", "i", "j", "pivot", "away", "key", "component", "n", "signature", "bands")
+    # In a place of one block a pivot is there once, as one of the others.
+    single = (F.col("pivot_blocks") == 1) & (F.col("other_blocks") == 1)
+    pivots = rows.filter(away & ~single).select("*", F.lit(True).alias("pivot"), F.lit(False).alias("other"), mine("pivot_blocks").alias("i"), upto("other_blocks").alias("j"))
+    others = rows.select("*", (single & away).alias("pivot"), F.lit(True).alias("other"), upto("pivot_blocks").alias("i"), mine("other_blocks").alias("j"))
+    cells = pivots.unionByName(others).select(
+        "place", "i", "j", "pivot", "other", "away", "key", "component", "mask", "n", "signature", "shingles"
+    )
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        band = int(table.column("bucket")[0].as_py()) & 63
         pivot, away = table.column("pivot").to_numpy(), table.column("away").to_numpy()
         key, component = table.column("key").to_pylist(), table.column("component").to_pylist()
         names = {c: k for k, c in enumerate(sorted(set(component)))}
         group = np.array([names[c] for c in component])
         order = np.empty(len(key), np.int64)
         order[sorted(range(len(key)), key=key.__getitem__)] = np.arange(len(key))
-        sizes, sign = table.column("n").to_numpy(), _unpacked(table.column("signature").combine_chunks())
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        other = np.flatnonzero(~pivot)
-        pairs: list[tuple[int, int, int]] = []
+        sizes, mask, sign = table.column("n").to_numpy(), table.column("mask").to_numpy(), _unpacked(table.column("signature").combine_chunks())
+        bands = sign.reshape(len(key), BANDS, ROWS)
+        other = np.flatnonzero(table.column("other").to_numpy())
+        pairs: list[np.ndarray] = []
         for p in np.flatnonzero(pivot):
             # Two members away from home are both pivots: the lesser key keeps the pair.
-            at = other[(group[other] != group[p]) & (~away[other] | (order[other] > order[p]))]
+            at = other[(group[other] != group[p]) & (~away[other] | (order[other] > order[p])) & ((mask[other] & mask[p]) != 0)]
+            alike = (bands[at] == bands[p]).all(2)
+            first = alike.argmax(1)
+            at = at[alike.any(1) & ((mask[at] & mask[p]) >> first & 1 == 1)]
             got = compare(sign[np.full(len(at), p)], sign[at], sizes[np.full(len(at), p)], sizes[at])
             at, got = at[got >= 0], got[got >= 0]
-            if best_only:
-                ranked = np.lexsort((at, -got, group[at]))
-                at, got = at[ranked], got[ranked]
-                chosen = np.concatenate([[True], group[at[1:]] != group[at[:-1]]]) if len(at) else []
-            else:
-                chosen = (bands[at] == bands[p]).argmax(1) == band if len(at) else []
-            pairs += [(p, o, m) for o, m in zip(at[chosen], got[chosen])] if len(at) else []
-        out = {"a": [key[p] for p, _, _ in pairs], "b": [key[o] for _, o, _ in pairs]}
-        out |= {"ca": [component[p] for p, _, _ in pairs], "cb": [component[o] for _, o, _ in pairs], "matches": [int(m) for _, _, m in pairs]}
-        return pa.table(out, schema=pa.schema([(c, pa.int32() if c == "matches" else pa.binary()) for c in out]))
-
-    found = cells.groupBy("bucket", "i", "j").applyInArrow(meet, "a binary, b binary, ca binary, cb binary, matches int")
-    return materialise(found, "across")
+            if len(at):
+                pairs.append(np.stack([got, np.full(len(at), p), at]))
+        u, v = [], []
+        if pairs:
+            matches, one, two = np.concatenate(pairs, axis=1)
+            shingles, joined = table.column("shingles").combine_chunks(), Joined()
+            held = lambda k: np.frombuffer(shingles[int(k)].as_buffer(), np.uint64)
+            for k in np.lexsort((order[two], order[one], -matches)):
+                a, b = one[k], two[k]
+                if joined.root(component[a]) != joined.root(component[b]) and similar(held(a), held(b)):
+                    joined.join(component[a], component[b])
+                    u.append(key[a])
+                    v.append(key[b])
+        return pa.table({"u": u, "v": v}, schema=pa.schema([("u", pa.binary()), ("v", pa.binary())]))
+
+    return materialise(cells.groupBy("place", "i", "j").applyInArrow(meet, "u binary, v binary"), "across")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class (key of its set), component_id."""
+    """One row per document: doc_id, n_shingles, key (of its set), component_id, and digest (of its text)."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = materialise(docs.select("doc_id", signed(F.col("text"), shingle).alias("of")).select("doc_id", "of.*"), "signed")
+    read = docs.select("doc_id", text_digest(F.col("text")).alias("digest"), signed(F.col("text"), shingle).alias("of"))
+    table = materialise(read.select("doc_id", "digest", "of.*"), "signed")
     classes = materialise(
         table.filter("key is not null").groupBy("key").agg(
             F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")
         ),
         "classes",
     )
-    members = buckets(classes)
-    stars = surviving_stars(members, classes)
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("matches", "b")).alias("b"))
-    links = verified(best, classes, docs, shingle)
-    labels = materialise(components(links), "labels")
-    links = links.unionByName(verified(_apart(stars, labels), classes, docs, shingle))
-    labels = materialise(components(links), "labels")
-    likely = surviving_across(members, labels, classes, best_only=True)
-    first = likely.select(
-        F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), F.struct("matches", "a", "b").alias("of")
-    ).groupBy("ca", "cb").agg(F.max("of").alias("of")).select("of.a", "of.b")
-    links = links.unionByName(verified(first, classes, docs, shingle))
-    labels = materialise(components(links), "labels")
-    rest = surviving_across(members, labels, classes, best_only=False)
-    links = links.unionByName(verified(rest.select("a", "b"), classes, docs, shingle))
+    members = materialise(buckets(classes), "members")
+    sets = full_sets(members.select("key").distinct(), classes, docs, shingle)
+    links = verified(surviving_stars(members, classes), sets)
     labels = materialise(components(links), "labels")
+    across = links_across(members, labels, classes, sets)
+    if not across.isEmpty():
+        labels = materialise(components(links.unionByName(across)), "labels")
     named = _labelled(classes.select("key", "doc_id"), "key", labels, "component")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = materialise(named.join(least, "component").select("key", "component_id"), "named")
-    joined = table.select("doc_id", "n", "key").join(of_class, "key", "left")
+    least = with_group_facts(named, ["component"], salt_of(F.col("key")), {"component_id": F.min("doc_id")}, {"component_id": F.min("component_id")})
+    of_class = materialise(least.select("key", "component_id"), "named")
+    joined = spread_join(table.select("doc_id", "digest", "n", "key"), of_class, ["key"], salt_of(F.col("doc_id")), "left")
     return joined.select(
-        "doc_id", F.col("n").alias("n_shingles"), "key",
+        "doc_id", "digest", F.col("n").alias("n_shingles"), "key",
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
@@ -384,8 +430,12 @@ def is_kept(doc_id: Column, component_id: Column) -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates; all columns stay."""
+    """``docs`` with one document of each group of near-duplicates; all columns stay.
+
+    A row is named by its id, null or not, and the digest of its text, so of rows that share an id only copies go.
+    """
     found = near_duplicates(docs, id_col, text_col, shingle)
-    lost = found.filter(~is_kept(F.col("doc_id"), F.col("component_id"))).select("doc_id").distinct()
-    drop = fresh(docs, "_drop")
-    return docs.join(lost.select(F.col("doc_id").alias(drop)), F.col(f"`{id_col}`") == F.col(drop), "left_anti")
+    lost = found.filter(~is_kept(F.col("doc_id"), F.col("component_id"))).select("doc_id", "digest").distinct()
+    drop, digest = fresh(docs, "_drop"), fresh(docs, "_digest")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(drop)) & (text_digest(F.col(f"`{text_col}`").cast("string")) == F.col(digest))
+    return docs.join(lost.select(F.col("doc_id").alias(drop), F.col("digest").alias(digest)), same, "left_anti")

@@ -38,6 +38,7 @@ def test_dual_evaluation_compares_both_models(spark, sf):
     for r in results.values():
         cells = ("true_positives", "true_negatives", "false_positives", "false_negatives")
         assert sum(r[c] for c in cells) == r["test_samples"]
+        assert r["training_time"] > 0 and r["evaluation_time"] > 0
     assert results["balanced"]["train_fraud_rate"] == pytest.approx(0.5, abs=0.02)
     table = {r["metric_name"]: r for r in out.comparison.collect()}
     assert len(table) == 13 and table["recall"]["balanced_value"] == pytest.approx(results["balanced"]["recall"])

@@ -267,11 +267,26 @@ def resolve_quality(df: DataFrame, protect: Sequence[str] = (COLUMNS.label,)) ->
 
 # ------------------------------------------------------------------ reports
 
-def null_report(df: DataFrame, columns: Sequence[str], limit: float = 0.5) -> DataFrame:
-    """(column, null_ratio, issue), from one aggregate."""
+def null_report(df: DataFrame, columns: Sequence[str], limit: float = 0.5, cols: Columns = COLUMNS) -> DataFrame:
+    """(column, null_ratio, issue, type_issue), the ratios from one aggregate.
+
+    An amount has to be numeric and a time a timestamp; both are judged by the schema.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def type_issue(c: str) -> str:
+        if c == cols.amount and not isinstance(kinds[c], T.NumericType):
+            return "amount_not_numeric"
+        if c == cols.time and not isinstance(kinds[c], (T.TimestampType, T.TimestampNTZType)):
+            return "time_not_timestamp"
+        return "none"
+
     ratios = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])
     long = ratios.unpivot([], list(columns), "column", "null_ratio")
-    return long.withColumn("issue", F.when(F.col("null_ratio") > limit, "excessive_nulls").otherwise("none"))
+    told = F.create_map(*[F.lit(x) for c in columns for x in (c, type_issue(c))])
+    return long.withColumns({
+        "issue": F.when(F.col("null_ratio") > limit, "excessive_nulls").otherwise("none"), "type_issue": told[F.col("column")],
+    })
 
 
 def data_profile(df: DataFrame) -> DataFrame:

@@ -21,9 +21,9 @@ def heavy_codes(df: DataFrame, keysets: dict[str, Sequence[str]], hot_rows: int
     """Hash codes of keys that hold more than ``hot_rows`` rows, per key set.
 
     A frequent-items sketch per task, merged in two steps (many tasks first, then one row), so no
-    keys are shuffled and no task merges more than a few hundred sketches. At most ``TOP_KEYS`` items
-    per key set reach the driver. The estimate only steers salting and splitting, so a
-    missed or extra key never changes a result.
+    keys are shuffled and no task merges more than a few hundred sketches. Where the ``TOP_KEYS`` items of the sketch
+    are all heavy there may be more, and keys are counted exactly. No key is left out; there are at most
+    rows / ``hot_rows`` of them. The numbers only steer salting and splitting and never change a result.
     """
     def sketched(function: str, value: Column, name: str) -> Column:
         return F.call_function(function, value, F.lit(TRACKED)).alias(name)
@@ -40,10 +40,14 @@ def heavy_codes(df: DataFrame, keysets: dict[str, Sequence[str]], hot_rows: int
     ).first()
     if row is None:  # no rows at all
         return {name: {} for name in keysets}
-    return {
-        name: {item["item"]: item["count"] for item in (row[name] or []) if item["count"] > hot_rows}
-        for name in keysets
-    }
+    found = {}
+    for name, keys in keysets.items():
+        heavy = {item["item"]: item["count"] for item in (row[name] or []) if item["count"] > hot_rows}
+        if len(heavy) >= TOP_KEYS:
+            counted = df.groupBy(key_code(keys).alias("code")).count().filter(F.col("count") > hot_rows)
+            heavy = {r["code"]: r["count"] for r in counted.toLocalIterator()}
+        found[name] = heavy
+    return found
 
 
 def attach(

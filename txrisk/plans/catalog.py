@@ -165,8 +165,10 @@ def v12(spark, d):
 
 
 def v13(spark, d):
-    columns = ["sender_account", "amount", "receiver_account"]
-    return rounded(quality.null_report(t.dirty_transactions(spark, d), columns, limit=0.05), 6, ["null_ratio"])
+    """The time as text, which is a type issue."""
+    columns = ["sender_account", "amount", "receiver_account", "timestamp"]
+    odd = t.dirty_transactions(spark, d).withColumn("timestamp", F.col("timestamp").cast("string"))
+    return rounded(quality.null_report(odd, columns, limit=0.05), 6, ["null_ratio"])
 
 
 def v18(spark, d):

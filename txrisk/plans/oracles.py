@@ -329,9 +329,11 @@ def oracle_sql() -> dict[str, str]:
  round(CASE WHEN amount IS NOT NULL THEN least(greatest(amount, m - 5 * s), m + 5 * s) END, 4) AS amount
  FROM dirty, (SELECT avg(amount) AS m, stddev_samp(amount) AS s FROM dirty) b""")
     o["v13_null_report"] = q(TX, DIRTY, """SELECT "column", round(r, 6) AS null_ratio,
- CASE WHEN r > 0.05 THEN 'excessive_nulls' ELSE 'none' END AS issue FROM (
+ CASE WHEN r > 0.05 THEN 'excessive_nulls' ELSE 'none' END AS issue,
+ CASE WHEN "column" = 'timestamp' THEN 'time_not_timestamp' ELSE 'none' END AS type_issue FROM (
  SELECT 'sender_account' AS "column", avg((sender_account IS NULL)::INTEGER) AS r FROM dirty UNION ALL
  SELECT 'amount', avg((amount IS NULL)::INTEGER) FROM dirty UNION ALL
+ SELECT 'timestamp', avg(("timestamp" IS NULL)::INTEGER) FROM dirty UNION ALL
  SELECT 'receiver_account', avg((receiver_account IS NULL)::INTEGER) FROM dirty) u""")
     o["v15_label_rate"] = q(TX, """SELECT n_rows, round(r, 6) AS label_rate,
  CASE WHEN r < 0.001 THEN 'too_low' WHEN r > 0.5 THEN 'too_high' ELSE 'ok' END AS status

@@ -41,6 +41,7 @@ EVALUATION = struct(
     ("true_negatives", L), ("false_positives", L), ("false_negatives", L),
     ("fraud_detection_rate", D), ("false_positive_rate", D), ("customer_friction_rate", D),
     ("optimal_threshold", D), ("threshold_low", D), ("threshold_high", D),
+    ("training_time", D), ("evaluation_time", D),
 )
 REGISTRY = struct(("name", S), ("version", S), ("created_at", TS), ("size_bytes", L), ("path", S))
 

@@ -263,3 +263,13 @@ def test_empty_tables_have_no_heavy_keys_and_no_features(spark, many_slabs):
     empty = spark.createDataFrame([], TRANSACTION)
     assert heavy_codes(empty, {"k": ["sender_account"]}) == {"k": {}}
     assert features.engineer(empty).count() == 0
+
+
+def test_no_heavy_key_is_left_out_when_the_list_is_full(spark, monkeypatch):
+    from txrisk.operators import skew
+
+    rows = [(f"k{i % 9}",) for i in range(900)] + [(f"rare{i}",) for i in range(50)]
+    facts = spark.createDataFrame(rows, "k string")
+    monkeypatch.setattr(skew, "TOP_KEYS", 4)
+    heavy = skew.heavy_codes(facts, {"k": ["k"]}, hot_rows=60)["k"]
+    assert len(heavy) == 9 and set(heavy.values()) == {100}

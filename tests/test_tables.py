@@ -277,3 +277,27 @@ def test_views_keep_every_row(spark, sf):
     assert tables.transactions(spark, sf).count() == tables.scored(spark, sf).count() == n
     assert tables.dirty_transactions(spark, sf).count() > n
     assert tables.orders_as_wide_amounts(spark, sf).count() == tables.table(spark, sf, "lineitem").count()
+
+
+# ------------------------------------------------------- checks and encodings
+
+def test_type_issues_are_reported(labelled):
+    odd = labelled.withColumns({"amount": F.col("amount").cast("string"), "timestamp": F.col("timestamp").cast("string")})
+    issues = {r["column"]: r["type_issue"] for r in quality.null_report(odd, ["amount", "timestamp", "location"]).collect()}
+    assert issues == {"amount": "amount_not_numeric", "timestamp": "time_not_timestamp", "location": "none"}
+    assert {r["type_issue"] for r in quality.null_report(labelled, ["amount", "timestamp"]).collect()} == {"none"}
+
+
+def test_vectors_for_more_categories_than_columns(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    many = spark.range(3_000).select(F.format_string("c%04d", F.col("id") % 1500).alias("c"))
+    codes = preprocess.code_table(many, "c")
+    extra = many.limit(1).withColumn("c", F.lit("unseen"))
+    out = preprocess.one_hot_vector(many.unionByName(extra), "c", codes, "v").select("c", vector_to_array("v").alias("v"))
+    rows = out.select("c", F.size("v").alias("width"), F.array_position("v", F.lit(1.0)).alias("at"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("ones"))
+    for r in rows.collect():
+        assert r["width"] == 1500
+        assert (r["ones"], r["at"]) == ((0.0, 0) if r["c"] == "unseen" else (1.0, int(r["c"][1:]) + 1))
+    with pytest.raises(ValueError, match="too many for columns"):
+        preprocess.categories(many, "c")

@@ -24,7 +24,6 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +31,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from txrisk.llm import text as T
+from txrisk.llm.common import worker_slot
 from txrisk.llm.memo import ABSENT, Memo
 
 SLICE = 1 << 20  # bytes of a text or of several texts that are looked at together
@@ -143,10 +143,9 @@ class Codec:
         return self.data[np.arange(total[-1]) + np.repeat(low - total[:-1], size)].tobytes()
 
 
-@cache
 def codec(tokenizer_file: str) -> Codec:
-    """One for each worker process and file; of fixed size."""
-    return Codec(tokenizer_file)
+    """One for each worker process, of fixed size, until another operator needs the room."""
+    return worker_slot(("byte-level", tokenizer_file), lambda: Codec(tokenizer_file))
 
 
 class Encoder:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
 from contextlib import contextmanager
+from typing import Any, TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txrisk.session import materialise, ship
 
+T = TypeVar("T")
 SALTS = 64  # cells over which the rows of one key are spread
 
-__all__ = ["SALTS", "batches_of", "fresh", "materialise", "salt_of", "spread_join", "table", "with_group_facts"]
+__all__ = ["SALTS", "batches_of", "fresh", "materialise", "salt_of", "spread_join", "table", "with_group_facts", "worker_slot"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,20 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
+_SLOT: dict[Hashable, Any] = {}
+
+
+def worker_slot(key: Hashable, make: Callable[[], T]) -> T:
+    """What is costly to make, kept in a worker process until an operator asks for something else.
+
+    Workers live through many stages; with one slot the memory of one operator is free for the next.
+    """
+    if key not in _SLOT:
+        _SLOT.clear()
+        _SLOT[key] = make()
+    return _SLOT[key]
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs run inside send at most ``rows`` rows at once to Python; for rows that may be large."""

@@ -21,7 +21,6 @@ import os
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.llm import text as T
-from txrisk.llm.common import materialise
+from txrisk.llm.common import materialise, worker_slot
 from txrisk.llm.memo import ABSENT, Memo
 
 CAPACITY = 4096
@@ -123,10 +122,9 @@ class Merges:
         return np.bincount(owner, minlength=len(sizes)), token[order].astype(np.uint32)
 
 
-@cache
 def encoder(tokenizer_file: str) -> "Encoder":
-    """One for each worker process and file."""
-    return Encoder(tokenizer_file)
+    """One for each worker process, until another operator needs the room."""
+    return worker_slot(("packing", tokenizer_file), lambda: Encoder(tokenizer_file))
 
 
 class Encoder:

@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20  # texts are taken in groups of about this size, to bound the temporary arrays
+CHUNK_BYTES = 1 << 19  # texts are taken in groups of about this size, to bound the temporary arrays
 _U64 = np.uint64
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -32,12 +31,21 @@ SPACED = ~byte_class((0x20, 0x20), (0x09, 0x0D))  # words between ASCII white sp
 ALNUM = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))  # ASCII letters and digits, or not ASCII
 
 
-@cache
+def _up_to(size: int) -> int:
+    return 1 << max(16, int(size).bit_length())
+
+
+_POWERS: dict[int, np.ndarray] = {}  # for each base the longest table so far
+
+
 def powers(base: int, size: int) -> np.ndarray:
-    steps = np.full(size, base, _U64)
-    if size:
+    """The first ``size`` powers of ``base`` modulo 2**64."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < size:
+        steps = np.full(_up_to(size), base, _U64)
         steps[0] = 1
-    return np.cumprod(steps, dtype=_U64)
+        known = _POWERS[base] = np.cumprod(steps, dtype=_U64)
+    return known[:size]
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -45,10 +53,6 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_VALUE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-def _up_to(size: int) -> int:
-    return 1 << max(16, int(size).bit_length())
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every bit of 64-bit values over all bits."""
     x = (x ^ (x >> _U64(30))) * _U64(0xBF58476D1CE4E5B9)
@@ -116,8 +120,8 @@ def words(texts: Texts, inside: np.ndarray, lower: bool = True, parts: tuple[np.
     end = np.flatnonzero(before & (~mask | cut))
     total = np.zeros(size + 1, _U64)
     if size:
-        np.cumsum(_BYTE_VALUE[raw] * powers(_BASE, _up_to(size))[:size], dtype=_U64, out=total[1:])
-    code = (total[end] - total[begin]) * powers(_INVERSE, _up_to(size))[begin]
+        np.cumsum(_BYTE_VALUE[raw] * powers(_BASE, size), dtype=_U64, out=total[1:])
+    code = (total[end] - total[begin]) * powers(_INVERSE, size + 1)[begin]
     return Words(begin, end, mix(code + (end - begin).astype(_U64)), np.searchsorted(begin, texts.starts))
 
 
@@ -148,6 +152,6 @@ def run_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
     """Hashes of the byte runs from ``begin`` to ``end``, which depend on their bytes and lengths only."""
     total = np.zeros(len(raw) + 1, _U64)
     if len(raw):
-        np.cumsum(_BYTE_VALUE[raw] * powers(_BASE, _up_to(len(raw)))[: len(raw)], dtype=_U64, out=total[1:])
-    code = (total[end] - total[begin]) * powers(_INVERSE, _up_to(len(raw)))[begin]
+        np.cumsum(_BYTE_VALUE[raw] * powers(_BASE, len(raw)), dtype=_U64, out=total[1:])
+    code = (total[end] - total[begin]) * powers(_INVERSE, len(raw) + 1)[begin]
     return mix(code + (end - begin).astype(_U64))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.llm import text as T
-from txrisk.llm.common import materialise
+from txrisk.llm.common import materialise, worker_slot
 
 FIT_TOXIC = 4_000
 FIT_CLEAN = 16_000
@@ -45,6 +45,7 @@ MIN_SUPPORT = 3
 PRECISION = 0.8
 WINDOW = 8  # words on either side that make the context of a hit
 THRESHOLD = 0.7
+MEMO = 50_000  # looked-up words that a worker remembers
 
 # General insults, reporting verbs and second-person words in the languages of the tables.
 GENERAL = "idiot moron stupid scum loser pathetic worthless disgusting trash clown imbecile dumbass".split()
@@ -120,7 +121,7 @@ class Lexicon:
             if edits(len(term)):
                 masks.setdefault((len(term), edits(len(term))), set()).add(letter_mask(term))
         self.masks = {k: np.array(sorted(v), np.uint32) for k, v in masks.items()}
-        self.memo: dict[bytes, int] = {}
+        self.name = hash((frozenset(self.words), frozenset(self.stems)))
 
     def lookup(self, word: str) -> int:
         """0: no hit; 1: a term; 2, 3: one or two edits from a term; 5: a stem and its ending."""
@@ -170,13 +171,14 @@ class Lexicon:
                     near[close[np.bitwise_count(mask[close] ^ m) <= 2 * far]] = True
         at = np.flatnonzero(near)
         kind = np.zeros(len(at), np.int8)
-        if len(self.memo) > 200_000:
-            self.memo.clear()
+        memo: dict[bytes, int] = worker_slot(("toxicity", self.name), dict)
+        if len(memo) > MEMO:
+            memo.clear()
         for k, w in enumerate(at):
             key = texts.raw[word.begin[w] : word.end[w]].tobytes()
-            found = self.memo.get(key)
+            found = memo.get(key)
             if found is None:
-                found = self.memo[key] = self.lookup(key.decode("utf-8", "replace"))
+                found = memo[key] = self.lookup(key.decode("utf-8", "replace"))
             kind[k] = found
         return at[kind > 0], kind[kind > 0]
 

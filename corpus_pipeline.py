@@ -3,6 +3,13 @@
 Toxic documents go; lines that many documents share go, but for one copy; one document of each group of near-duplicates
 (five-word shingles, similarity of 0.8 or more) stays; documents that hold benchmark passages go; what is left is packed
 into sequences of at most 4096 tokens. All stages but the last return the columns of ``documents``.
+
+Defined cases. Null and empty texts are clean, lose no line, have no near-duplicate and no benchmark passage, and are
+packed as one end id. Rows without an id are kept or dropped by their own text; of a group of near-duplicates the row with
+the least id stays, all rows if none has an id, and rows that share the least id all stay. Repeated rows are judged alike.
+A line that documents share stays in the one with the largest id. Whole texts are read, however long they are. Empty
+tables give no rows, and without labels the lexicon holds its general terms only. Further columns, whatever their
+names, are carried through all stages but the last.
 """
 
 from __future__ import annotations

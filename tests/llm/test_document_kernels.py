@@ -244,3 +244,14 @@ def test_terms_with_other_letters_are_found_within_their_edits():
     rows = toxicity.features(lexicon, pa.array(near + far))
     assert all(lexicon.lookup(w) for w in near) and not any(lexicon.lookup(w) for w in far)
     assert rows[: len(near)].any(1).all() and not rows[len(near) :].any()
+
+
+def test_words_of_a_long_text_do_not_depend_on_slices():
+    rng = np.random.default_rng(6)
+    text = "".join(rng.choice(list("ab C.,é日 \n"), 3_000))
+    texts = next(T.chunks(pa.array([text, "", "tail of another", "x" * 900])))
+    for inside in (T.SPACED, T.ALNUM):
+        whole = T.words(texts, inside)
+        for limit in (1, 7, 500, 3_999):
+            cut = T.words(texts, inside, limit=limit)
+            assert all(np.array_equal(getattr(whole, f), getattr(cut, f)) for f in ("begin", "end", "hash", "first"))

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 19  # texts are taken in groups of about this size, to bound the temporary arrays
+LONG_BYTES = 1 << 21  # beyond this a text is read in slices
 _U64 = np.uint64
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -100,11 +101,36 @@ class Words:
         return np.diff(self.first)
 
 
-def words(texts: Texts, inside: np.ndarray, lower: bool = True, parts: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
+def words(
+    texts: Texts, inside: np.ndarray, lower: bool = True, parts: tuple[np.ndarray, np.ndarray] | None = None, limit: int = LONG_BYTES
+) -> Words:
     """Maximal runs of bytes of the class ``inside``; runs end where a text ends.
 
-    With ``parts``, two byte classes, a run is also cut wherever a byte of one class meets one of the other.
+    With ``parts``, two byte classes, a run is also cut wherever a byte of one class meets one of the other. A long text is
+    read in slices that end between words, so the temporary arrays do not grow with it.
     """
+    size, low, found = len(texts.raw), 0, []
+    while not found or low < size:
+        high = min(low + limit, size)
+        while high < size:  # to the end of the word
+            ahead = texts.raw[high : high + limit]
+            gap = np.flatnonzero(~inside[LOWER[ahead] if lower else ahead])
+            if len(gap):
+                high += int(gap[0])
+                break
+            high += len(ahead)
+        first, last = np.searchsorted(texts.starts, low), np.searchsorted(texts.starts, high, "right")
+        of = _words(Texts(texts.raw[low:high], np.unique(np.concatenate([[low], texts.starts[first:last]])) - low), inside, lower, parts)
+        found.append((of.begin + low, of.end + low, of.hash))
+        low = high
+    if len(found) == 1:
+        begin, end, code = found[0]
+    else:
+        begin, end, code = (np.concatenate(x) for x in zip(*found))
+    return Words(begin, end, code, np.searchsorted(begin, texts.starts))
+
+
+def _words(texts: Texts, inside: np.ndarray, lower: bool, parts: tuple[np.ndarray, np.ndarray] | None) -> Words:
     raw = LOWER[texts.raw] if lower else texts.raw
     size = len(raw)
     mask = np.zeros(size + 1, bool)

@@ -18,7 +18,8 @@ their ids: the documented bound of the sample. Scoring reads every whole text.
 
 Defined cases: a null or empty text has no hits and gets the score of such texts; conflicting labels of one document
 count as toxic; null labels are ignored; with no labels the general terms and the prior decide; repeated rows are scored
-alike; further columns are ignored.
+alike; a text of any length is read whole; terms of equal worth are taken words first, then the longest, then the last
+by name; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations

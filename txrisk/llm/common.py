@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Hashable, Iterator, Sequence
 from contextlib import contextmanager
 from typing import Any, TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,14 +38,25 @@ _SLOT: dict[Hashable, Any] = {}
 def worker_slot(key: Hashable, make: Callable[[], T]) -> T:
     """What is costly to make, kept in a worker process until an operator asks for something else.
 
-    Workers live through many stages; with one slot the memory of one operator is free for the next.
+    Workers live through many stages; with one slot the memory of one operator is free for the next, and what others
+    have freed goes back to the system.
     """
     if key not in _SLOT:
         _SLOT.clear()
+        give_back()
         _SLOT[key] = make()
     return _SLOT[key]
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system, where its allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs run inside send at most ``rows`` rows at once to Python; for rows that may be large."""

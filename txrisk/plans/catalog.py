@@ -619,6 +619,7 @@ def s7(spark, d):
 
 # ------------------------------------------------------------ fitted models
 
+ROUNDS, PATIENCE = 20, 100  # of the registered fits; the operators go on to 1,000 rounds
 _MODELS: dict[tuple[str, str], RiskModel] = {}
 
 
@@ -626,7 +627,7 @@ def fitted(spark: SparkSession, d: str) -> RiskModel:
     """One fitted model per session and folder, shared by the queries that only read it."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _MODELS:
-        _MODELS[key] = RiskModel.fit(t.transactions(spark, d))
+        _MODELS[key] = RiskModel.fit(t.transactions(spark, d), rounds=ROUNDS, patience=PATIENCE)
     return _MODELS[key]
 
 
@@ -675,7 +676,7 @@ def m11(spark, d):
     """A classifier on the engineered features alone: no anomaly score."""
     model = fitted(spark, d)
     table = splits.stratified_split(feature_table(spark, d), 0.2).withColumn("held", F.col("split") == "test")
-    booster = boosting.fit_boosting(table, model.feature_names, validation="held")
+    booster = boosting.fit_boosting(table, model.feature_names, validation="held", rounds=ROUNDS, patience=PATIENCE)
     return boosting.predict(booster, table.filter("held")).select("transaction_id", "fraud_probability")
 
 
@@ -696,7 +697,7 @@ def m14(spark, d):
 
 def m15(spark, d):
     model = fitted(spark, d)
-    return boosting.cross_validate(feature_table(spark, d), model.feature_names)
+    return boosting.cross_validate(feature_table(spark, d), model.feature_names, rounds=20)
 
 
 def m16(spark, d):
@@ -747,12 +748,12 @@ def m19(spark, d):
 
 
 def e9(spark, d):
-    model, scored = evaluation.time_split_evaluation(t.transactions(spark, d))
+    model, scored = evaluation.time_split_evaluation(t.transactions(spark, d), rounds=ROUNDS, patience=PATIENCE)
     return evaluation.evaluate(model, scored)
 
 
 def e28(spark, d):
-    return evaluation.dual_evaluation(t.transactions(spark, d), minimum=1).comparison
+    return evaluation.dual_evaluation(t.transactions(spark, d), rounds=ROUNDS, minimum=1, patience=PATIENCE).comparison
 
 
 def e29(spark, d):

@@ -69,3 +69,34 @@ def test_ranks_meet_the_ranges_of_their_block_only(spark):
     assert got == {(r["tree"], r["rank"]): order[r["rank"]] for r in picks.collect()}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"NestedLoopJoin[^\n]*_before", plan)
+
+
+def test_the_fit_reads_its_rows_once(spark, sf, monkeypatch):
+    read, write = {}, models.materialise
+
+    def noted(df, label="table"):
+        read[label] = df.inputFiles()
+        return write(df, label)
+
+    monkeypatch.setattr(models, "materialise", noted)
+    models.RiskModel.fit(tables.transactions(spark, sf), rounds=2, forest=SMALL)
+    for label in ("features", "receivers", "own"):
+        assert read[label] and all("/ready-" in f for f in read[label])
+
+
+def test_moments_of_many_columns(spark):
+    x = np.random.default_rng(5).normal(size=(200, 19)) * np.arange(1, 20)
+    x[3, 4] = np.nan
+    df = spark.createDataFrame([tuple(map(float, row)) for row in x], ", ".join(f"c{i} double" for i in range(19)))
+    found = scaling.moments(df, df.columns)
+    assert list(found) == df.columns
+    assert np.array(list(found.values())) == pytest.approx(np.array([np.nanmean(x, 0), np.nanstd(x, 0)]).T)
+
+
+def test_distinct_values_are_counted_in_large_brackets_only(spark, monkeypatch):
+    calls, count = [], F.approx_count_distinct
+    monkeypatch.setattr(statistics.F, "approx_count_distinct", lambda *a: calls.append(1) or count(*a))
+    df = spark.range(30_000).select((F.col("id") * 7919 % 30_011).cast("double").alias("v"))
+    want = np.quantile(np.arange(30_000) * 7919 % 30_011, 0.5)
+    assert statistics.quantiles(df, {"v": [0.5]})["v"][0] == want and not calls
+    assert statistics.quantiles(df, {"v": [0.5]}, bound=5)["v"][0] == want and calls

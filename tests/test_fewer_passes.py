@@ -100,3 +100,15 @@ def test_distinct_values_are_counted_in_large_brackets_only(spark, monkeypatch):
     want = np.quantile(np.arange(30_000) * 7919 % 30_011, 0.5)
     assert statistics.quantiles(df, {"v": [0.5]})["v"][0] == want and not calls
     assert statistics.quantiles(df, {"v": [0.5]}, bound=5)["v"][0] == want and calls
+
+
+@pytest.mark.parametrize("query,fits", [("m11", "fit_boosting")])
+def test_boosting_reads_written_features(spark, sf, monkeypatch, query, fits):
+    read = []
+    monkeypatch.setattr(catalog, "_TABLES", {})
+    monkeypatch.setattr(catalog, "feature_table", tables.transactions)
+    monkeypatch.setattr(catalog, "fitted", lambda spark, d: SimpleNamespace(feature_names=["amount"]))
+    monkeypatch.setattr(boosting, fits, lambda df, *a, **k: read.extend(df.inputFiles()))
+    monkeypatch.setattr(boosting, "predict", lambda model, df: df.withColumn("fraud_probability", F.lit(0.5)))
+    getattr(catalog, query)(spark, sf)
+    assert read and all("/feature-table-" in f for f in read)

@@ -102,7 +102,7 @@ def test_distinct_values_are_counted_in_large_brackets_only(spark, monkeypatch):
     assert statistics.quantiles(df, {"v": [0.5]}, bound=5)["v"][0] == want and calls
 
 
-@pytest.mark.parametrize("query,fits", [("m11", "fit_boosting")])
+@pytest.mark.parametrize("query,fits", [("m11", "fit_boosting"), ("m15", "cross_validate")])
 def test_boosting_reads_written_features(spark, sf, monkeypatch, query, fits):
     read = []
     monkeypatch.setattr(catalog, "_TABLES", {})

@@ -112,3 +112,39 @@ def test_boosting_reads_written_features(spark, sf, monkeypatch, query, fits):
     monkeypatch.setattr(boosting, "predict", lambda model, df: df.withColumn("fraud_probability", F.lit(0.5)))
     getattr(catalog, query)(spark, sf)
     assert read and all("/feature-table-" in f for f in read)
+
+
+class Held:
+    def __init__(self):
+        self.rows, self.calls = [], []
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return iter(self.rows)
+
+    def appendList(self, rows):
+        self.calls.append("append")
+        self.rows += rows
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+
+
+def test_a_block_asks_its_state_as_little_as_it_can():
+    held, block = Held(), jobs.BlockVelocity(12)
+    block.init(held)
+    row = Row("sender_account", "block", "kind", "at", "us", "transaction_id", "n", "amount")
+    key, hour = ("S", 1), jobs.HOUR
+
+    def given(*rows):
+        held.calls = []
+        return list(block.handleInputRows(key, iter([row("S", 1, *r) for r in rows]), None))
+
+    assert given((jobs.WHOLE, None, 12 * hour - 1, None, 3, 30.0)) == [] and held.calls == ["append", "timer"]
+    assert given((jobs.HOUR_AGO, None, 12 * hour - 5, "h", 1, 5.0), (jobs.DAY_AGO, None, -12 * hour, "d", 1, 7.0)) == []
+    out = given((jobs.FRESH, None, 12 * hour, "b", 1, 2.0), (jobs.FRESH, None, 12 * hour, "a", 1, 1.0))
+    assert held.calls == ["get", "append"]
+    assert [tuple(r) for r in out] == [("S", "a", 1, 4, 37.0, 5.0), ("S", "b", 2, 5, 38.0, 6.0)]

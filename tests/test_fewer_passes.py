@@ -71,6 +71,13 @@ def test_ranks_meet_the_ranges_of_their_block_only(spark):
     assert not re.search(r"NestedLoopJoin[^\n]*_before", plan)
 
 
+def test_trees_sample_by_a_table_of_ids(spark):
+    ids = spark.range(400).select(F.col("id").cast("string").alias("id"))
+    df = ids.withColumn("v", F.col("id").cast("double"))
+    of = lambda out: {(r["tree"], r["id"]) for r in out.collect()}
+    assert of(forest.tree_samples(df, "id", SMALL, ids)) == of(forest.tree_samples(df, "id", SMALL))
+
+
 def test_the_fit_reads_its_rows_once(spark, sf, monkeypatch):
     read, write = {}, models.materialise
 

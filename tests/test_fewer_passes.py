@@ -155,3 +155,20 @@ def test_a_block_asks_its_state_as_little_as_it_can():
     out = given((jobs.FRESH, None, 12 * hour, "b", 1, 2.0), (jobs.FRESH, None, 12 * hour, "a", 1, 1.0))
     assert held.calls == ["get", "append"]
     assert [tuple(r) for r in out] == [("S", "a", 1, 4, 37.0, 5.0), ("S", "b", 2, 5, 38.0, 6.0)]
+
+
+def test_windows_keep_their_state_on_disk(spark, sf, tmp_path, monkeypatch):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = {k: spark.conf.get(k, None) for k in jobs.ON_DISK}
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    monkeypatch.setattr(catalog, "_folders", lambda spark, kind: (f"{tmp_path}/s", f"{tmp_path}/o", f"{tmp_path}/c"))
+    try:
+        got = {(r["sender_account"], r["window_start"]): r["tx_count"] for r in catalog._counts("24 hours", "1 hour")(spark, sf).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    want = jobs.flat_counts(jobs.windowed_counts(tables.transactions(spark, sf), "24 hours", "1 hour"))
+    whole = {(r["sender_account"], int(r["at"])): r["tx_count"] for r in want.select("*", F.unix_seconds("window_start").alias("at")).collect()}
+    assert got and all(whole[k] == n for k, n in got.items())
+    files = [p.name for p in (tmp_path / "c" / "state").rglob("*") if p.is_file()]
+    assert any(f.endswith(".zip") for f in files) and not any(f.endswith(".delta") for f in files)

@@ -107,6 +107,11 @@ def test_distinct_values_are_counted_in_large_brackets_only(spark, monkeypatch):
     want = np.quantile(np.arange(30_000) * 7919 % 30_011, 0.5)
     assert statistics.quantiles(df, {"v": [0.5]})["v"][0] == want and not calls
     assert statistics.quantiles(df, {"v": [0.5]}, bound=5)["v"][0] == want and calls
+    calls.clear()
+    monkeypatch.setattr(statistics, "EXACT_ROWS", 10)  # now a table of many rows
+    tied = df.withColumn("w", F.floor(F.col("v") / 10_000))
+    assert statistics.quantiles(tied, {"v": [0.5], "w": [0.4]}, bound=2_000) == {"v": [want], "w": [np.quantile(np.arange(30_000) * 7919 % 30_011 // 10_000, 0.4)]}
+    assert len(calls) <= 1
 
 
 @pytest.mark.parametrize("query,fits", [("m11", "fit_boosting"), ("m15", "cross_validate")])
